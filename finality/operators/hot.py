@@ -1,0 +1,261 @@
+"""Window content for windows that hold very many points.
+
+A window normally has a few dozen points and its content is computed from one
+array. A meter with a stuck clock can put millions of points into one window;
+those windows come here. Their points are range-partitioned by event order, so
+Spark spreads one window over many tasks, and cut into pieces. A piece is
+summed up by the zero runs at its two ends, and each arrival changes the
+summary of one piece. The flag of an emission follows from the summaries that
+hold at its arrival, replayed per block of arrivals.
+"""
+
+from __future__ import annotations
+
+from typing import Iterator, NamedTuple
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+from finality.config import THREE, WindowSpec
+from finality.functions.points import is_zero
+from finality.functions.windowing import phase_index
+
+_GROUP = ["phase_group", "meter_id", "window_start_ms"]
+_PIECE_ROWS = 200_000
+_REPLAY_BITS = 20
+_SALTS = 32
+
+
+class Zeros(NamedTuple):
+    """Zero readings at both ends of a stretch, counted up to the run length."""
+
+    head: int
+    tail: int
+    all_zero: bool
+    fault: bool
+
+    def then(self, other: "Zeros", run: int) -> "Zeros":
+        return Zeros(
+            min(run, self.head + other.head) if self.all_zero else self.head,
+            min(run, other.tail + self.tail) if other.all_zero else other.tail,
+            self.all_zero and other.all_zero,
+            self.fault or other.fault or self.tail + other.head >= run,
+        )
+
+
+EMPTY = Zeros(0, 0, True, False)
+
+
+def piece_changes(seqs: list[int], zeros: list[bool], run: int) -> list[tuple[int, Zeros]]:
+    """Summary of a piece after each arrival that changes it.
+
+    ``seqs`` and ``zeros`` are in event order. Points are taken out again from
+    the last arrival to the first, so each step only touches its neighbours.
+    """
+    n = len(seqs)
+    nxt = list(range(1, n + 1))
+    prv = list(range(-1, n - 1))
+
+    def reach(start: int, step: list[int], stop: int) -> int:
+        length, at = 0, start
+        while at != stop and length < run and zeros[at]:
+            length, at = length + 1, step[at]
+        return length
+
+    starts = sum(reach(i, nxt, n) == run for i in range(n))
+    head, tail = 0, n - 1
+    states = []
+    for i in sorted(range(n), key=seqs.__getitem__, reverse=True):
+        first = reach(head, nxt, n)
+        states.append((seqs[i], Zeros(first, reach(tail, prv, -1), False, starts > 0)))
+        near, at = [], i
+        for _ in range(run):
+            if at < 0:
+                break
+            near.append(at)
+            at = prv[at]
+        starts -= sum(reach(j, nxt, n) == run for j in near)
+        before, after = prv[i], nxt[i]
+        if before >= 0:
+            nxt[before] = after
+        else:
+            head = after
+        if after < n:
+            prv[after] = before
+        else:
+            tail = before
+        starts += sum(reach(j, nxt, n) == run for j in near[1:])
+    states.reverse()
+    # a stretch is all zero until its first non-zero reading arrives
+    first_other = min((s for s, z in zip(seqs, zeros) if not z), default=None)
+    changes, last = [], None
+    for seq, state in states:
+        state = state._replace(all_zero=first_other is None or seq < first_other)
+        if state != last:
+            changes.append((seq, state))
+            last = state
+    return changes
+
+
+_CHANGE = (
+    "phase_group string, meter_id string, window_start_ms bigint, phase int, "
+    "piece_event bigint, piece_seq bigint, seq bigint, head int, tail int, "
+    "all_zero boolean, fault boolean"
+)
+
+
+def _pieces(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
+    keys = [*_GROUP, "phase"]
+    columns = [part.split()[0] for part in _CHANGE.split(", ")]
+
+    def summarize(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, piece in rows.groupby(keys, sort=False):
+            first = piece.iloc[0]
+            for seq, state in piece_changes(piece["seq"].tolist(), piece["zero"].tolist(), run):
+                out.append((*key, first["event_ms"], first["seq"], seq, *state))
+        return pd.DataFrame(out, columns=columns)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= _PIECE_ROWS:
+            yield summarize(pd.concat(held, ignore_index=True))
+            held, size = [], 0
+    if size:
+        yield summarize(pd.concat(held, ignore_index=True))
+
+
+def _replay(rows: pd.DataFrame, run: int) -> pd.DataFrame:
+    """Answer the queries of one window and block of arrivals in order."""
+    rows = rows.sort_values(["seq", "is_query"], kind="stable")
+    held: dict[int, dict[tuple, Zeros]] = {0: {}, 1: {}, 2: {}}
+    flags: dict[int, bool] = {}
+    answers = []
+    three = rows["phase_group"].iloc[0] == THREE
+    columns = ["seq", "is_query", "emit_no", "phase", "piece_event", "piece_seq",
+               "head", "tail", "all_zero", "fault"]
+    for row in rows[columns].itertuples(index=False):
+        if not row.is_query:
+            state = Zeros(int(row.head), int(row.tail), bool(row.all_zero), bool(row.fault))
+            held[int(row.phase)][(int(row.piece_event), int(row.piece_seq))] = state
+            flags.pop(int(row.phase), None)
+            continue
+        for phase in (0, 1, 2) if three else (0,):
+            if phase not in flags:
+                whole = EMPTY
+                for piece in sorted(held[phase]):
+                    whole = whole.then(held[phase][piece], run)
+                flags[phase] = whole.fault
+        answers.append((row.emit_no, all(flags[p] for p in ((0, 1, 2) if three else (0,)))))
+    result = pd.DataFrame(answers, columns=["emit_no", "fault_indicator"])
+    for name in _GROUP:
+        result[name] = rows[name].iloc[0]
+    return result
+
+
+def fault_flags(emissions: DataFrame, taken: DataFrame, spec: WindowSpec) -> DataFrame:
+    """``fault_indicator`` per window and ``emit_no``, as of ``by_seq``."""
+    run = spec.zero_run
+    order = [*_GROUP, "phase", "event_ms", "seq"]
+    changes = (
+        taken.select(
+            *[F.col(name).cast("string").alias(name) for name in _GROUP[:2]],
+            "window_start_ms",
+            phase_index(F.col("series_id")).alias("phase"),
+            "event_ms",
+            F.col("arrival_seq").alias("seq"),
+            is_zero(F.col("value"), spec).alias("zero"),
+        )
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .mapInPandas(lambda batches: _pieces(batches, run), _CHANGE)
+        .withColumn("blk", F.shiftright("seq", _REPLAY_BITS))
+    )
+    queries = emissions.select(
+        *[F.col(name).cast("string").alias(name) for name in _GROUP[:2]],
+        "window_start_ms",
+        F.col("by_seq").alias("seq"),
+        "emit_no",
+        F.shiftright("by_seq", _REPLAY_BITS).alias("blk"),
+    )
+    piece = [*_GROUP, "phase", "piece_event", "piece_seq"]
+    state = ["head", "tail", "all_zero", "fault"]
+    # the summary a piece has at the end of a block holds in the blocks up to its next change
+    ends = changes.groupBy(*piece, "blk").agg(
+        F.max_by(F.struct(*state), "seq").alias("state")
+    )
+    blocks = queries.groupBy(*_GROUP).agg(F.collect_set("blk").alias("asked"))
+    upto = F.lead("blk").over(Window.partitionBy(*piece).orderBy("blk"))
+    carried = (
+        ends.withColumn("upto", upto)
+        .join(blocks, _GROUP)
+        .withColumn(
+            "at",
+            F.explode(
+                F.filter(
+                    "asked",
+                    lambda b: (b > F.col("blk")) & (F.col("upto").isNull() | (b <= F.col("upto"))),
+                )
+            ),
+        )
+        .select(*piece, "state.*", F.col("at").alias("blk"), F.lit(-1).cast("bigint").alias("seq"))
+    )
+    rows = (
+        changes.unionByName(carried)
+        .withColumn("is_query", F.lit(False))
+        .unionByName(queries.withColumn("is_query", F.lit(True)), allowMissingColumns=True)
+    )
+    return rows.groupBy(*_GROUP, "blk").applyInPandas(
+        lambda block: _replay(block, run),
+        "emit_no bigint, fault_indicator boolean, phase_group string, meter_id string, "
+        "window_start_ms bigint",
+    )
+
+
+def hot_contents(
+    emissions: DataFrame, taken: DataFrame, content: dict, spec: WindowSpec
+) -> DataFrame:
+    """Emissions with their content.
+
+    The fault flag never gathers a window. Any other content is a function of
+    the whole array of points, so the array is built for the emissions that
+    need it: for the voltage text these are the faulty ones.
+    """
+    out = emissions
+    if "fault_indicator" in content or "voltage_data" in content:
+        flags = fault_flags(emissions, taken, spec).withColumn(
+            "meter_id", F.col("meter_id").cast(taken.schema["meter_id"].dataType)
+        )
+        out = out.join(flags, [*_GROUP, "emit_no"])
+    others = [name for name in content if name != "fault_indicator"]
+    if others:
+        wanted = out.filter("fault_indicator") if others == ["voltage_data"] else out
+        wanted = wanted.select(
+            *_GROUP, "emit_no", "by_seq", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+        )
+        points = taken.select(
+            *_GROUP,
+            F.pmod(F.col("arrival_seq"), F.lit(_SALTS)).cast("int").alias("salt"),
+            F.struct(
+                F.col("arrival_seq").alias("seq"),
+                F.col("event_ms"),
+                F.col("value"),
+                phase_index(F.col("series_id")).alias("phase"),
+            ).alias("point"),
+        )
+        arrays = (
+            wanted.join(points, [*_GROUP, "salt"])
+            .filter(F.col("point.seq") <= F.col("by_seq"))
+            .groupBy(*_GROUP, "emit_no")
+            .agg(F.array_sort(F.collect_list("point")).alias("points"))
+            .select(
+                *_GROUP,
+                "emit_no",
+                *[content[name](F.col("phase_group"), F.col("points")).alias(name) for name in others],
+            )
+        )
+        out = out.join(arrays, [*_GROUP, "emit_no"], "left")
+    columns = [*_GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq", *content]
+    return out.select(*columns)
