@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from finality.config import THREE, WindowSpec
 from finality.functions.points import is_zero
 from finality.functions.windowing import phase_index
+from finality.session import ship
 
 _GROUP = ["phase_group", "meter_id", "window_start_ms"]
 _PIECE_ROWS = 200_000
@@ -157,6 +158,7 @@ def _replay(rows: pd.DataFrame, run: int) -> pd.DataFrame:
 
 def fault_flags(emissions: DataFrame, taken: DataFrame, spec: WindowSpec) -> DataFrame:
     """``fault_indicator`` per window and ``emit_no``, as of ``by_seq``."""
+    ship(taken.sparkSession)
     run = spec.zero_run
     order = [*_GROUP, "phase", "event_ms", "seq"]
     changes = (

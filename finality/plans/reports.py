@@ -407,8 +407,8 @@ def missing_slots(counts: DataFrame, dropped: DataFrame, spec: WindowSpec) -> Da
         F.sum("distinct_slot_count").alias("distinct_slot_count"),
         F.sum("missing_count").alias("missing_by_count"),
         F.sum("missing_slots").alias("missing_by_slots"),
-        F.count_if("missing_count > 0").alias("incomplete_by_count"),
-        F.count_if("missing_slots > 0").alias("incomplete_by_slots"),
+        F.count_if(F.col("missing_count") > 0).alias("incomplete_by_count"),
+        F.count_if(F.col("missing_slots") > 0).alias("incomplete_by_slots"),
     )
     total = F.col("phase").isNull()
     return stats.crossJoin(F.broadcast(dropped.limit(1))).select(
