@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from finality.config import THREE, Policy, WindowSpec
 from finality.functions import points as content_of
@@ -316,16 +316,22 @@ def finalize(
     route: Callable[[DataFrame], DataFrame] | None = None,
     per: str = "record",
     keep: Column | None = None,
+    counters: Observation | None = None,
 ) -> DataFrame:
     """Every emission a policy makes over the readings.
 
     ``content`` names what is computed from the points of a window; each entry
     takes the phase group and the array of points in arrival order. ``fire_seq``
     and ``fire_phase`` order emissions: by the arrival that fired them, and by
-    the watermark it moved when the phase is 1.
+    the watermark it moved when the phase is 1. ``counters`` observes the number
+    of routed and dropped readings on the way.
     """
     content = content_of.default_content(spec) if content is None else content
     placed = place(readings, policy, spec, route, per, keep)
+    if counters is not None:
+        placed = placed.observe(
+            counters, F.count("*").alias("routed"), F.count_if("dropped").alias("dropped")
+        )
     if policy.completes_early:
         passes = watermark_passes(readings, spec, policy.delay_ms + policy.lateness_ms, per)
         return _completeness_emissions(placed, passes, policy, spec, content)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from finality.config import SINGLE, THREE, JobArgs, WindowSpec
 from finality.functions.timecols import local_text
 from finality.operators.meters import classify_meters, is_voltage, lookup_of, route
-from finality.operators.replay import finalize, late_records, place
+from finality.operators.replay import finalize
 from finality.plans import reports
 from finality.plans.throughput import chained_samples, probe_counts
 from finality.sinks import writers
@@ -64,15 +64,14 @@ def window_job(
         def to_phases(rows: DataFrame) -> DataFrame:
             return route(rows, lookup)
 
-        steps = {"route": to_phases, "keep": is_voltage()}
-        placed = place(readings, args.policy, spec, **steps)
-        counts["dropped_records"] = late_records(placed).count()
-
-        emitted = path("emissions")
-        finalize(readings, args.policy, spec, **steps).write.mode("overwrite").parquet(emitted)
+        emitted, routed = path("emissions"), Observation()
+        finalize(
+            readings, args.policy, spec, route=to_phases, keep=is_voltage(), counters=routed
+        ).write.mode("overwrite").parquet(emitted)
+        counts["dropped_records"] = routed.get["dropped"]
         emissions = spark.read.parquet(emitted)
         _write_reports(emissions, args, spec, path)
-        _write_throughput(lines, readings, to_phases(readings), emissions, args, path)
+        _write_throughput(readings, to_phases(readings), emissions, args, path)
     finally:
         writers.write_csv(_run_summary(spark, args, counts), f"{out}/run_summary", append=True)
 
@@ -89,15 +88,18 @@ def _write_reports(emissions: DataFrame, args: JobArgs, spec: WindowSpec, path)
         writers.write_csv(faulty, path("native_faulty_window_counts"))
 
 
-def _write_throughput(lines, readings, routed, emissions, args: JobArgs, path) -> None:
-    """Rates at the four points of the job, on the clock of insertion."""
-    clock = readings.select(F.col("arrival_seq"), F.col("insert_ms").alias("ms"))
-    ingested = lines.select("arrival_seq").join(clock, "arrival_seq")
+def _write_throughput(readings, routed, emissions, args: JobArgs, path) -> None:
+    """Rates at the four points of the job, on the clock of insertion.
+
+    Every line is a reading here, so both points before the filter count the
+    same records.
+    """
+    clock = readings.select("arrival_seq", F.col("insert_ms").alias("ms"))
     fired = emissions.select(F.col("fire_seq").alias("arrival_seq")).join(clock, "arrival_seq")
     for metric, points in (
         (
             "standard_throughput_metrics",
-            {"source_after_ingestion": ingested, "post_filter": routed.withColumn("ms", F.col("insert_ms"))},
+            {"source_after_ingestion": clock, "post_filter": routed.withColumn("ms", F.col("insert_ms"))},
         ),
         ("throughput_metrics", {"source_after_parse": clock, "post_window_aggregation": fired}),
     ):

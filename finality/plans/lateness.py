@@ -119,7 +119,7 @@ def _cumulated(late: DataFrame, by: list[str]) -> DataFrame:
 def bin_percentile(bins: Column, total: Column, q: Column) -> Column:
     """Percentile inside the first bin that reaches it, by linear interpolation."""
     wanted = q / 100.0 * total
-    hit = F.element_at(F.filter(bins, lambda b: b["upto"] >= wanted), 1)
+    hit = F.try_element_at(F.filter(bins, lambda b: b["upto"] >= wanted), F.lit(1))
     share = (wanted - (hit["upto"] - hit["n"])) / hit["n"]
     value = F.round(hit["bin"] * BIN_MINUTES + share * BIN_MINUTES, 4)
     return F.when(total > 0, F.when(q <= 0, F.lit(0.0)).otherwise(value))

@@ -22,7 +22,7 @@ _BLANKS = "".join(chr(code) for code in range(33))
 
 def _field(pairs: Column, name: str) -> Column:
     """Value of the last pair with that name."""
-    return F.element_at(F.filter(pairs, lambda p: p["name"] == name), -1)["text"]
+    return F.try_element_at(F.filter(pairs, lambda p: p["name"] == name), F.lit(-1))["text"]
 
 
 def parse_strict(lines: DataFrame, zone: str) -> DataFrame:
