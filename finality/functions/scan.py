@@ -109,10 +109,10 @@ def running(
     block = block or blocks
     inputs = {name: f"_in_{name}" for name in aggregates}
     kinds = {name: kind for name, (kind, _) in aggregates.items()}
-    rows = df
-    for level in levels:
-        rows = rows.withColumns(level)
-    rows = rows.withColumns({inputs[name]: column for name, (_, column) in aggregates.items()})
+    rows = df.withColumns(
+        {name: column for level in levels for name, column in level.items()}
+        | {inputs[name]: column for name, (_, column) in aggregates.items()}
+    )
     totals = rows.groupBy(*keys, *blocks).agg(
         *[_FUNCTIONS[kind](inputs[name]).alias(name) for name, kind in kinds.items()]
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from finality.config import THREE, WindowSpec
-from finality.functions.points import is_zero
+from finality.functions.points import is_zero, with_content
 from finality.functions.windowing import phase_index
 from finality.session import ship
 
@@ -234,8 +234,9 @@ def hot_contents(
     others = [name for name in content if name != "fault_indicator"]
     if others:
         wanted = out.filter("fault_indicator") if others == ["voltage_data"] else out
+        flag = F.col("fault_indicator") if "fault_indicator" in out.columns else F.lit(None)
         wanted = wanted.select(
-            *_GROUP, "emit_no", "by_seq", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+            *_GROUP, "emit_no", "by_seq", flag.alias("flag"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
         )
         points = taken.select(
             *_GROUP,
@@ -251,12 +252,10 @@ def hot_contents(
             wanted.join(points, [*_GROUP, "salt"])
             .filter(F.col("point.seq") <= F.col("by_seq"))
             .groupBy(*_GROUP, "emit_no")
-            .agg(F.array_sort(F.collect_list("point")).alias("points"))
-            .select(
-                *_GROUP,
-                "emit_no",
-                *[content[name](F.col("phase_group"), F.col("points")).alias(name) for name in others],
-            )
+            .agg(F.collect_list("point").alias("points"), F.first("flag").alias("fault_indicator"))
+        )
+        arrays = with_content(arrays, {name: content[name] for name in others}).select(
+            *_GROUP, "emit_no", *others
         )
         out = out.join(arrays, [*_GROUP, "emit_no"], "left")
     columns = [*_GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq", *content]

@@ -108,7 +108,7 @@ def completeness_windows(placed: DataFrame, spec: WindowSpec) -> DataFrame:
             F.count_if("dropped").alias("n_dropped"),
             F.collect_list(F.when(~F.col("dropped"), _point(with_seen=True))).alias("points"),
         )
-        .withColumn("points", F.slice(F.array_sort("points"), F.lit(1), full))
+        .withColumn("points", F.slice(F.sort_array("points"), F.lit(1), full))
     )
     before = (
         Window.partitionBy(*GROUP).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,7 +120,7 @@ def completeness_windows(placed: DataFrame, spec: WindowSpec) -> DataFrame:
         .agg(
             F.sum("n").alias("taken"),
             F.sum("n_dropped").alias("dropped"),
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.when(F.size("points") > 0, F.struct("_blk", "points")))
             ).alias("parts"),
         )
@@ -175,11 +175,13 @@ def _completeness_emissions(
             "fire_phase": F.when(deadline, 1).otherwise(0),
         }
     )
-    return fired.select(*completeness_columns(policy, spec, content))
+    return content_of.with_content(fired, content).select(
+        *completeness_columns(policy, spec, content)
+    )
 
 
 def completeness_columns(policy: Policy, spec: WindowSpec, content: Content) -> list[Column]:
-    """Emission columns from ``why``, ``k``, ``points`` and ``watermark_ms``."""
+    """Emission columns from ``why``, ``k``, ``watermark_ms`` and the content."""
     group = F.col("phase_group")
     full = by_phase(group, spec.expected_for(THREE), spec.expected)
     final = F.col("why") != "PRELIMINARY"
@@ -200,7 +202,7 @@ def completeness_columns(policy: Policy, spec: WindowSpec, content: Content) ->
         F.when(final, "FINAL").otherwise("PRELIMINARY").alias("result_type"),
         F.col("why").alias("finalization_reason"),
         completeness_text(F.col("k"), full).alias("completeness"),
-        *[make(group, F.col("points")).alias(name) for name, make in content.items()],
+        *[F.col(name) for name in content],
         F.when(final, F.col("watermark_ms")).alias("watermark_at_purge_ms"),
         F.when(final, F.lit(policy.lateness_ms).cast("bigint")).alias("allowed_lateness_ms"),
         F.when(final, latency).alias("finalization_latency_ms"),
@@ -242,7 +244,7 @@ def _dense_emissions(taken: DataFrame, content: Content) -> DataFrame:
         taken.groupBy(*GROUP, "window_end_ms")
         .agg(
             F.count_if(~F.col("late")).cast("int").alias("on_time"),
-            F.array_sort(F.collect_list(_point())).alias("points"),
+            F.sort_array(F.collect_list(_point())).alias("points"),
         )
         .withColumn("taken", F.size("points"))
     )
@@ -260,14 +262,8 @@ def _dense_emissions(taken: DataFrame, content: Content) -> DataFrame:
             "points": F.slice("points", F.lit(1), F.col("k")),
         }
     )
-    return emitted.select(
-        *GROUP,
-        "window_end_ms",
-        "emit_no",
-        "k",
-        "closes",
-        "by_seq",
-        *[make(F.col("phase_group"), F.col("points")).alias(name) for name, make in content.items()],
+    return content_of.with_content(emitted, content).select(
+        *GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq", *content
     )
 
 

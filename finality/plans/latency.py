@@ -131,54 +131,48 @@ def latency_histogram(
     if bin_minutes <= 0:
         raise ValueError("bin_minutes must be positive")
     minutes = F.col("finalization_latency_ms") / MINUTE
+    width = F.lit(float(bin_minutes))
     has_allowed = "allowed_lateness_ms" in rows.columns
-    values = rows.groupBy(minutes.alias("x")).agg(
-        F.count("*").alias("n"),
-        (F.max("allowed_lateness_ms") if has_allowed else F.max(F.lit(None))).alias("allowed"),
+    allowed = F.col("allowed_lateness_ms") if has_allowed else F.lit(None).cast("bigint")
+    # one pass over the rows: from here on there is one row per bin, then one row in all
+    whole = (
+        rows.groupBy(F.floor(minutes / width).alias("b"))
+        .agg(F.count("*").alias("n"), F.max(minutes).alias("top"), F.max(allowed).alias("allowed"))
+        .agg(
+            F.collect_list(F.struct("b", "n")).alias("counts"),
+            F.sum("n").alias("total"),
+            F.max("top").alias("top"),
+            F.max("allowed").alias("allowed"),
+        )
+        .filter("total > 0")
     )
-    width = F.lit(float(bin_minutes))
     right = F.greatest(
-        F.lit(max_minutes) if max_minutes is not None else F.col("top"),
+        F.lit(max_minutes).cast("double") if max_minutes is not None else F.col("top"),
         F.col("allowed") / MINUTE,
         width,
     )
-    edges = (
-        values.agg(F.max("x").alias("top"), F.max("allowed").alias("allowed"))
-        .withColumn("edges", F.ceil((right + width) / width).cast("int"))
-        .withColumn("last", (F.col("edges") - 1) * width)
-        # an empty input has no axis
-        .filter("top IS NOT NULL")
-    )
-    odd = F.col("last") < F.col("top")
-    bins = edges.select(
-        F.explode(F.sequence(F.lit(0), F.col("edges") - F.when(odd, 1).otherwise(2))).alias("bin"),
-        "last",
-        "top",
-        "edges",
-    ).select(
-        "bin",
-        (F.col("bin") * width).alias("bin_start_min"),
-        F.when(F.col("bin") == F.col("edges") - 1, F.col("top"))
-        .otherwise((F.col("bin") + 1) * width)
-        .alias("bin_end_min"),
-    )
-    highest = edges.select((F.col("edges") - F.when(odd, 1).otherwise(2)).alias("highest"))
-    counts = (
-        values.crossJoin(F.broadcast(highest))
-        .groupBy(F.least(F.floor(F.col("x") / width), F.col("highest")).cast("int").alias("bin"))
-        .agg(F.sum("n").alias("windows"))
+    edges = F.ceil((right + width) / width).cast("int")
+    odd = (F.col("edges") - 1) * width < F.col("top")
+    bins = (
+        whole.withColumn("edges", edges)
+        .withColumn("last", F.col("edges") - F.when(odd, 1).otherwise(2))
+        .withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("last"))))
     )
-    everything = Window.partitionBy(F.lit(0))
-    upto = everything.orderBy("bin")
-    filled = bins.join(counts, "bin", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
-    return filled.select(
-        "bin_start_min",
-        "bin_end_min",
-        "windows",
-        (F.col("windows") / F.sum("windows").over(everything)).alias("window_share"),
-        (F.sum("windows").over(upto) / F.sum("windows").over(everything)).alias(
-            "cumulative_window_share"
-        ),
+    in_bin = F.filter("counts", lambda c: F.least(c["b"], F.col("last")) == F.col("bin"))
+    windows = F.aggregate(in_bin, F.lit(0).cast("bigint"), lambda total, c: total + c["n"])
+    upto = Window.partitionBy(F.lit(0)).orderBy("bin")
+    return (
+        bins.withColumn("windows", windows)
+        .withColumn("cumulative", F.sum("windows").over(upto))
+        .select(
+            (F.col("bin") * width).alias("bin_start_min"),
+            F.when(F.col("bin") == F.col("edges") - 1, F.col("top"))
+            .otherwise((F.col("bin") + 1) * width)
+            .alias("bin_end_min"),
+            "windows",
+            (F.col("windows") / F.col("total")).alias("window_share"),
+            (F.col("cumulative") / F.col("total")).alias("cumulative_window_share"),
+        )
     )
 
 

@@ -81,38 +81,43 @@ def late_minutes() -> Column:
     return F.col("late_s") / 60.0
 
 
-def bin_counts(late: DataFrame, by: list[str]) -> DataFrame:
-    """Non-empty bins: ``by..., bin, n``."""
+def profile(late: DataFrame, by: list[str]) -> DataFrame:
+    """Per group its totals and one array of its at most 500 non-empty bins.
+
+    One pass over the readings: they are counted per bin, with the readings on
+    time in a bin without number, and all else follows from that small table.
+    """
+    counted = late.groupBy(
+        *by, F.when(F.col("late_s").isNotNull(), bin_index(late_minutes())).alias("bin")
+    ).agg(
+        F.count("*").alias("n"), F.sum("late_s").alias("sum_s"), F.max("late_s").alias("max_s")
+    )
+    is_late = F.col("bin").isNotNull()
+    upto = Window.partitionBy(*by).orderBy("bin")
     return (
-        late.filter("late_s IS NOT NULL")
-        .groupBy(*by, bin_index(late_minutes()).alias("bin"))
-        .agg(F.count("*").alias("n"))
+        counted.withColumn("upto", F.sum(F.when(is_late, F.col("n"))).over(upto))
+        .groupBy(*by)
+        .agg(
+            F.sum("n").alias("records"),
+            F.coalesce(F.sum(F.when(is_late, F.col("n"))), F.lit(0)).alias("total"),
+            F.sum("sum_s").alias("sum_s"),
+            F.max("max_s").alias("max_s"),
+            F.sort_array(
+                F.collect_list(F.when(is_late, F.struct("bin", "n", "upto")))
+            ).alias("bins"),
+        )
     )
 
 
 def histogram(late: DataFrame, by: list[str]) -> DataFrame:
     """All 500 bins of every group, empty ones with count zero."""
-    groups = late.select(*by).distinct()
-    frame = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
-    return frame.join(bin_counts(late, by), [*by, "bin"], "left").select(
+    frame = profile(late, by).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    hit = F.try_element_at(F.filter("bins", lambda b: b["bin"] == F.col("bin")), F.lit(1))
+    return frame.select(
         *by,
         (F.col("bin") * BIN_MINUTES).alias("bin_left_min"),
         ((F.col("bin") + 1) * BIN_MINUTES).alias("bin_right_min"),
-        F.coalesce("n", F.lit(0)).alias("count"),
-    )
-
-
-def _cumulated(late: DataFrame, by: list[str]) -> DataFrame:
-    """Per group one array of its at most 500 bins with running counts."""
-    upto = Window.partitionBy(*by).orderBy("bin")
-    return (
-        bin_counts(late, by)
-        .withColumn("upto", F.sum("n").over(upto))
-        .groupBy(*by)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("bin", "n", "upto"))).alias("bins"),
-            F.sum("n").alias("total"),
-        )
+        F.coalesce(hit["n"], F.lit(0)).alias("count"),
     )
 
 
@@ -127,9 +132,9 @@ def bin_percentile(bins: Column, total: Column, q: Column) -> Column:
 
 def cdf(late: DataFrame, by: list[str]) -> DataFrame:
     """1001 percentile points per group, zero where a group has no late reading."""
-    groups = late.select(*by).distinct().join(_cumulated(late, by), by, "left")
     q = F.col("i") * F.lit(0.1)
-    return groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1000)))).select(
+    points = profile(late, by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1000))))
+    return points.select(
         *by,
         F.round(q, 1).alias("percentile"),
         F.coalesce(bin_percentile(F.col("bins"), F.col("total"), q), F.lit(0.0)).alias(
@@ -145,15 +150,16 @@ def _percentile_columns() -> list[Column]:
     ]
 
 
-def _stats(late: DataFrame, by: list[str]) -> DataFrame:
-    ratio = F.round(F.count("late_s") / F.count("*"), 6)
-    return late.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        F.count("late_s").alias("late"),
-        ratio.alias("late_ratio"),
-        F.round(F.sum("late_s") / 60.0 / F.count("late_s"), 4).alias("mean_lateness_min"),
-        F.round(F.max("late_s") / 60.0, 4).alias("max_min"),
-    )
+def _ratio() -> Column:
+    return F.round(F.col("total") / F.col("records"), 6)
+
+
+def _mean() -> Column:
+    return F.round(F.try_divide(F.col("sum_s") / 60.0, F.col("total")), 4)
+
+
+def _max() -> Column:
+    return F.round(F.col("max_s") / 60.0, 4)
 
 
 def keys_so_far(readings: DataFrame, mode: str) -> DataFrame:
@@ -176,24 +182,19 @@ def keys_so_far(readings: DataFrame, mode: str) -> DataFrame:
 
 def day_summary(readings: DataFrame, mode: str, spec: WindowSpec) -> DataFrame:
     """Per day: late share, keys so far, mean, percentiles and maximum."""
-    late = lateness(readings, mode, spec)
-    by = ["mode", "day"]
     return (
-        _stats(late, by)
-        .join(_cumulated(late, by).withColumnRenamed("total", "n_late"), by, "left")
-        .withColumnRenamed("total", "records")
-        .withColumnRenamed("n_late", "total")
+        profile(lateness(readings, mode, spec), ["mode", "day"])
         .join(keys_so_far(readings, mode), "day")
         .select(
             "mode",
             "day",
             F.col("records").alias("total_records"),
-            F.col("late").alias("late_records"),
-            "late_ratio",
+            F.col("total").alias("late_records"),
+            _ratio().alias("late_ratio"),
             "unique_keys",
-            "mean_lateness_min",
+            _mean().alias("mean_lateness_min"),
             *_percentile_columns(),
-            "max_min",
+            _max().alias("max_min"),
         )
     )
 
@@ -211,19 +212,14 @@ def overall_summary(
             if keys
             else readings.limit(1).select(F.lit(1).cast("bigint").alias("unique_keys"))
         )
-        stats = late.groupBy("mode").agg(
-            F.count("*").alias("total_records"),
-            F.count("late_s").alias("late_records"),
-            F.round(F.count("late_s") / F.count("*"), 6).alias("late_ratio"),
-        )
         parts.append(
-            stats.join(_cumulated(late, ["mode"]), "mode", "left")
+            profile(late, ["mode"])
             .crossJoin(F.broadcast(unique))
             .select(
                 "mode",
-                "total_records",
-                "late_records",
-                "late_ratio",
+                F.col("records").alias("total_records"),
+                F.col("total").alias("late_records"),
+                _ratio().alias("late_ratio"),
                 "unique_keys",
                 *_percentile_columns(),
             )
@@ -240,21 +236,14 @@ def hourly(readings: DataFrame, mode: str, spec: WindowSpec) -> DataFrame:
         F.col("late_s").isNotNull() & F.col("insert_s").isNotNull()
     )
     late = late.withColumn("hour_s", floor_to(F.col("insert_s"), 3600))
-    by = ["mode", "hour_s"]
-    return (
-        _stats(late, by)
-        .drop("total")
-        .join(_cumulated(late, by), by)
-        .select(
-            "mode",
-            F.concat(
-                F.substring(local_text(F.col("hour_s") * 1000, spec.zone), 1, 13), F.lit(":00")
-            ).alias("hour"),
-            F.col("late").alias("count"),
-            F.col("mean_lateness_min").alias("mean_min"),
-            *_percentile_columns(),
-            "max_min",
-        )
+    hour = F.substring(local_text(F.col("hour_s") * 1000, spec.zone), 1, 13)
+    return profile(late, ["mode", "hour_s"]).select(
+        "mode",
+        F.concat(hour, F.lit(":00")).alias("hour"),
+        F.col("total").alias("count"),
+        _mean().alias("mean_min"),
+        *_percentile_columns(),
+        _max().alias("max_min"),
     )
 
 

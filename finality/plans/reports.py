@@ -14,6 +14,7 @@ from finality.functions.windowing import (
     final_met,
     preliminary_met,
 )
+from finality.session import settled
 
 KEY = ["mode", "meter_id", "series_id", "window_start_ms", "window_end_ms"]
 
@@ -80,7 +81,7 @@ def faulty_windows(emissions: DataFrame, spec: WindowSpec) -> DataFrame:
     the first emission of each meter back on the full emission key, and summed
     up along the emission order block by block.
     """
-    faulty = faulty_only(emissions)
+    faulty = settled(faulty_only(emissions))
     position = F.struct("fire_seq", "fire_phase", "window_end_ms", "emit_no")
     firsts = (
         faulty.groupBy("phase_group", "meter_id")
@@ -153,7 +154,7 @@ def run_totals(placed: DataFrame, policy_label: str, input_records: DataFrame) -
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows with ``copies``, the first row of each key only.
+    """The first row of each key, with ``copies`` and ``outputs`` of the key.
 
     The first row of a key is found by a partial aggregate, not by a window,
     so a key repeated very often is folded before the shuffle.
@@ -163,22 +164,40 @@ def first_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
         rows.groupBy(*keys)
         .agg(
             F.count("*").alias("copies"),
+            F.sum("output_count").alias("outputs"),
             F.min_by(F.struct(*others), order).alias("row"),
         )
-        .select(*keys, "row.*", "copies")
+        .select(*keys, "row.*", "copies", "outputs")
     )
 
 
-def _count_summary(windows: DataFrame, extra: list[Column] = ()) -> DataFrame:
-    """Aggregate per experiment over de-duplicated windows."""
+def _summary(rows: DataFrame, order: str) -> DataFrame:
+    """Summary per experiment from rows with ``output_count, final_count, early``."""
+    windows = first_per_key(rows, ["experiment", *KEY], order).withColumn(
+        "bad", (F.col("window_start_ms") == 0) & (F.col("window_end_ms") == 0)
+    )
+    good = ~F.col("bad")
+
+    def total(column: Column, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, column)), F.lit(0))
+
+    def of_good(name: str) -> list[Column]:
+        value = F.when(good, F.col(name))
+        return [
+            F.avg(value).alias(f"{name}_mean"),
+            F.percentile(value, F.lit(0.95)).alias(f"{name}_p95"),
+        ]
+
     return windows.groupBy("experiment").agg(
-        F.count("*").alias("emitted_windows"),
-        F.sum(F.col("copies") - 1).alias("duplicate_window_rows"),
-        F.count_if("early").alias("early_purged_windows"),
-        F.sum("output_count").alias("valid_window_outputs"),
-        F.avg("final_count").alias("final_count_mean"),
-        F.percentile("final_count", F.lit(0.95)).alias("final_count_p95"),
-        *extra,
+        F.count_if(good).alias("emitted_windows"),
+        total(F.col("copies") - 1, good).alias("duplicate_window_rows"),
+        F.count_if(good & F.col("early")).alias("early_purged_windows"),
+        total(F.col("output_count"), good).alias("valid_window_outputs"),
+        *of_good("final_count"),
+        *of_good("distinct_slot_count"),
+        total(F.col("copies"), F.col("bad")).alias("invalid_window_rows"),
+        F.count_if("bad").alias("invalid_unique_windows"),
+        total(F.col("outputs"), F.col("bad")).alias("missing_window_metadata_outputs"),
     )
 
 
@@ -189,77 +208,34 @@ def summarize_outputs(counts: DataFrame, spec: WindowSpec, order: str = "row_no"
     key the first in ``order`` counts. A window is early when it says so and its
     count is complete.
     """
-    invalid = (F.col("window_start_ms") == 0) & (F.col("window_end_ms") == 0)
     expected = expected_of_label(F.col("series_id"), spec)
-    numbers = counts.withColumns(
+    rows = counts.withColumns(
         {
             "output_count": F.coalesce(F.col("output_count").cast("bigint"), F.lit(0)),
             "early": F.col("early_purged") & final_met(F.col("final_count"), expected),
         }
     )
-    valid = _count_summary(
-        first_per_key(numbers.filter(~invalid), ["experiment", *KEY], order),
-        [
-            F.avg("distinct_slot_count").alias("distinct_slot_count_mean"),
-            F.percentile("distinct_slot_count", F.lit(0.95)).alias("distinct_slot_count_p95"),
-        ],
-    )
-    bad = (
-        numbers.filter(invalid)
-        .groupBy("experiment", *KEY)
-        .agg(F.count("*").alias("n"), F.sum("output_count").alias("outputs"))
-        .groupBy("experiment")
-        .agg(
-            F.sum("n").alias("invalid_window_rows"),
-            F.count("*").alias("invalid_unique_windows"),
-            F.sum("outputs").alias("missing_window_metadata_outputs"),
-        )
-    )
-    return _with_totals(
-        valid.join(bad, "experiment", "full").na.fill(
-            0,
-            [
-                "emitted_windows",
-                "duplicate_window_rows",
-                "early_purged_windows",
-                "valid_window_outputs",
-                "invalid_window_rows",
-                "invalid_unique_windows",
-                "missing_window_metadata_outputs",
-            ],
-        )
-    )
+    return _with_totals(_summary(rows, order))
 
 
 def infer_outputs(finals: DataFrame, spec: WindowSpec, order: str = "row_no") -> DataFrame:
     """The same summary inferred from finalization rows.
 
     A window has one output, and one more if its count reached the preliminary
-    threshold.
+    threshold. No row is taken for damaged, and slots are unknown.
     """
     expected = expected_of_label(F.col("series_id"), spec)
     reason = F.col("finalization_reason") if "finalization_reason" in finals.columns else None
     rows = finals.withColumns(
         {
             "final_count": F.coalesce(F.col("count"), F.lit(0)),
+            "distinct_slot_count": F.lit(None).cast("int"),
             "output_count": F.lit(1)
             + preliminary_met(F.col("count"), expected, spec).cast("bigint"),
             "early": early_purge_inferred(reason, F.col("count"), expected),
         }
     )
-    summary = _count_summary(first_per_key(rows, ["experiment", *KEY], order))
-    zero = F.lit(0).cast("bigint")
-    return _with_totals(
-        summary.withColumns(
-            {
-                "distinct_slot_count_mean": F.lit(None).cast("double"),
-                "distinct_slot_count_p95": F.lit(None).cast("double"),
-                "invalid_window_rows": zero,
-                "invalid_unique_windows": zero,
-                "missing_window_metadata_outputs": zero,
-            }
-        )
-    )
+    return _with_totals(_summary(rows, order))
 
 
 def _with_totals(summary: DataFrame) -> DataFrame:
@@ -289,15 +265,15 @@ def with_coverage(summary: DataFrame) -> DataFrame:
     or the one with most windows when none is named so.
     """
     named = F.lower("experiment").contains("baseline")
-    reference = (
-        summary.orderBy(named.desc(), F.desc("emitted_windows"), "experiment")
-        .limit(1)
-        .select(
-            F.col("experiment").alias("reference_window_experiment"),
-            F.col("emitted_windows").alias("reference_emitted_windows"),
-        )
+    best = Window.partitionBy(F.lit(0)).orderBy(
+        named.desc(), F.desc("emitted_windows"), "experiment"
     )
-    return summary.crossJoin(F.broadcast(reference)).withColumn(
+    return summary.withColumns(
+        {
+            "reference_window_experiment": F.first("experiment").over(best),
+            "reference_emitted_windows": F.first("emitted_windows").over(best),
+        }
+    ).withColumn(
         "emitted_window_coverage_ratio",
         safe_div(F.col("emitted_windows"), F.col("reference_emitted_windows")),
     )

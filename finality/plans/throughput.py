@@ -277,45 +277,40 @@ def overall(stages: DataFrame, reference: str = "baseline", proposed: str = "pro
     """Source against post-filter per experiment, compared with two methods."""
     keys = ["method_key", "method_label", "experiment", "time_setting"]
     measures = ["total_events", "duration_min", "weighted_avg_events_per_sec"]
-    source = stages.filter("stage = 'Source'").select(
-        "experiment", *[F.col(m).alias(f"source_{m}") for m in measures]
-    )
-    post = stages.filter("stage = 'Post-filter'").select(
-        *keys,
-        *[
-            F.col(m).alias(f"post_filter_{m}")
-            for m in [
-                *measures,
-                "median_events_per_sec",
-                "p95_events_per_sec",
-                "p99_events_per_sec",
-                "cv_events_per_sec",
-            ]
-        ],
-    )
-    rows = post.join(source, "experiment").withColumn(
-        "post_filter_source_event_ratio_pct",
-        F.col("post_filter_total_events") / F.col("source_total_events") * 100.0,
+    more = ["median_events_per_sec", "p95_events_per_sec", "p99_events_per_sec", "cv_events_per_sec"]
+
+    def of_stage(stage: str, prefix: str, names: list[str]) -> list[Column]:
+        return [
+            F.max(F.when(F.col("stage") == stage, F.col(m))).alias(f"{prefix}_{m}") for m in names
+        ]
+
+    rows = (
+        stages.groupBy(*keys)
+        .agg(
+            *of_stage("Source", "source", measures),
+            *of_stage("Post-filter", "post_filter", measures + more),
+        )
+        .filter("source_total_events IS NOT NULL AND post_filter_total_events IS NOT NULL")
+        .withColumn(
+            "post_filter_source_event_ratio_pct",
+            F.col("post_filter_total_events") / F.col("source_total_events") * 100.0,
+        )
     )
-    runtime, rate = "post_filter_duration_min", "post_filter_weighted_avg_events_per_sec"
+    runtime, rate = F.col("post_filter_duration_min"), F.col("post_filter_weighted_avg_events_per_sec")
+    everything = Window.partitionBy(F.lit(0))
+    relative = {}
     for method in dict.fromkeys((reference, proposed)):
-        base = (
-            rows.filter(F.col("method_key") == method)
-            .orderBy("experiment")
-            .limit(1)
-            .select(F.col(runtime).alias("_runtime"), F.col(rate).alias("_rate"))
-        )
-        relative = {
-            f"runtime_vs_{method}_pct": (F.try_divide(F.col(runtime), F.col("_runtime")) - 1) * 100,
-            f"post_filter_eps_vs_{method}_pct": (F.try_divide(F.col(rate), F.col("_rate")) - 1) * 100,
-        }
+        name = F.when(F.col("method_key") == method, F.col("experiment"))
+        base_runtime = F.min_by(runtime, name).over(everything)
+        base_rate = F.min_by(rate, name).over(everything)
+        relative[f"runtime_vs_{method}_pct"] = (F.try_divide(runtime, base_runtime) - 1) * 100
+        relative[f"post_filter_eps_vs_{method}_pct"] = (F.try_divide(rate, base_rate) - 1) * 100
         if method == reference:
-            relative[f"speedup_vs_{method}_pct"] = (
-                F.try_divide(F.col("_runtime"), F.col(runtime)) - 1
-            ) * 100
-        rows = rows.join(F.broadcast(base), how="left").withColumns(relative).drop("_runtime", "_rate")
-    return rows.withColumn("method_order", method_order(F.col("method_key"))).orderBy(
-        "method_order", "experiment"
+            relative[f"speedup_vs_{method}_pct"] = (F.try_divide(base_runtime, runtime) - 1) * 100
+    return (
+        rows.withColumns(relative)
+        .withColumn("method_order", method_order(F.col("method_key")))
+        .orderBy("method_order", "experiment")
     )
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +24,17 @@ def ship(spark: SparkSession) -> None:
                     package.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(archive)
     context._finality_shipped = True
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """The table computed once and kept in the checkpoint folder.
+
+    For a short table that several branches of a plan read. The folder is the
+    one the cluster names in ``spark.checkpoint.dir``; without one, as in tests,
+    a temporary folder is used.
+    """
+    spark = table.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return table.checkpoint()

@@ -192,13 +192,13 @@ def emissions_of(
         }
     )
     if policy.completes_early:
-        return rows.select(*completeness_columns(policy, spec, content))
-    group = F.col("phase_group")
-    made = {
-        name: F.lit(None).cast("int") if name == "distinct_slot_count" else make(group, F.col("points"))
-        for name, make in content.items()
-    }
-    return rows.withColumns(made).select(*native_columns(policy, content))
+        made = content_of.with_content(rows, content)
+        return made.select(*completeness_columns(policy, spec, content))
+    native = {name: make for name, make in content.items() if name != "distinct_slot_count"}
+    made = content_of.with_content(rows, native)
+    if "distinct_slot_count" in content:
+        made = made.withColumn("distinct_slot_count", F.lit(None).cast("int"))
+    return made.select(*native_columns(policy, content))
 
 
 def late_of(fired: DataFrame) -> DataFrame:
