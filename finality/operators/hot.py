@@ -24,7 +24,6 @@ from finality.session import ship
 _GROUP = ["phase_group", "meter_id", "window_start_ms"]
 _PIECE_ROWS = 200_000
 _REPLAY_BITS = 20
-_SALTS = 32
 
 
 class Zeros(NamedTuple):
@@ -221,42 +220,36 @@ def hot_contents(
 ) -> DataFrame:
     """Emissions with their content.
 
-    The fault flag never gathers a window. Any other content is a function of
-    the whole array of points, so the array is built for the emissions that
-    need it: for the voltage text these are the faulty ones.
+    The fault flag never gathers a window. Other content is a function of the
+    whole array of points: one cell as large as the window, again for every
+    late reading. It stays null here; ``window_points`` has the points as rows.
     """
     out = emissions
-    if "fault_indicator" in content or "voltage_data" in content:
+    if "fault_indicator" in content:
         flags = fault_flags(emissions, taken, spec).withColumn(
             "meter_id", F.col("meter_id").cast(taken.schema["meter_id"].dataType)
         )
         out = out.join(flags, [*_GROUP, "emit_no"])
-    others = [name for name in content if name != "fault_indicator"]
-    if others:
-        wanted = out.filter("fault_indicator") if others == ["voltage_data"] else out
-        flag = F.col("fault_indicator") if "fault_indicator" in out.columns else F.lit(None)
-        wanted = wanted.select(
-            *_GROUP, "emit_no", "by_seq", flag.alias("flag"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-        )
-        points = taken.select(
-            *_GROUP,
-            F.pmod(F.col("arrival_seq"), F.lit(_SALTS)).cast("int").alias("salt"),
-            F.struct(
-                F.col("arrival_seq").alias("seq"),
-                F.col("event_ms"),
-                F.col("value"),
-                phase_index(F.col("series_id")).alias("phase"),
-            ).alias("point"),
-        )
-        arrays = (
-            wanted.join(points, [*_GROUP, "salt"])
-            .filter(F.col("point.seq") <= F.col("by_seq"))
-            .groupBy(*_GROUP, "emit_no")
-            .agg(F.collect_list("point").alias("points"), F.first("flag").alias("fault_indicator"))
-        )
-        arrays = with_content(arrays, {name: content[name] for name in others}).select(
-            *_GROUP, "emit_no", *others
-        )
-        out = out.join(arrays, [*_GROUP, "emit_no"], "left")
-    columns = [*_GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq", *content]
-    return out.select(*columns)
+    typed = with_content(
+        taken.limit(0).select(
+            "phase_group",
+            F.array(
+                F.struct(
+                    F.col("arrival_seq").alias("seq"), "event_ms", "value", F.lit(0).alias("phase")
+                )
+            ).alias("points"),
+        ),
+        content,
+    ).schema
+    out = out.withColumns(
+        {n: F.lit(None).cast(typed[n].dataType) for n in content if n != "fault_indicator"}
+    )
+    return out.select(*_GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq", *content)
+
+
+def window_points(taken: DataFrame) -> DataFrame:
+    """The points of windows as rows, for windows too full for a text.
+
+    An emission holds the points with ``arrival_seq`` up to its own.
+    """
+    return taken.select(*_GROUP, "series_id", "event_ms", "arrival_seq", "value")

@@ -30,6 +30,7 @@ from finality.operators.arrival import (
     watermark_passes,
 )
 from finality.operators.hot import hot_contents
+from finality.session import settled
 
 GROUP = ["phase_group", "meter_id", "window_start_ms"]
 Content = dict[str, Callable[[Column, Column], Column]]
@@ -272,6 +273,12 @@ def _hot_emissions(taken: DataFrame, content: Content, spec: WindowSpec) -> Data
 
     Counts come from the blocked scan, content from points split by event time.
     """
+    # read several times below, so the watermark is not replayed for each
+    taken = settled(
+        taken.select(
+            *GROUP, "window_end_ms", "series_id", "event_ms", "value", "arrival_seq", "late"
+        )
+    )
     counts = taken.groupBy(*GROUP, "window_end_ms").agg(
         F.count_if(~F.col("late")).alias("on_time"),
         F.max(F.when(~F.col("late"), F.col("arrival_seq"))).alias("by_seq"),
@@ -285,7 +292,7 @@ def _hot_emissions(taken: DataFrame, content: Content, spec: WindowSpec) -> Data
         "by_seq",
     )
     ranked = running(
-        taken.drop("_blk"),
+        taken,
         blocks_of("arrival_seq", spec.block_bits),
         ["arrival_seq"],
         {"k": ("sum", F.lit(1)), "lates": ("sum", F.col("late").cast("int"))},
@@ -319,7 +326,9 @@ def finalize(
     ``content`` names what is computed from the points of a window; each entry
     takes the phase group and the array of points in arrival order. ``fire_seq``
     and ``fire_phase`` order emissions: by the arrival that fired them, and by
-    the watermark it moved when the phase is 1. ``counters`` observes the number
+    the watermark it moved when the phase is 1. Windows with more than
+    ``spec.dense_limit`` points have their fault flag, but no content that would
+    put all points into one cell. ``counters`` observes the number
     of routed and dropped readings on the way.
     """
     content = content_of.default_content(spec) if content is None else content
