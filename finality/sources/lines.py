@@ -13,6 +13,7 @@ from finality.functions.scan import blocks_of, running
 _DATE_AT_END = re.compile(r"(\d{8})\.gz$")
 # a partition numbers its rows in the low 33 bits
 _ROW_BITS = 33
+_BUS_PARTITION_BITS = 12
 _BROADCAST_FILES = 100_000
 
 
@@ -27,12 +28,18 @@ def bus_options(topic: str, servers: str, group_id: str) -> dict[str, str]:
 
 
 def read_bus(spark: SparkSession, topic: str, servers: str, group_id: str) -> DataFrame:
-    """Stream of message values as text; needs the Kafka connector on the classpath."""
+    """Stream of message values as text; needs the Kafka connector on the classpath.
+
+    ``arrival_seq`` follows the offsets, with the partition in the low bits.
+    """
     return (
         spark.readStream.format("kafka")
         .options(**bus_options(topic, servers, group_id))
         .load()
-        .select(F.col("value").cast("string").alias("value"))
+        .select(
+            F.col("value").cast("string").alias("value"),
+            (F.shiftleft("offset", _BUS_PARTITION_BITS) + F.col("partition")).alias("arrival_seq"),
+        )
     )
 
 
@@ -117,13 +124,19 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, folder: str, pattern: str = "*.gz") -> DataFrame:
-    """Lines of files as they appear in a folder, one file per micro-batch."""
+    """Lines of gzip files as they appear in a folder, one file per micro-batch.
+
+    ``arrival_seq`` counts up by the day in the file name and the line.
+    """
+    day = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})\.gz$", 1).try_cast("bigint")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
     return (
         spark.readStream.format("text")
         .schema("value string")
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", 1)
         .load(folder)
+        .select("value", (F.shiftleft(F.coalesce(day, F.lit(0)), _ROW_BITS) + row).alias("arrival_seq"))
         .filter("value <> ''")
     )
 

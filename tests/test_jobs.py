@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from finality.config import JobArgs, Policy
+from finality.config import JobArgs, Policy, WindowSpec
 from finality.operators.replay import finalize, place
 from finality.plans.jobs import classification_job, window_job
 from finality.plans.reports import output_counts
@@ -22,6 +22,9 @@ from finality.streaming.processor import (
     fired_windows,
     late_of,
 )
+from finality.operators.meters import lookup_of, route
+from finality.sources.lines import read_meter_ids, stream_lines
+from finality.streaming.job import fired_from_lines, rate_samples, routed, start_csv
 from test_sources import line, write_gz
 
 
@@ -101,6 +104,39 @@ def test_classification_job(spark, tmp_path):
 # ---------------------------------------------------------------- streaming
 
 
+def test_raw_lines_as_a_stream(spark, raw, tmp_path):
+    """Gzip files in, late readings out as CSV; rates from the query's progress."""
+    lookup = lookup_of(
+        read_meter_ids(spark, str(raw / "single.csv")), read_meter_ids(spark, str(raw / "three.csv"))
+    )
+    lines = stream_lines(spark, str(raw / "raw"))
+    policy = Policy("baseline", lateness_ms=3_600_000)
+    late = late_of(fired_from_lines(lines, lookup, policy, WindowSpec()))
+    query = start_csv(late, f"{tmp_path}/late", f"{tmp_path}/checkpoint")
+    query.processAllAvailable()
+    samples = rate_samples(query, "baseline_source_after_parse").collect()
+    query.stop()
+    assert sum(s.count_in_interval for s in samples) == 240
+    written = spark.read.option("header", True).csv(f"{tmp_path}/late/batch=*")
+    # the second file arrives after the first has moved the watermark
+    assert written.count() > 0
+
+
+def test_stream_routing_keeps_all_readings(spark):
+    lookup = spark.createDataFrame(
+        [("a", "SINGLE"), ("b", "THREE")], "meter_id string, phase_group string"
+    )
+    rows = spark.createDataFrame(
+        [(m, s) for m in "abc" for s in ("Spänning L1", "Spänning L2", "Ström L1")],
+        "meter_id string, series_id string",
+    )
+    streamed = routed(rows, lookup)
+    assert streamed.count() == rows.count()
+    columns = ["meter_id", "series_id", "phase_group"]
+    kept = streamed.filter("phase_group IS NOT NULL").select(*columns)
+    assert kept.exceptAll(route(rows, lookup).select(*columns)).isEmpty() and kept.count() == 3
+
+
 @pytest.fixture(scope="module")
 def feed(spark, folder, tmp_path_factory):
     """Readings as one file per micro-batch, the last one ending the input."""
