@@ -124,23 +124,27 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, folder: str, pattern: str = "*.gz") -> DataFrame:
-    """Lines of gzip files as they appear in a folder, one file per micro-batch.
-
-    ``arrival_seq`` counts up by the day in the file name and the line.
-    """
-    day = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})\.gz$", 1).try_cast("bigint")
-    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
+    """Lines of gzip files as they appear in a folder, one file per micro-batch."""
     return (
         spark.readStream.format("text")
         .schema("value string")
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", 1)
         .load(folder)
-        .select("value", (F.shiftleft(F.coalesce(day, F.lit(0)), _ROW_BITS) + row).alias("arrival_seq"))
         .filter("value <> ''")
     )
 
 
+def number_lines(batch: DataFrame, batch_id: int) -> DataFrame:
+    """Lines of one micro-batch with their arrival order."""
+    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
+    return batch.select(
+        "value",
+        F.lit(batch_id).cast("bigint").alias("arrival_epoch"),
+        (row + (batch_id << _ROW_BITS)).alias("arrival_seq"),
+    )
+
+
 def first_records(rows: DataFrame, count: int | None) -> DataFrame:
     """The first records in arrival order, for a quick trial; all without a count."""
     if count is None:

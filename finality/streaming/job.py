@@ -8,9 +8,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 from finality.config import SERIES_L1, THREE, Policy, WindowSpec
 from finality.operators.meters import is_voltage
 from finality.sinks.writers import write_batches
+from finality.sources.lines import number_lines
 from finality.sources.parse import parse_strict, readings_of
 from finality.streaming.processor import fired_windows
 
+# Columns of a stored reading.
+READINGS = (
+    "arrival_epoch bigint, arrival_seq bigint, series_id string, location_id string, "
+    "meter_id string, event_ms bigint, value double, value_status string, insert_ms bigint, "
+    "extract_ms bigint"
+)
+
 
 def routed(readings: DataFrame, lookup: DataFrame) -> DataFrame:
     """Readings with ``phase_group``, null where the phase filter drops them.
@@ -23,12 +31,46 @@ def routed(readings: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def fired_from_lines(
-    lines: DataFrame, lookup: DataFrame, policy: Policy, spec: WindowSpec = WindowSpec()
+def start_parsing(
+    lines: DataFrame, store: str, checkpoint: str, spec: WindowSpec = WindowSpec()
+) -> StreamingQuery:
+    """Parse lines into a Parquet store, one folder per micro-batch.
+
+    The store fixes the arrival order; a repeated batch replaces its folder, and
+    a bad line ends the stream.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = number_lines(batch, batch_id)
+        readings = readings_of(parse_strict(numbered, spec.zone), fail=True)
+        readings.write.mode("overwrite").parquet(f"{store}/batch={batch_id:012d}")
+
+    return (
+        lines.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stored_readings(spark: SparkSession, store: str) -> DataFrame:
+    """Stream of the parsed readings, one stored batch at a time."""
+    return (
+        spark.readStream.schema(READINGS)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{store}/batch=*")
+    )
+
+
+def fired_from_store(
+    spark: SparkSession,
+    store: str,
+    lookup: DataFrame,
+    policy: Policy,
+    spec: WindowSpec = WindowSpec(),
 ) -> DataFrame:
-    """Firings over raw lines with ``arrival_seq``; a bad line ends the stream."""
-    readings = readings_of(parse_strict(lines, spec.zone), fail=True)
-    return fired_windows(routed(readings, lookup), policy, spec)
+    """Firings over the parsed readings."""
+    return fired_windows(routed(stored_readings(spark, store), lookup), policy, spec)
 
 
 def start_csv(table: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -37,6 +79,7 @@ def start_csv(table: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         table.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write_batches(path))
+        .trigger(availableNow=True)
         .start()
     )
 

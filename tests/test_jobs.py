@@ -24,7 +24,13 @@ from finality.streaming.processor import (
 )
 from finality.operators.meters import lookup_of, route
 from finality.sources.lines import read_meter_ids, stream_lines
-from finality.streaming.job import fired_from_lines, rate_samples, routed, start_csv
+from finality.streaming.job import (
+    fired_from_store,
+    rate_samples,
+    routed,
+    start_csv,
+    start_parsing,
+)
 from test_sources import line, write_gz
 
 
@@ -37,7 +43,7 @@ def raw(tmp_path):
         texts = []
         for n in range(120):
             hour, minute = n // 10 + (day - 16) * 12, n % 10 * 6
-            late = rng.choice([0, 0, 0, 3])
+            late = rng.choice([0, 0, 3, 6])
             texts.append(
                 line(
                     meter_id=f"m{rng.randrange(3)}",
@@ -110,13 +116,13 @@ def test_raw_lines_as_a_stream(spark, raw, tmp_path):
         read_meter_ids(spark, str(raw / "single.csv")), read_meter_ids(spark, str(raw / "three.csv"))
     )
     lines = stream_lines(spark, str(raw / "raw"))
-    policy = Policy("baseline", lateness_ms=3_600_000)
-    late = late_of(fired_from_lines(lines, lookup, policy, WindowSpec()))
-    query = start_csv(late, f"{tmp_path}/late", f"{tmp_path}/checkpoint")
-    query.processAllAvailable()
-    samples = rate_samples(query, "baseline_source_after_parse").collect()
-    query.stop()
+    parsing = start_parsing(lines, f"{tmp_path}/store", f"{tmp_path}/parsing")
+    parsing.awaitTermination()
+    samples = rate_samples(parsing, "baseline_source_after_parse").collect()
     assert sum(s.count_in_interval for s in samples) == 240
+    policy = Policy("baseline", lateness_ms=3_600_000)
+    late = late_of(fired_from_store(spark, f"{tmp_path}/store", lookup, policy))
+    start_csv(late, f"{tmp_path}/late", f"{tmp_path}/checkpoint").awaitTermination()
     written = spark.read.option("header", True).csv(f"{tmp_path}/late/batch=*")
     # the second file arrives after the first has moved the watermark
     assert written.count() > 0
