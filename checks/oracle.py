@@ -429,8 +429,8 @@ pairs AS (
 
 METRICS = f"""
 metrics AS (
-  SELECT experiment, max(s) * 1000 AS ts_ms, round(sum(cents) / (count(*) * CAST(100 AS DOUBLE)), 4) AS cpu_percent,
-    round(100 + sum(cents) / (count(*) * CAST(10 AS DOUBLE)), 4) AS memory, CAST(count(*) AS INTEGER) AS threads
+  SELECT experiment, max(s) * 1000 AS ts_ms, round(sum(cents) / (count(*) * CAST(100 AS DOUBLE)) + 1e-9, 4) AS cpu_percent,
+    round(100 + sum(cents) / (count(*) * CAST(10 AS DOUBLE)) + 1e-9, 4) AS memory, CAST(count(*) AS INTEGER) AS threads
   FROM (SELECT {METHOD} AS experiment, {ARRIVAL} AS s, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
   GROUP BY experiment, s // 3600)"""
 

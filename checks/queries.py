@@ -148,8 +148,8 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
         .select(
             "experiment",
             "ts_ms",
-            F.round(F.col("cents") / (F.col("n") * 100.0), 4).alias("cpu_percent"),
-            F.round(100.0 + F.col("cents") / (F.col("n") * 10.0), 4).alias("rss_mib"),
+            F.round(F.col("cents") / (F.col("n") * 100.0) + 1e-9, 4).alias("cpu_percent"),
+            F.round(100.0 + F.col("cents") / (F.col("n") * 10.0) + 1e-9, 4).alias("rss_mib"),
             F.col("n").cast("int").alias("threads"),
         )
     )

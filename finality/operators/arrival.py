@@ -33,7 +33,8 @@ def replay_watermark(
             block=["_blk"],
         )
     epochs = readings.groupBy("arrival_epoch").agg(F.max("event_ms").alias("top"))
-    before = total_prefix(epochs, [["arrival_epoch"]], {"top": "max"})
+    # few epochs may hold most rows: a checked broadcast keeps those from meeting in one task
+    before = bounded(total_prefix(epochs, [["arrival_epoch"]], {"top": "max"}))
     rows = readings if keep is None else readings.filter(keep)
     return rows.join(
         before.withColumnRenamed("_before_top", "max_seen_ms"), "arrival_epoch"
