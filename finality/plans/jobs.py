@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from finality.config import SINGLE, THREE, JobArgs, WindowSpec
 from finality.functions.timecols import local_text
+from finality.operators.arrival import NO_MORE_INPUT
 from finality.operators.meters import classify_meters, is_voltage, lookup_of, route
 from finality.operators.replay import finalize
 from finality.plans import reports
@@ -94,18 +95,26 @@ def _write_throughput(readings, routed, emissions, args: JobArgs, path) -> None:
     Every line is a reading here, so both points before the filter count the
     same records.
     """
-    clock = readings.select("arrival_seq", F.col("insert_ms").alias("ms"))
-    fired = emissions.select(F.col("fire_seq").alias("arrival_seq")).join(clock, "arrival_seq")
+    one = F.lit(1).alias("n")
+    clock = readings.select("arrival_seq", F.col("insert_ms").alias("ms"), one)
+    # many windows can fire on one arrival: fold them before the join
+    fired = (
+        emissions.filter(F.col("fire_seq") < NO_MORE_INPUT)
+        .groupBy(F.col("fire_seq").alias("arrival_seq"))
+        .agg(F.count("*").alias("n"))
+        .join(clock.drop("n"), "arrival_seq")
+    )
+    filtered = routed.select(F.col("insert_ms").alias("ms"), one)
     for metric, points in (
         (
             "standard_throughput_metrics",
-            {"source_after_ingestion": clock, "post_filter": routed.withColumn("ms", F.col("insert_ms"))},
+            {"source_after_ingestion": clock, "post_filter": filtered},
         ),
         ("throughput_metrics", {"source_after_parse": clock, "post_window_aggregation": fired}),
     ):
         counts = None
         for stage, rows in points.items():
-            part = probe_counts(rows, f"{args.mode}_{stage}", "ms")
+            part = probe_counts(rows, f"{args.mode}_{stage}", "ms", "n")
             counts = part if counts is None else counts.unionByName(part)
         samples = chained_samples(counts).withColumn(
             "timestamp",

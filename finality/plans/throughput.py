@@ -28,11 +28,13 @@ _SAMPLE = (
 # ------------------------------------------------------------------- probes
 
 
-def probe_counts(rows: DataFrame, probe: str, clock_ms: str) -> DataFrame:
-    """Records per millisecond at one point of the job."""
+def probe_counts(
+    rows: DataFrame, probe: str, clock_ms: str, weight: str | None = None
+) -> DataFrame:
+    """Records per millisecond at one point of the job; ``weight`` counts folded rows."""
     return (
         rows.groupBy(F.col(clock_ms).alias("ms"))
-        .agg(F.count("*").alias("n"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("n"))
         .select(F.lit(probe).alias("probe"), "ms", "n")
     )
 

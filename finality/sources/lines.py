@@ -161,15 +161,26 @@ def first_records(rows: DataFrame, count: int | None) -> DataFrame:
 
 
 def ingestion_progress(lines: DataFrame) -> DataFrame:
-    """Lines per file and in total up to it, in file order."""
+    """Start and finish of every file with the lines read so far, in file order.
+
+    Timed progress inside a file is what a streaming query reports itself, see
+    ``streaming.job.rate_samples``.
+    """
     files = lines.groupBy("arrival_epoch", "file_name").agg(F.count("*").alias("lines"))
     upto = Window.partitionBy(F.lit(0)).orderBy("arrival_epoch")
-    return files.select(
-        F.lit("FINISH").alias("event"),
-        F.sum("lines").over(upto).alias("lines_read"),
-        F.row_number().over(upto).alias("file_index"),
-        F.count("*").over(Window.partitionBy(F.lit(0))).cast("int").alias("total_files"),
-        F.col("file_name").alias("current_file"),
+    numbered = files.withColumns(
+        {
+            "after": F.sum("lines").over(upto),
+            "file_index": F.row_number().over(upto),
+            "total_files": F.count("*").over(Window.partitionBy(F.lit(0))).cast("int"),
+        }
+    )
+    events = F.array(
+        F.struct(F.lit("START").alias("event"), (F.col("after") - F.col("lines")).alias("lines_read")),
+        F.struct(F.lit("FINISH").alias("event"), F.col("after").alias("lines_read")),
+    )
+    return numbered.select(
+        F.inline(events), "file_index", "total_files", F.col("file_name").alias("current_file")
     )
 
 

@@ -87,7 +87,7 @@ def test_window_job(spark, raw, mode):
     for metric in ("throughput_metrics", "standard_throughput_metrics"):
         samples = table(f"{metric}_run1_{mode}_1h").collect()
         assert samples and all(int(s.intervalMs) >= 1000 for s in samples)
-    assert table("ingestion_progress").count() == 2
+    assert table("ingestion_progress").count() == 4
 
 
 def test_failed_job_still_writes_its_summary(spark, tmp_path):

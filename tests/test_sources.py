@@ -142,10 +142,11 @@ def test_files_and_arrival_order(spark, tmp_path):
     assert rows[0].day == "20250416" and rows[5].day == "raw.log-extra.gz"
     first = lines.first_records(table, 3).orderBy("arrival_seq").collect()
     assert [r.value for r in first] == ["a", "b", "c"]
-    progress = lines.ingestion_progress(table).orderBy("file_index").collect()
-    assert [(r.lines_read, r.file_index, r.total_files) for r in progress] == [
-        (2, 1, 4), (4, 2, 4), (5, 3, 4), (6, 4, 4),
+    progress = lines.ingestion_progress(table).orderBy("file_index", F.desc("event")).collect()
+    assert [(r.event, r.lines_read, r.file_index, r.total_files) for r in progress[:4]] == [
+        ("START", 0, 1, 4), ("FINISH", 2, 1, 4), ("START", 2, 2, 4), ("FINISH", 4, 2, 4),
     ]
+    assert len(progress) == 8
     present, absent = lines.daily_files(
         spark, f"{tmp_path}/raw.log-{{date}}.gz", date(2025, 4, 17), date(2025, 4, 19)
     )
