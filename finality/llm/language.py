@@ -115,7 +115,7 @@ def count_runs(texts: DataFrame, order: int, bits: int) -> DataFrame:
                         total = np.bincount(inverse, weights=weight[here]).astype(np.int64)
                         n = len(first)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * n), pa.array(np.full(n, size, np.int32)), *[pa.array(c[first].astype(np.int32)) for c in columns], pa.array(opens[first]), pa.array(total)],
+                            [pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), *[pa.array(c[first].astype(np.int32)) for c in columns], pa.array(opens[first]), pa.array(total)],
                             ["lang", "size", "slot", "history", "shorter", "opens", "count"],
                         )
 
@@ -309,7 +309,7 @@ def identify(docs: DataFrame, models: LanguageModels, kept: tuple[str, ...] = ("
                 names = [own.langs[k] if k >= 0 else UNKNOWN for k in best.tolist()]
                 score = np.where(best >= 0, own.score(margin), 0.0)
                 accepted = (best >= 0) & (score >= reject_below) & (entropy <= own.limit)
-                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], pa.array(names), pa.array(score), pa.array(entropy), pa.array(accepted)], [*kept, "lang_pred", "score", "cross_entropy", "accepted"])
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(accepted)], [*kept, "lang_pred", "score", "cross_entropy", "accepted"])
 
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in kept)
     columns = list(dict.fromkeys([*kept, "text"]))

@@ -40,7 +40,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
                 file.write(ids.astype(ids.dtype.newbyteorder("<")).tobytes())
                 n = some.num_rows
                 yield pa.RecordBatch.from_pydict(
-                    {"part": pa.array(np.full(n, part, dtype=np.int32)), "path": [path] * n, "ordinal": np.arange(ordinal, ordinal + n), "doc_id": some.column("doc_id").cast(pa.int64())}
+                    {"part": pa.array(np.full(n, part, dtype=np.int32)), "path": pa.array([path] * n, pa.string()), "ordinal": np.arange(ordinal, ordinal + n), "doc_id": some.column("doc_id").cast(pa.int64())}
                 )
                 ordinal += n
         if file is not None:
@@ -63,7 +63,7 @@ def count_tokens(files: DataFrame, end_id: int, block_tokens: int = BLOCK_TOKENS
                     n = file.size() // int(path[-1])
                 blocks = np.arange(-(-n // block_tokens))
                 yield pa.RecordBatch.from_pydict(
-                    {"part": pa.array(np.full(len(blocks), part, dtype=np.int32)), "path": [path] * len(blocks), "block": blocks, "tokens": np.minimum(block_tokens, n - blocks * block_tokens)}
+                    {"part": pa.array(np.full(len(blocks), part, dtype=np.int32)), "path": pa.array([path] * len(blocks), pa.string()), "block": blocks, "tokens": np.minimum(block_tokens, n - blocks * block_tokens)}
                 )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
