@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from finality.llm.arrow_text import TO_LOWER, hashes, slices, text_bytes, words
 from finality.llm.shared import stored
 
-SHARD_BYTES, BLOCK, BUCKET_BITS = 24_000_000, 64, 10
+SHARD_BYTES, BLOCK, BUCKET_BITS = 12_000_000, 64, 10
 INDEX = "shard long, bucket int, terms binary, ends binary, docs binary, counts binary, block_ends binary, block_counts binary, block_lengths binary, ids array<long>, lengths binary"
 
 
