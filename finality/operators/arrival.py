@@ -8,7 +8,6 @@ from finality.config import WindowSpec
 from finality.functions.scan import TOP_BITS, blocks_of, running, total_prefix
 from finality.functions.windowing import floor_to, window_start
 
-_LOCAL_ROWS = 200_000
 NO_MORE_INPUT = 9_223_372_036_854_775_807
 
 
@@ -33,8 +32,8 @@ def replay_watermark(
             block=["_blk"],
         )
     epochs = readings.groupBy("arrival_epoch").agg(F.max("event_ms").alias("top"))
-    # few epochs may hold most rows: a checked broadcast keeps those from meeting in one task
-    before = bounded(total_prefix(epochs, [["arrival_epoch"]], {"top": "max"}))
+    # few epochs may hold most rows; Spark broadcasts or splits by the sizes it meets at run time
+    before = total_prefix(epochs, [["arrival_epoch"]], {"top": "max"})
     rows = readings if keep is None else readings.filter(keep)
     return rows.join(
         before.withColumnRenamed("_before_top", "max_seen_ms"), "arrival_epoch"
@@ -82,12 +81,10 @@ def watermark_passes(
         F.col("cell").alias("window_end_ms"), F.least("hit", "_before_hit").alias("hit")
     )
     if per == "record":
-        return bounded(
-            passes.select(
-                "window_end_ms",
-                F.col("hit.unit").alias("pass_seq"),
-                F.col("hit.event_ms").alias("pass_event_ms"),
-            )
+        return passes.select(
+            "window_end_ms",
+            F.col("hit.unit").alias("pass_seq"),
+            F.col("hit.event_ms").alias("pass_event_ms"),
         )
     epochs = readings.groupBy("arrival_epoch").agg(
         F.max("event_ms").alias("top"), F.max("arrival_seq").alias("pass_seq")
@@ -99,16 +96,4 @@ def watermark_passes(
         F.greatest("top", "_before_top").alias("pass_event_ms"),
     )
     passes = passes.select("window_end_ms", F.col("hit.unit").alias("unit"))
-    return bounded(passes.join(reached, "unit", "left").drop("unit"))
-
-
-def bounded(table: DataFrame, max_rows: int = _LOCAL_ROWS) -> DataFrame:
-    """The table as a broadcast copy if it has few rows, unchanged otherwise.
-
-    One row per window end is a few thousand rows per year of data, but odd
-    timestamps can add more, so the number of rows is checked before the copy.
-    """
-    rows = table.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return table
-    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+    return passes.join(reached, "unit", "left").drop("unit")

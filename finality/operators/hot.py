@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from finality.config import THREE, WindowSpec
-from finality.functions.points import is_zero, with_content
+from finality.functions.points import is_zero
 from finality.functions.windowing import phase_index
 from finality.session import ship
 
@@ -215,36 +215,12 @@ def fault_flags(emissions: DataFrame, taken: DataFrame, spec: WindowSpec) -> Dat
     )
 
 
-def hot_contents(
-    emissions: DataFrame, taken: DataFrame, content: dict, spec: WindowSpec
-) -> DataFrame:
-    """Emissions with their content.
-
-    The fault flag never gathers a window. Other content is a function of the
-    whole array of points: one cell as large as the window, again for every
-    late reading. It stays null here; ``window_points`` has the points as rows.
-    """
-    out = emissions
-    if "fault_indicator" in content:
-        flags = fault_flags(emissions, taken, spec).withColumn(
-            "meter_id", F.col("meter_id").cast(taken.schema["meter_id"].dataType)
-        )
-        out = out.join(flags, [*_GROUP, "emit_no"])
-    typed = with_content(
-        taken.limit(0).select(
-            "phase_group",
-            F.array(
-                F.struct(
-                    F.col("arrival_seq").alias("seq"), "event_ms", "value", F.lit(0).alias("phase")
-                )
-            ).alias("points"),
-        ),
-        content,
-    ).schema
-    out = out.withColumns(
-        {n: F.lit(None).cast(typed[n].dataType) for n in content if n != "fault_indicator"}
+def with_fault_flags(emissions: DataFrame, taken: DataFrame, spec: WindowSpec) -> DataFrame:
+    """Emissions with ``fault_indicator``, found without gathering a window."""
+    flags = fault_flags(emissions, taken, spec).withColumn(
+        "meter_id", F.col("meter_id").cast(taken.schema["meter_id"].dataType)
     )
-    return out.select(*_GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq", *content)
+    return emissions.join(flags, [*_GROUP, "emit_no"])
 
 
 def window_points(taken: DataFrame) -> DataFrame:

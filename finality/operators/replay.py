@@ -25,14 +25,13 @@ from finality.functions.windowing import (
 )
 from finality.operators.arrival import (
     NO_MORE_INPUT,
-    bounded,
     replay_watermark,
     watermark_passes,
 )
-from finality.operators.hot import hot_contents
-from finality.session import settled
+from finality.operators.hot import with_fault_flags
 
 GROUP = ["phase_group", "meter_id", "window_start_ms"]
+EMITTED = [*GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq"]
 Content = dict[str, Callable[[Column, Column], Column]]
 
 
@@ -269,15 +268,15 @@ def _dense_emissions(taken: DataFrame, content: Content) -> DataFrame:
 
 
 def _hot_emissions(taken: DataFrame, content: Content, spec: WindowSpec) -> DataFrame:
-    """Emissions of windows with too many points for one array.
+    """Emissions of very full windows that are updated by late readings.
 
-    Counts come from the blocked scan, content from points split by event time.
+    Counts come from the blocked scan and fault flags from points split by event
+    time, so no update gathers a window for them. Other content is a function of
+    all points so far and is computed from these for each emission that asks for
+    it; the voltage text asks for it in faulty emissions only.
     """
-    # read several times below, so the watermark is not replayed for each
-    taken = settled(
-        taken.select(
-            *GROUP, "window_end_ms", "series_id", "event_ms", "value", "arrival_seq", "late"
-        )
+    taken = taken.select(
+        *GROUP, "window_end_ms", "series_id", "event_ms", "value", "arrival_seq", "late"
     )
     counts = taken.groupBy(*GROUP, "window_end_ms").agg(
         F.count_if(~F.col("late")).alias("on_time"),
@@ -308,7 +307,23 @@ def _hot_emissions(taken: DataFrame, content: Content, spec: WindowSpec) -> Data
         F.lit(False).alias("closes"),
         F.col("arrival_seq").alias("by_seq"),
     )
-    return hot_contents(closing.unionByName(updates), taken, content, spec)
+    flagged = closing.unionByName(updates)
+    if "fault_indicator" in content:
+        flagged = with_fault_flags(flagged, taken, spec)
+    others = {n: make for n, make in content.items() if n != "fault_indicator"}
+    if not others:
+        return flagged.select(*EMITTED, *content)
+    points = taken.groupBy(*GROUP).agg(F.sort_array(F.collect_list(_point())).alias("points"))
+    texts_only = set(others) == {"voltage_data"} and "fault_indicator" in content
+    asking = flagged.filter("fault_indicator") if texts_only else flagged
+    asking = asking.join(points, GROUP).withColumn("points", F.slice("points", F.lit(1), F.col("k")))
+    filled = content_of.with_content(asking, others).select(*EMITTED, *content)
+    if not texts_only:
+        return filled
+    silent = flagged.filter("NOT fault_indicator").withColumn(
+        "voltage_data", F.lit(None).cast("string")
+    )
+    return filled.unionByName(silent.select(*EMITTED, *content))
 
 
 def finalize(
@@ -326,10 +341,9 @@ def finalize(
     ``content`` names what is computed from the points of a window; each entry
     takes the phase group and the array of points in arrival order. ``fire_seq``
     and ``fire_phase`` order emissions: by the arrival that fired them, and by
-    the watermark it moved when the phase is 1. Windows with more than
-    ``spec.dense_limit`` points have their fault flag, but no content that would
-    put all points into one cell. ``counters`` observes the number
-    of routed and dropped readings on the way.
+    the watermark it moved when the phase is 1. Content is whole for windows of
+    every size. ``counters`` observes the number of routed and dropped readings
+    on the way.
     """
     content = content_of.default_content(spec) if content is None else content
     placed = place(readings, policy, spec, route, per, keep)
@@ -343,13 +357,13 @@ def finalize(
 
     native = {name: make for name, make in content.items() if name != "distinct_slot_count"}
     taken = placed.filter("NOT dropped")
-    hot = hot_windows(readings, spec, route, keep)
-    if hot.isEmpty():
+    if not policy.lateness_ms:
+        # late readings are dropped, so every window is emitted once
         emitted = _dense_emissions(taken, native)
     else:
-        hot = bounded(hot)
-        emitted = _dense_emissions(taken.join(hot, GROUP, "left_anti"), native).unionByName(
-            _hot_emissions(taken.join(hot, GROUP, "left_semi"), native, spec)
+        full = taken.groupBy(*GROUP).count().filter(F.col("count") > spec.dense_limit).select(*GROUP)
+        emitted = _dense_emissions(taken.join(full, GROUP, "left_anti"), native).unionByName(
+            _hot_emissions(taken.join(full, GROUP, "left_semi"), native, spec)
         )
     passes = watermark_passes(readings, spec, policy.delay_ms, per)
     emitted = emitted.join(passes, "window_end_ms", "left").withColumns(
@@ -363,17 +377,3 @@ def finalize(
     if "distinct_slot_count" in content:
         emitted = emitted.withColumn("distinct_slot_count", F.lit(None).cast("int"))
     return emitted.select(*native_columns(policy, content))
-
-
-def hot_windows(readings, spec, route, keep) -> DataFrame:
-    """Windows with more readings than one array should hold."""
-    rows = readings if keep is None else readings.filter(keep)
-    rows = rows if route is None else route(rows)
-    return (
-        rows.groupBy(
-            "phase_group", "meter_id", window_start(F.col("event_ms"), spec).alias("window_start_ms")
-        )
-        .count()
-        .filter(F.col("count") > spec.dense_limit)
-        .select(*GROUP)
-    )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from datetime import date, timedelta
+from itertools import accumulate
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from finality.functions.scan import blocks_of, running
 
@@ -87,6 +88,11 @@ def daily_files(
     return present, [day for day, name in names.items() if name not in by_name]
 
 
+def _plain_path(column: str) -> Column:
+    """A path as text; files of the machine itself are written with or without a scheme."""
+    return F.regexp_replace(F.col(column), "^file:/+", "/")
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Non-empty lines with their arrival order.
 
@@ -97,21 +103,21 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not all(path.endswith(".gz") for path in paths):
         raise ValueError("historical files must be gzip files")
     order = spark.createDataFrame(
-        [(path.rsplit("/", 1)[-1], rank) for rank, path in enumerate(paths)],
-        "file_name string, arrival_epoch bigint",
-    )
+        [(path, rank) for rank, path in enumerate(paths)], "given string, arrival_epoch bigint"
+    ).select(_plain_path("given").alias("path"), "arrival_epoch")
     lines = (
         spark.read.text(paths)
         .select(
             "value",
             F.col("_metadata.file_name").alias("file_name"),
+            _plain_path("_metadata.file_path").alias("path"),
             F.monotonically_increasing_id().alias("row_id"),
         )
         .filter("value <> ''")
     )
     row = F.col("row_id").bitwiseAND((1 << _ROW_BITS) - 1)
     return lines.join(
-        F.broadcast(order) if len(paths) <= _BROADCAST_FILES else order, "file_name"
+        F.broadcast(order) if len(paths) <= _BROADCAST_FILES else order, "path"
     ).select(
         "value",
         "file_name",
@@ -136,12 +142,27 @@ def stream_lines(spark: SparkSession, folder: str, pattern: str = "*.gz") -> Dat
 
 
 def number_lines(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Lines of one micro-batch with their arrival order."""
-    row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
-    return batch.select(
-        "value",
-        F.lit(batch_id).cast("bigint").alias("arrival_epoch"),
-        (row + (batch_id << _ROW_BITS)).alias("arrival_seq"),
+    """Lines of one micro-batch with their arrival order.
+
+    An ``arrival_seq`` that the source gives, such as the order of a bus, is kept.
+    Otherwise lines are numbered partition by partition: the rows of each are
+    counted first, one number per partition, and added up.
+    """
+    epoch = F.lit(batch_id).cast("bigint").alias("arrival_epoch")
+    if "arrival_seq" in batch.columns:
+        return batch.select("value", epoch, "arrival_seq")
+    numbered = batch.select("value", F.monotonically_increasing_id().alias("id"))
+    part = F.shiftright("id", _ROW_BITS)
+    counts = sorted(tuple(r) for r in numbered.groupBy(part.alias("part")).count().collect())
+    ends = list(accumulate(n for _, n in counts))
+    before = batch.sparkSession.createDataFrame(
+        [(k, end - n) for (k, n), end in zip(counts, ends)], "part bigint, before bigint"
+    )
+    row = F.col("id").bitwiseAND((1 << _ROW_BITS) - 1)
+    return (
+        numbered.withColumn("part", part)
+        .join(F.broadcast(before), "part")  # a row per partition
+        .select("value", epoch, (F.col("before") + row + (batch_id << _ROW_BITS)).alias("arrival_seq"))
     )
 
 

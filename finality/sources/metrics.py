@@ -120,13 +120,13 @@ def with_run(samples: DataFrame) -> DataFrame:
     A file with another name takes the method from its first probe, its run and
     time setting are unknown. Needs ``file_name, probe, ts_ms``.
     """
-    pattern = (
-        rf"^standard_throughput_metrics_([^_]+)_({'|'.join(MODES)})_(.+)\.csv$"
-    )
-    named = F.col("file_name").rlike(pattern)
+    kind, ending = "standard_throughput_metrics_", ".csv"
+    name = F.col("file_name")
+    rest = F.split(F.expr(f"substring(file_name, {len(kind) + 1}, length(file_name) - {len(kind + ending)})"), "_", 3)
+    named = name.startswith(kind) & name.endswith(ending) & (F.size(rest) == 3) & F.get(rest, F.lit(1)).isin(*MODES)
 
     def part(group: int) -> Column:
-        return F.regexp_extract("file_name", pattern, group)
+        return F.get(rest, F.lit(group - 1))
 
     first = samples.groupBy("file_name").agg(F.min_by("probe", "ts_ms").alias("_probe"))
     method = F.when(named, part(2)).otherwise(
@@ -147,40 +147,47 @@ def with_run(samples: DataFrame) -> DataFrame:
     )
 
 
-def _gc_pattern(types: str, sizes_optional: bool) -> str:
-    sizes = r"(\d+)[A-Z]?->(\d+)[A-Z]?\((\d+)[A-Z]?\) "
-    if sizes_optional:
-        sizes = f"(?:{sizes})?"
-    return (
-        r"\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+[+-]\d{4})\].*?"
-        rf"Pause ({types}).*?{sizes}(\d+\.\d+)ms"
-    )
-
-
-# Pause lines with and without heap sizes.
-GC_ANY = _gc_pattern("Young|Full|Remark|Cleanup", sizes_optional=True)
-GC_SIZED = _gc_pattern("Young|Full", sizes_optional=False)
+# Kinds of pause that are read, and those whose heap sizes are read.
+PAUSES = ("Young", "Full", "Remark", "Cleanup")
+SIZED_PAUSES = ("Young", "Full")
 
 
-def gc_events(lines: DataFrame, pattern: str = GC_ANY) -> DataFrame:
-    """Pauses in log lines: time, type, sizes in MB and duration."""
+def gc_events(
+    lines: DataFrame, kinds: tuple[str, ...] = PAUSES, sizes_needed: bool = False
+) -> DataFrame:
+    """Pauses in log lines: time, type, sizes in MB and duration.
 
-    def number(group: int) -> Column:
-        return F.regexp_extract("value", pattern, group).try_cast("double")
+    The parts of a line are found one by one: the time in the first brackets
+    with a date, the word after ``Pause``, the sizes around the first arrow and the number
+    before the last ``ms``. A line without time, kind or duration is no pause.
+    """
+    stamp = F.regexp_extract("value", r"\[(\d+-\d\d-\d\dT[^\]]+)\]", 1)
+    pause = F.substring_index("value", "Pause ", -1)
+    kind = F.regexp_extract(pause, r"^\W*([A-Za-z]+)", 1)
+    duration = F.regexp_extract(pause, r"([0-9]+[.][0-9]+)ms", 1)
+    arrow = F.contains(pause, F.lit("->"))
+    left = F.regexp_extract(F.substring_index(pause, "->", 1), r"(\d+)[A-Z]?$", 1)
+    right = F.substring_index(pause, "->", -1)
+    after, capacity = F.regexp_extract(right, r"^(\d+)", 1), F.regexp_extract(right, r"\((\d+)", 1)
+
+    def size(text: Column) -> Column:
+        return F.when(arrow, text.try_cast("double"))
 
-    stamp = F.regexp_extract("value", pattern, 1)
     # the offset is part of the text, so the session zone plays no role
-    instant = F.to_timestamp(
-        F.regexp_replace(stamp, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    )
+    instant = F.try_to_timestamp(F.regexp_replace(stamp, r"([+-]\d{2})(\d{2})$", "$1:$2"))
     others = [c for c in lines.columns if c != "value"]
-    return lines.filter(F.col("value").rlike(pattern)).select(
+    found = lines.filter(F.contains("value", F.lit("Pause "))).select(
         *others,
         F.unix_millis(instant).alias("ts_ms"),
-        F.regexp_extract("value", pattern, 2).alias("type"),
-        number(3).alias("before_mb"),
-        number(4).alias("after_mb"),
-        number(5).alias("capacity_mb"),
-        number(6).alias("duration_ms"),
-        (number(3) - number(4)).alias("recovered_mb"),
+        kind.alias("type"),
+        size(left).alias("before_mb"),
+        size(after).alias("after_mb"),
+        size(capacity).alias("capacity_mb"),
+        duration.try_cast("double").alias("duration_ms"),
+    )
+    pauses = found.filter(
+        F.col("ts_ms").isNotNull() & F.col("type").isin(*kinds) & F.col("duration_ms").isNotNull()
     )
+    if sizes_needed:
+        pauses = pauses.filter("before_mb IS NOT NULL AND after_mb IS NOT NULL AND capacity_mb IS NOT NULL")
+    return pauses.withColumn("recovered_mb", F.col("before_mb") - F.col("after_mb"))

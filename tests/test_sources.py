@@ -264,7 +264,7 @@ def test_gc_log(spark):
         ("Young", 12.0, 9.0, 4.5), ("Remark", None, None, 0.7), ("Full", 60.0, 50.0, 50.0),
     ]
     assert events[0].ts_ms == 1_777_640_400_123
-    assert metrics.gc_events(df, metrics.GC_SIZED).count() == 2
+    assert metrics.gc_events(df, metrics.SIZED_PAUSES, sizes_needed=True).count() == 2
     from finality.plans import resources
 
     series = resources.gc_series(metrics.gc_events(df))
@@ -309,3 +309,28 @@ def test_arguments():
     for wrong in ({"mode": "x"}, {"source": "x"}, {"from_date": "2025"}, {"time_setting": "x"}):
         with pytest.raises(ValueError):
             JobArgs(**wrong)
+
+
+def test_batch_order_is_unique_over_partitions(spark):
+    from finality.sources.lines import number_lines
+
+    batch = spark.range(1000).selectExpr("cast(id as string) as value").repartition(4)
+    rows = number_lines(batch, 3).collect()
+    assert len({r.arrival_seq for r in rows}) == 1000 and all(r.arrival_seq >> 33 == 3 for r in rows)
+    given = batch.selectExpr("value", "cast(value as bigint) * 7 as arrival_seq")
+    assert all(int(r.value) * 7 == r.arrival_seq for r in number_lines(given, 0).collect())
+
+
+def test_equal_file_names_in_two_folders(spark, tmp_path):
+    import gzip
+
+    from finality.sources.lines import read_lines
+
+    paths = []
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        paths.append(str(tmp_path / folder / "raw.log-20250416.gz"))
+        with gzip.open(paths[-1], "wt") as file:
+            file.write("".join(f"{folder}{i}\n" for i in range(3)))
+    rows = read_lines(spark, paths).orderBy("arrival_seq").collect()
+    assert [r.value for r in rows] == ["a0", "a1", "a2", "b0", "b1", "b2"]
