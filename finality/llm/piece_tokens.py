@@ -61,7 +61,7 @@ class PieceEncoder:
     ``keep`` bounds the remembered pieces of a worker; beyond it they are forgotten and encoded anew.
     """
 
-    def __init__(self, path: str, keep: int = 1_300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
