@@ -32,6 +32,8 @@ from finality.llm.arrow_text import TO_LOWER, mixed, slices, text_bytes, words
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Scores of all characters of the different words of a slice are held at once.
+SLICE_BYTES = 2_000_000
 RUNS = "lang string, size int, slot int, history int, shorter int, opens boolean, count long"
 #: Calibration: bins of the margin and of the cross-entropy, and the share of labelled texts that may be rejected.
 MARGIN_STEP, ENTROPY_STEP, REJECTED = 0.05, 0.05, 0.0005
@@ -92,7 +94,7 @@ def count_runs(texts: DataFrame, order: int, bits: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=SLICE_BYTES):
                 spelled, number, first_word = distinct_words(some.column("text"))
                 langs = some.column("lang").dictionary_encode()
                 if not spelled:
@@ -256,7 +258,7 @@ def calibrated(models: LanguageModels, texts: DataFrame) -> LanguageModels:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=SLICE_BYTES):
                 own = shared.value
                 best, margin, entropy, n = own.judge(some.column("text"))
                 right = np.array([b >= 0 and own.langs[b] == x for b, x in zip(best.tolist(), some.column("lang").to_pylist(), strict=True)], dtype=bool)
@@ -303,7 +305,7 @@ def identify(docs: DataFrame, models: LanguageModels, kept: tuple[str, ...] = ("
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=SLICE_BYTES):
                 own = shared.value
                 best, margin, entropy, _ = own.judge(some.column("text"))
                 names = [own.langs[k] if k >= 0 else UNKNOWN for k in best.tolist()]
@@ -323,7 +325,7 @@ def accepted_only(docs: DataFrame, models: LanguageModels, reject_below: float =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=SLICE_BYTES):
                 own = shared.value
                 best, margin, entropy, _ = own.judge(some.column("text"))
                 good = (best >= 0) & (own.score(margin) >= reject_below) & (entropy <= own.limit)

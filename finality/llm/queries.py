@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finality.llm import decontaminate, jaccard_join, language, packing, records, search, secret_links, substring_dedup, token_counts, url_reputation
-from finality.llm.shared import shared_folder
+from finality.llm.shared import shared_folder, small_batches
 from finality.session import ship
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -19,6 +19,7 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

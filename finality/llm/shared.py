@@ -11,6 +11,13 @@ from pyspark.sql.types import LongType
 from finality.session import ship
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Give Python workers batches of at most ``rows`` rows, as rows hold whole texts; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder (URI) below the one that driver and executors share.
 
@@ -18,6 +25,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     machine, a temporary folder is taken.
     """
     ship(spark)
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
         root = getattr(spark.sparkContext, "_finality_scratch", "") or "file://" + tempfile.mkdtemp(prefix="finality-")
