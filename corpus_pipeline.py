@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finality.llm import decontaminate, jaccard_join, language, packing, secret_links
-from finality.llm.shared import stored
+from finality.llm.shared import small_batches, stored
 from finality.session import ship
 
 #: Packing can't be written in SQL; tests hold the rows against a plain version.
@@ -19,6 +19,7 @@ ORACLE_SQL = None
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the models of the labelled documents recognise."""
     ship(spark)
+    small_batches(spark)
     models = language.train(docs.select("doc_id", "text", "lang"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(12)) == 0)
     return language.accepted_only(docs, models)
 
@@ -26,6 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
     ship(spark)
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -42,6 +44,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of 2048 tokens."""
     ship(spark)
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
 
 
