@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from finality.llm.shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: First part up to the first "://", then host and path.
 PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -69,13 +71,15 @@ def reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645, least: flo
     hosts = judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
     labels_of = F.split("host", "[.]")
     hosts = hosts.select("host", F.array_join(F.slice(labels_of, F.greatest(F.size(labels_of) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(labels_of, -1).alias("suffix"), "n", "x")
+    # every level reads the hosts; pages and labels are read for them once
+    hosts = stored(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).withColumn("every", F.lit(1))
     # half a bad and half a good page more, so that no rate is 0, 1 or undefined
     root = suffixes.groupBy("every").agg(((F.sum("x") + 0.5) / (F.sum("n") + 1)).alias("m"))
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("m")
     by_suffix = shrunk(suffixes, "suffix", "every", root, least, most).select("suffix", mean)
-    by_domain = shrunk(domains, "domain", "suffix", by_suffix, least, most).select("domain", mean)
+    by_domain = stored(shrunk(domains, "domain", "suffix", by_suffix, least, most).select("domain", mean), "domains")
     total = F.col("a") + F.col("b")
     deviation = F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
     return shrunk(hosts, "host", "domain", by_domain, least, most).select(
