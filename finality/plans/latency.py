@@ -106,11 +106,11 @@ def _share(test: Column, name: str) -> list[Column]:
 
 def quantile_table(rows: DataFrame) -> DataFrame:
     """Eleven fixed quantiles of the latency in minutes."""
-    values = F.percentile(
-        F.col("finalization_latency_ms") / MINUTE, F.array(*[F.lit(q) for q in QUANTILES])
-    )
+    # equal latencies are counted first, as for the summary
+    counted = rows.groupBy("finalization_latency_ms").agg(F.count("*").alias("n"))
     shares = F.array(*[F.lit(q) for q in QUANTILES])
-    return rows.agg(values.alias("v")).select(
+    values = F.percentile(F.col("finalization_latency_ms") / MINUTE, shares, F.col("n"))
+    return counted.agg(values.alias("v")).select(
         F.inline(F.arrays_zip(shares.alias("quantile"), F.col("v").alias("finalization_latency_min")))
     ).select(
         "quantile",

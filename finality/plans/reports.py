@@ -14,7 +14,7 @@ from finality.functions.windowing import (
     final_met,
     preliminary_met,
 )
-from finality.session import settled
+from finality.session import only_row, settled
 
 KEY = ["mode", "meter_id", "series_id", "window_start_ms", "window_end_ms"]
 
@@ -387,7 +387,7 @@ def missing_slots(counts: DataFrame, dropped: DataFrame, spec: WindowSpec) -> Da
         F.count_if(F.col("missing_slots") > 0).alias("incomplete_by_slots"),
     )
     total = F.col("phase").isNull()
-    return stats.crossJoin(F.broadcast(dropped.limit(1))).select(
+    return stats.crossJoin(F.broadcast(only_row(dropped, "dropped records"))).select(
         F.coalesce("phase", F.lit("all_windows")).alias("phase"),
         *stats.columns[1:],
         F.when(total, F.col("missing_by_count") - F.col("dropped_records")).alias(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from finality.config import BASELINE, MODES, PROPOSED
 from finality.functions.labels import percent_change, percent_saving
+from finality.session import only_row
 
 # Memory columns in order of preference.
 MEMORY_COLUMNS = ("rss_mib", "memory_used_mib", "heap_used_mib")
@@ -141,7 +142,7 @@ def performance_comparison(summary: DataFrame, proposed: str = PROPOSED) -> Data
     mine = summary.filter(F.col("experiment") == proposed).select(
         *[F.col(m).alias(f"proposed_{m}") for m in measures]
     )
-    rows = summary.filter(F.col("experiment") != proposed).crossJoin(F.broadcast(mine.limit(1)))
+    rows = summary.filter(F.col("experiment") != proposed).crossJoin(F.broadcast(only_row(mine, f"summary of {proposed}")))
 
     def saving(measure: str, unit: str) -> Column:
         return percent_saving(F.col(f"{measure}_{unit}"), F.col(f"proposed_{measure}_{unit}")).alias(

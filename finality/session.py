@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,3 +40,10 @@ def settled(table: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return table.checkpoint()
+
+
+def only_row(table: DataFrame, name: str) -> DataFrame:
+    """The row of a table that has one; no row stays none, and more than one is an error."""
+    folded = table.agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in table.columns])
+    several = F.raise_error(F.lit(f"{name}: one row expected")).cast("boolean")
+    return folded.filter(F.when(F.col("_rows") > 1, several).otherwise(F.col("_rows") == 1)).drop("_rows")

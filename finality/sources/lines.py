@@ -14,7 +14,8 @@ from finality.functions.scan import blocks_of, running
 _DATE_AT_END = re.compile(r"(\d{8})\.gz$")
 # a partition numbers its rows in the low 33 bits
 _ROW_BITS = 33
-_BUS_PARTITION_BITS = 12
+# of a bus: 2^20 partitions, and offsets up to 2^43
+_BUS_PARTITION_BITS = 20
 _BROADCAST_FILES = 100_000
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from finality.config import THREE_PHASE_LABEL, WindowSpec
 from finality.plans import latency, lateness, reports, resources, throughput
 from finality.plans.standins import SPARSE
+from finality.session import only_row
 from finality.sinks.writers import OUTPUT_COUNTS, csv_view
 
 MIN = 60_000
@@ -234,3 +235,11 @@ def test_faulty_windows_count_on_in_order(spark, folder):
     one = reports.faulty_windows(rows, SPARSE)
     many = reports.faulty_windows(rows, dataclasses.replace(SPARSE, block_bits=2))
     assert one.count() > 10 and one.exceptAll(many).isEmpty()
+
+
+def test_only_row(spark):
+    table = spark.createDataFrame([(1, None)], "a int, b string")
+    assert [tuple(r) for r in only_row(table, "t").collect()] == [(1, None)]
+    assert only_row(table.filter("false"), "t").collect() == []
+    with pytest.raises(Exception, match="one row expected"):
+        only_row(table.union(table), "t").collect()
