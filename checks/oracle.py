@@ -608,6 +608,68 @@ def minutes(column: str) -> str:
     return f"printf('%.2f', {column} / CAST(60000 AS DOUBLE))"
 
 
+# ------------------------------------------------------------ text lines
+
+LINES = """
+stamped AS (SELECT *, event_id % 16 AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day FROM events),
+lines AS (
+  SELECT event_id AS arrival_seq, day, 'lines-' || day AS file_name, CASE WHEN kind = 7 THEN '  ' ELSE
+    CASE WHEN kind = 3 THEN 'Row{' ELSE 'Struct{' END || 'series_id=' || event_type || ',location_id=place ' || (user_id % 10)
+    || CASE WHEN kind = 8 THEN ', upper floor' ELSE '' END || CASE WHEN kind = 4 THEN '' ELSE CASE WHEN kind = 11 THEN ', ' ELSE ',' END || 'meter_id= ' || user_id || ' ' END
+    || ',time=' || CASE WHEN kind = 5 THEN stamp[1:5] || '13' || stamp[8:] ELSE stamp || '.25' END
+    || ',value=' || CASE WHEN kind = 6 THEN 'n/a' ELSE (event_id % 977) || '.5' END
+    || ',value_status=ok,insert_time=' || stamp || ',extract_time=' || CASE WHEN kind = 9 THEN 'today' ELSE stamp END
+    || CASE WHEN kind = 10 THEN '' ELSE '}' END END AS text
+  FROM stamped)"""
+
+
+def parsed(pattern: str, trimmed: bool) -> str:
+    """Fields of a line by a pattern around the name."""
+
+    def field(name: str) -> str:
+        found = f"'{pattern.replace('NAME', name)}'"
+        return f"CASE WHEN framed AND regexp_matches(body, {found}) THEN {'trim' if trimmed else ''}(regexp_extract(body, {found}, 1)) END AS {name}"
+
+    names = ("series_id", "location_id", "meter_id", "time", "value", "value_status", "insert_time", "extract_time")
+    stamps = ", ".join(f"epoch_ms(try_cast({c} AS TIMESTAMP)) AS {ms}" for c, ms in (("time", "event_ms"), ("insert_time", "insert_ms"), ("extract_time", "extract_ms")))
+    return f"""{LINES},
+framed AS (SELECT *, starts_with(text, 'Struct{{') AND ends_with(text, '}}') AS framed, text[8:-2] AS body FROM lines),
+fields AS (SELECT arrival_seq, day, file_name, text, framed, {', '.join(field(n) for n in names)} FROM framed),
+parsed AS (SELECT * EXCLUDE (value), value AS value_text, try_cast(value AS DOUBLE) AS value, {stamps} FROM fields)"""
+
+
+STRICT_ERROR = """CASE WHEN trim(text) = '' THEN 'empty line' WHEN NOT framed THEN 'not a Struct{...} line'
+  WHEN series_id IS NULL OR location_id IS NULL OR meter_id IS NULL OR time IS NULL OR value_text IS NULL OR value_status IS NULL OR insert_time IS NULL OR extract_time IS NULL THEN 'missing field'
+  WHEN event_ms IS NULL OR insert_ms IS NULL OR extract_ms IS NULL THEN 'bad time' WHEN value IS NULL THEN 'bad value' END"""
+LOOSE_ERROR = """CASE WHEN NOT framed THEN 'not a Struct{...} line' WHEN series_id IS NULL OR meter_id IS NULL THEN 'missing field'
+  WHEN event_ms IS NULL THEN 'bad time' END"""
+LINE_COLUMNS = "arrival_seq, series_id, location_id, meter_id, event_ms, value, value_status, insert_ms, extract_ms"
+PAUSE_ROWS = f"""
+logged AS (
+  SELECT event_id AS n, {METHOD} AS experiment, (epoch_us(ts) // 1000000) * 1000 + 250 AS ts_ms, ['Young', 'Full', 'Remark', 'Cleanup', 'Sweep'][CAST(event_id % 5 AS INTEGER) + 1] AS type FROM events),
+pauses AS (
+  SELECT n AS arrival_seq, experiment, ts_ms, type, CASE WHEN n % 7 <> 0 THEN CAST(n % 300 + 20 AS DOUBLE) END AS before_mb, CASE WHEN n % 7 <> 0 THEN CAST(n % 20 AS DOUBLE) END AS after_mb,
+    CASE WHEN n % 7 <> 0 THEN CAST(512 AS DOUBLE) END AS capacity_mb, CAST(n % 40 AS DOUBLE) + 0.125 AS duration_ms
+  FROM logged WHERE n % 11 <> 0 AND type <> 'Sweep')"""
+
+
+def text_lines() -> dict[str, str]:
+    strict, loose = parsed("(?:^|,)NAME=(.*?)(?:,[a-zA-Z_]+=|$)", True), parsed("(?:^|[^a-zA-Z_])NAME=([^,}]+)", False)
+    minutes = "greatest((max(ts_ms) - min(ts_ms)) / 1000.0 / 60.0, 1e-9)"
+    return {
+        "parsed_lines": f"WITH {strict} SELECT {LINE_COLUMNS}, {STRICT_ERROR} AS parse_error, CASE WHEN {STRICT_ERROR} IS NOT NULL THEN text END AS raw FROM parsed",
+        "profiled_lines": f"WITH {loose} SELECT {LINE_COLUMNS}, {LOOSE_ERROR} AS parse_error, CASE WHEN {LOOSE_ERROR} IS NOT NULL THEN text END AS raw FROM parsed WHERE trim(text) <> ''",
+        "profiled_files": f"""WITH {loose},
+files AS (SELECT day, file_name, count(*) FILTER (WHERE ({LOOSE_ERROR}) IS NULL) AS records, count(*) FILTER (WHERE ({LOOSE_ERROR}) IS NOT NULL) AS errors FROM parsed WHERE trim(text) <> '' GROUP BY ALL)
+SELECT file_name, records, errors, CAST(sum(records) OVER (ORDER BY day) AS BIGINT) AS total_records, CAST(sum(errors) OVER (ORDER BY day) AS BIGINT) AS total_errors FROM files""",
+        "pause_rows": f"WITH {PAUSE_ROWS} SELECT *, before_mb - after_mb AS recovered_mb FROM pauses",
+        "pause_summary": f"""WITH {PAUSE_ROWS}
+SELECT experiment, count(*) AS gc_events, {rnd(f'count(*) / {minutes}', 'gc_events_per_min')}, {rnd('sum(duration_ms)', 'gc_total_pause_ms')},
+  {rnd('quantile_cont(duration_ms, 0.95)', 'gc_p95_pause_ms')}, {rnd('max(duration_ms)', 'gc_max_pause_ms')},
+  count(*) FILTER (WHERE type = 'Full') AS full_gc_events, count(*) FILTER (WHERE type = 'Young') AS young_gc_events FROM pauses GROUP BY experiment""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     start, end = text_of("window_start_ms"), text_of("window_end_ms")
     shape = f"{text_of('window_start_ms')} AS window_start, {text_of('window_end_ms')} AS window_end"
@@ -1014,4 +1076,4 @@ SELECT experiment, {pct('gap', 0.5, 'median_interval_sec')} FROM g GROUP BY expe
         sql[f"output_counts_{name}"] = output_counts(name)
     for name in ("alw", "cbw"):
         sql[f"faulty_windows_{name}"] = faulty_windows(name)
-    return sql
+    return sql | text_lines()

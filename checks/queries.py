@@ -16,7 +16,9 @@ from finality.operators.replay import completeness_windows, finalize, late_recor
 from finality.plans import latency, lateness, reports, resources, throughput
 from finality.plans.standins import DAY_MS, SPARSE, events, readings
 from finality.session import ship
-from finality.sources.lines import first_records
+from finality.sources.lines import first_records, profile_progress
+from finality.sources.metrics import gc_events
+from finality.sources.parse import parse_permissive, parse_strict
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -606,6 +608,61 @@ def _per_policy(make: Callable[[str], Query], prefix: str) -> dict[str, Query]:
     return {f"{prefix}_{name}": make(name) for name in POLICIES}
 
 
+def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as raw lines, some of them broken in one way or another."""
+    arrival_ms = F.unix_micros("ts").cast("bigint") / 1000
+    stamp = local_text(arrival_ms, "UTC")
+    kind = F.col("event_id") % 16
+    time = F.when(kind == 5, F.concat(F.substring(stamp, 1, 5), F.lit("13"), F.substring(stamp, 8, 12))).otherwise(F.concat(stamp, F.lit(".25")))
+    text = F.concat(
+        F.when(kind == 3, "Row{").otherwise("Struct{"),
+        F.lit("series_id="), "event_type",
+        F.lit(",location_id=place "), (F.col("user_id") % 10).cast("string"), F.when(kind == 8, ", upper floor").otherwise(""),
+        F.when(kind == 4, "").otherwise(F.concat(F.when(kind == 11, ", ").otherwise(","), F.lit("meter_id= "), F.col("user_id").cast("string"), F.lit(" "))),
+        F.lit(",time="), time,
+        F.lit(",value="), F.when(kind == 6, "n/a").otherwise(F.concat((F.col("event_id") % 977).cast("string"), F.lit(".5"))),
+        F.lit(",value_status=ok,insert_time="), stamp, F.lit(",extract_time="), F.when(kind == 9, "today").otherwise(stamp),
+        F.when(kind == 10, "").otherwise("}"),
+    )
+    day = F.expr("CAST(floor(unix_micros(ts) / 86400000000) AS BIGINT)")
+    return events(spark, folder).select(
+        F.col("event_id").alias("arrival_seq"),
+        day.alias("arrival_epoch"),
+        F.concat(F.lit("lines-"), day.cast("string")).alias("file_name"),
+        F.when(kind == 7, "  ").otherwise(text).alias("value"),
+    )
+
+
+def parsed_lines(spark, folder):
+    return parse_strict(raw_lines(spark, folder).drop("file_name", "arrival_epoch"), "UTC")
+
+
+def profiled_lines(spark, folder):
+    return parse_permissive(raw_lines(spark, folder).drop("file_name", "arrival_epoch"), "UTC")
+
+
+def profiled_files(spark, folder):
+    return profile_progress(parse_permissive(raw_lines(spark, folder), "UTC"))
+
+
+def pauses(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as lines of a collector's log, some without size or duration."""
+    n = F.col("event_id")
+    stamp = local_text(F.unix_micros("ts") / 1000, "UTC")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("Young (Normal)", "Full", "Remark", "Cleanup", "Sweep")]), (n % 5 + 1).cast("int"))
+    text = F.concat(
+        F.lit("["), F.replace(stamp, F.lit(" "), F.lit("T")), F.lit(".250+0000][info][gc] GC("), n.cast("string"), F.lit(") Pause "), kind,
+        F.when(n % 7 == 0, "").otherwise(F.concat(F.lit(" "), (n % 300 + 20).cast("string"), F.lit("M->"), (n % 20).cast("string"), F.lit("M(512M)"))),
+        F.when(n % 11 == 0, "").otherwise(F.concat(F.lit(" "), (n % 40).cast("string"), F.lit(".125ms"))),
+    )
+    lines = events(spark, folder).select(n.alias("arrival_seq"), method_key().alias("experiment"), text.alias("value"))
+    return gc_events(lines)
+
+
+def pause_summary(spark, folder):
+    return rounded(resources.gc_summary(resources.gc_series(pauses(spark, folder))))
+
+
 def queries() -> dict[str, Query]:
     table: dict[str, Query] = {
         "replay_watermark": replay_watermark_query,
@@ -677,6 +734,11 @@ def queries() -> dict[str, Query]:
         "metric_table": metric_table,
         "smoothed_cpu": smoothed_cpu,
         "sampling_interval": sampling_interval,
+        "parsed_lines": parsed_lines,
+        "profiled_lines": profiled_lines,
+        "profiled_files": profiled_files,
+        "pause_rows": pauses,
+        "pause_summary": pause_summary,
     }
     table |= _per_policy(lambda n: lambda s, d: window_counts(placed(s, d, n)), "window_counts")
     table |= _per_policy(lambda n: lambda s, d: emissions(s, d, n), "emissions")

@@ -20,6 +20,7 @@ from finality.functions.labels import (
 )
 
 _CHUNK_MS = 3_600_000
+_FAN_BITS = 8
 _SAMPLE = (
     "probe string, ts_ms bigint, count_in_interval bigint, interval_ms bigint"
 )
@@ -55,98 +56,134 @@ def tumbling_samples(counts: DataFrame, interval_ms: int) -> DataFrame:
     )
 
 
-def _exits(key, rows: pd.DataFrame, interval_ms: int) -> pd.DataFrame:
-    """Where a chain of intervals leaves this hour, for every way to enter it."""
-    probe, chunk = key
-    ms = np.sort(rows["ms"].to_numpy())
-    follow = np.searchsorted(ms, ms + interval_ms)
-    last = np.arange(len(ms))
-    for i in range(len(ms) - 1, -1, -1):
-        if follow[i] < len(ms):
-            last[i] = last[follow[i]]
-    entries = min(len(ms), int(np.searchsorted(ms, chunk * _CHUNK_MS + interval_ms)) + 1)
-    return pd.DataFrame(
-        {
-            "probe": probe,
-            "chunk": chunk,
-            "enter_ms": ms[:entries],
-            "exit_ms": ms[last[:entries]],
-        }
-    )
+def _steps(enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ways with the same exit as one step, named by the last way in."""
+    last = np.append(leave[1:] != leave[:-1], True)[: len(leave)]
+    return enter[last], leave[last]
 
 
-def _walk(rows: pd.DataFrame, interval_ms: int) -> pd.DataFrame:
-    """Follow the chain from hour to hour."""
-    start, out = None, []
-    for chunk, ways in rows.sort_values(["chunk", "enter_ms"]).groupby("chunk"):
-        enter = ways["enter_ms"].to_numpy()
-        at = 0 if start is None else int(np.searchsorted(enter, start + interval_ms))
-        entered = at < len(enter)
-        out.append((ways["probe"].iloc[0], chunk, start, int(enter[at]) if entered else None))
-        if entered:
-            start = int(ways["exit_ms"].iloc[at])
-    return pd.DataFrame(out, columns=["probe", "chunk", "open_ms", "enter_ms"]).astype(
-        {"open_ms": "Int64", "enter_ms": "Int64"}
-    )
+def _exits(key, rows: pd.DataFrame, interval_ms: int, chunk_ms: int) -> pd.DataFrame:
+    """Where a chain of intervals leaves this chunk, for every way to enter it."""
+    probe, chunk = key
+    ms = np.sort(rows["ms"].to_numpy())
+    last = np.searchsorted(ms, ms + interval_ms)
+    last = np.where(last < len(ms), last, np.arange(len(ms)))
+    while (last[last] != last).any():
+        last = last[last]
+    ways = int(np.searchsorted(ms, chunk * chunk_ms + interval_ms)) + 1
+    enter, leave = _steps(ms[:ways], ms[last[:ways]])
+    return pd.DataFrame({"probe": probe, "chunk": chunk, "enter_ms": enter, "exit_ms": leave})
+
+
+def _maps(rows: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Steps of each chunk, in order."""
+    rows = rows.sort_values(["chunk", "enter_ms"])
+    chunk, enter, leave = (rows[c].to_numpy() for c in ("chunk", "enter_ms", "exit_ms"))
+    edges = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+    return [(int(chunk[a]), enter[a:b], leave[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _composed(key, rows: pd.DataFrame, interval_ms: int) -> pd.DataFrame:
+    """The chunks of a group as one: its ways in are those of the first chunk, and the next one for a chain that passes it by."""
+    probe, group = key
+    maps = _maps(rows)
+    enter, at = maps[0][1], maps[0][2]
+    for i, (_, ways, leave) in enumerate(maps[1:]):
+        found = np.searchsorted(ways, at + interval_ms)
+        at = np.where(found < len(ways), leave[np.minimum(found, len(ways) - 1)], at)
+        if i == 0:
+            enter, at = np.append(enter, ways[0]), np.append(at, leave[0])
+    enter, at = _steps(enter, at)
+    return pd.DataFrame({"probe": probe, "chunk": group, "enter_ms": enter, "exit_ms": at})
+
+
+def _opened(rows: pd.DataFrame, interval_ms: int) -> pd.DataFrame:
+    """The interval that is open when each chunk of a group begins; ``open_ms`` of the group comes with its rows."""
+    opened = rows["open_ms"].iloc[0]
+    start, out = None if pd.isna(opened) else int(opened), []
+    for chunk, ways, leave in _maps(rows):
+        out.append((rows["probe"].iloc[0], chunk, start))
+        at = 0 if start is None else int(np.searchsorted(ways, start + interval_ms))
+        if at < len(ways):
+            start = int(leave[at])
+    return pd.DataFrame(out, columns=["probe", "chunk", "open_ms"]).astype({"open_ms": "Int64"})
 
 
 def _spans(rows: pd.DataFrame, interval_ms: int) -> pd.DataFrame:
-    """Records per interval within one hour; the first may have begun earlier."""
+    """Records per interval within one chunk and the start of the next one; the first may have begun earlier."""
     rows = rows.sort_values("ms")
     ms, n = rows["ms"].to_numpy(), rows["n"].to_numpy()
-    opened, enter = rows["open_ms"].iloc[0], rows["enter_ms"].iloc[0]
+    opened = rows["open_ms"].iloc[0]
     starts = [] if pd.isna(opened) else [int(opened)]
-    if not pd.isna(enter):
-        at = int(np.searchsorted(ms, int(enter)))
-        while at < len(ms):
-            starts.append(int(ms[at]))
-            at = int(np.searchsorted(ms, ms[at] + interval_ms))
+    follow = np.searchsorted(ms, ms + interval_ms)
+    at = int(np.searchsorted(ms, starts[0] + interval_ms)) if starts else 0
+    while at < len(ms):
+        starts.append(int(ms[at]))
+        at = int(follow[at])
     owner = np.searchsorted(np.array(starts), ms, side="right") - 1
     counts = np.bincount(owner, weights=n, minlength=len(starts)).astype("int64")
-    return pd.DataFrame({"probe": rows["probe"].iloc[0], "start_ms": starts, "n": counts})
+    first = np.zeros(len(starts), dtype=np.int64)
+    first[0] = pd.isna(opened)
+    follower = pd.array([*starts[1:], None], dtype="Int64")
+    return pd.DataFrame({"probe": rows["probe"].iloc[0], "start_ms": starts, "n": counts, "ts_ms": follower, "first": first})
 
 
 def chained_samples(counts: DataFrame, interval_ms: int = 1000) -> DataFrame:
     """Intervals that close at the first record at least ``interval_ms`` after
     their start, where the next one starts.
 
-    The chain is sequential, but within an hour it has few ways in and one way
-    out of each, so hours are worked through side by side and only that short
-    table is walked in order. The last, open interval gives no sample; the
-    record that closes an interval is counted in it.
+    The chain is sequential, but a chunk of time, no shorter than two intervals,
+    is a step function: the interval that is open when it begins decides the one
+    that is open when it ends. Functions of 256 chunks are composed to one, twice;
+    the open interval is then handed down from the groups to their chunks, which are
+    worked through side by side. No group grows with the length of the run. The
+    last, open interval gives no sample; the record that closes an interval is
+    counted in it.
     """
-    hours = counts.withColumn("chunk", F.floor(F.col("ms") / _CHUNK_MS).cast("bigint"))
-    ways = hours.groupBy("probe", "chunk").applyInPandas(
-        lambda key, rows: _exits(key, rows, interval_ms),
-        "probe string, chunk bigint, enter_ms bigint, exit_ms bigint",
-    )
-    path = ways.groupBy("probe").applyInPandas(
-        lambda rows: _walk(rows, interval_ms),
-        "probe string, chunk bigint, open_ms bigint, enter_ms bigint",
-    )
-    spans = (
-        hours.join(path, ["probe", "chunk"])
-        .groupBy("probe", "chunk")
-        .applyInPandas(lambda rows: _spans(rows, interval_ms), "probe string, start_ms bigint, n bigint")
-        .groupBy("probe", "start_ms")
-        .agg(F.sum("n").alias("n"))
+    chunk_ms = max(_CHUNK_MS, 2 * interval_ms)
+    schema = "probe string, chunk bigint, enter_ms bigint, exit_ms bigint"
+    opens = "probe string, chunk bigint, open_ms bigint"
+    chunks = counts.withColumn("chunk", F.floor(F.col("ms") / chunk_ms).cast("bigint"))
+    levels = [
+        chunks.groupBy("probe", "chunk").applyInPandas(
+            lambda key, rows: _exits(key, rows, interval_ms, chunk_ms), schema
+        )
+    ]
+    for _ in range(2):
+        parent = F.shiftright("chunk", _FAN_BITS).alias("parent")
+        levels.append(
+            levels[-1].groupBy("probe", parent).applyInPandas(
+                lambda key, rows: _composed(key, rows, interval_ms), schema
+            )
+        )
+    path = (
+        levels.pop()
+        .withColumn("open_ms", F.lit(None).cast("bigint"))
+        .groupBy("probe")
+        .applyInPandas(lambda rows: _opened(rows, interval_ms), opens)
     )
-    inorder = Window.partitionBy("probe").orderBy("start_ms")
+    for level in reversed(levels):
+        path = (
+            level.withColumn("parent", F.shiftright("chunk", _FAN_BITS))
+            .join(path.withColumnRenamed("chunk", "parent"), ["probe", "parent"])
+            .groupBy("probe", "parent")
+            .applyInPandas(lambda rows: _opened(rows, interval_ms), opens)
+        )
     return (
-        spans.withColumns(
-            {
-                "ts_ms": F.lead("start_ms").over(inorder),
-                "first": F.when(F.row_number().over(inorder) == 1, 1).otherwise(0),
-            }
+        chunks.join(path, ["probe", "chunk"])
+        .groupBy("probe", "chunk")
+        .applyInPandas(
+            lambda rows: _spans(rows, interval_ms),
+            "probe string, start_ms bigint, n bigint, ts_ms bigint, first bigint",
         )
+        .groupBy("probe", "start_ms")
+        .agg((F.sum("n") + F.max("first")).alias("n"), F.max("ts_ms").alias("ts_ms"))
         .filter("ts_ms IS NOT NULL")
         .select(
             "probe",
             "ts_ms",
-            (F.col("n") + F.col("first")).alias("count_in_interval"),
-            F.round(
-                (F.col("n") + F.col("first")) / ((F.col("ts_ms") - F.col("start_ms")) / 1000.0), 3
-            ).alias("events_per_second"),
+            F.col("n").alias("count_in_interval"),
+            F.round(F.col("n") / ((F.col("ts_ms") - F.col("start_ms")) / 1000.0), 3).alias("events_per_second"),
             (F.col("ts_ms") - F.col("start_ms")).alias("interval_ms"),
         )
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,30 @@ def test_chained_samples(spark):
         assert [(r.ts_ms, r.count_in_interval, r.interval_ms) for r in rows] == chain(counts, 1000)
 
 
+@pytest.mark.parametrize("chunk_ms, fan_bits", [(3_600_000, 8), (3_000, 1), (1, 2)])
+def test_chained_samples_over_many_chunks(spark, monkeypatch, chunk_ms, fan_bits):
+    monkeypatch.setattr(throughput, "_CHUNK_MS", chunk_ms)
+    monkeypatch.setattr(throughput, "_FAN_BITS", fan_bits)
+    rng, rows, expected = random.Random(2), [], {}
+    for probe, gap in (("dense", 120), ("even", 1_500), ("sparse", 30_000)):
+        at, counts = -40_000, []
+        for _ in range(200):
+            at += rng.randrange(1, gap)
+            counts.append((at, rng.randrange(1, 4)))
+        rows += [(probe, *c) for c in counts]
+        expected[probe] = chain(counts, 1000)
+    df = spark.createDataFrame(rows, "probe string, ms bigint, n bigint")
+    got = throughput.chained_samples(df, 1000).orderBy("probe", "ts_ms").collect()
+    for probe, samples_of in expected.items():
+        assert [(r.ts_ms, r.count_in_interval, r.interval_ms) for r in got if r.probe == probe] == samples_of
+
+
+def test_groups_of_chunks_stay_small():
+    """A composed group has the ways of its first chunk and one more, however many chunks it has."""
+    rows = pd.DataFrame([("p", c, c * 10_000 + w, c * 10_000 + 9_000 + w) for c in range(256) for w in range(5)], columns=["probe", "chunk", "enter_ms", "exit_ms"])
+    assert len(throughput._composed(("p", 0), rows, 1000)) <= 6
+
+
 def test_sample_filters(spark):
     df = spark.createDataFrame(
         [("fast_x", 1, 1.0, 1000), (" ", 1, 1.0, 1000), ("fast_x", None, 1.0, 1000), ("fast_x", 1, 1.0, 10)],
