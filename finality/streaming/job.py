@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from finality.config import SERIES_L1, THREE, Policy, WindowSpec
@@ -41,9 +42,14 @@ def start_parsing(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = number_lines(batch, batch_id)
-        readings = readings_of(parse_strict(numbered, spec.zone), fail=True)
-        readings.write.mode("overwrite").parquet(f"{store}/batch={batch_id:012d}")
+        # numbering goes over the lines twice; the source is read, and its rows are counted in the progress, once
+        batch.persist()
+        try:
+            numbered = number_lines(batch, batch_id)
+            readings = readings_of(parse_strict(numbered, spec.zone), fail=True)
+            readings.write.mode("overwrite").parquet(f"{store}/batch={batch_id:012d}")
+        finally:
+            batch.unpersist()
 
     return (
         lines.writeStream.option("checkpointLocation", checkpoint)
@@ -84,13 +90,43 @@ def start_csv(table: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+class BatchRates(StreamingQueryListener):
+    """One short row per micro-batch with input, of all named queries; a query itself only remembers its last batches.
+
+    Register it with ``spark.streams.addListener`` before the queries start. Progress comes in after its batch has ended.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, str, int, int]] = []
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name and p.numInputRows:
+            self.rows.append((p.timestamp, p.name, p.numInputRows, p.durationMs["triggerExecution"]))
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def samples(self) -> DataFrame:
+        """Throughput samples so far; the name of a query is its probe."""
+        return _samples(list(self.rows))
+
+
 def rate_samples(query: StreamingQuery, probe: str) -> DataFrame:
-    """Throughput samples of a running query: one per micro-batch with input."""
-    rows = [
-        (p.timestamp, probe, p.numInputRows, p.durationMs["triggerExecution"])
-        for p in query.recentProgress
-        if p.numInputRows
-    ]
+    """Throughput samples of the batches that a query remembers; ``BatchRates`` keeps those of long runs."""
+    return _samples(
+        [
+            (p.timestamp, probe, p.numInputRows, p.durationMs["triggerExecution"])
+            for p in query.recentProgress
+            if p.numInputRows
+        ]
+    )
+
+
+def _samples(rows: list[tuple[str, str, int, int]]) -> DataFrame:
     table = SparkSession.active().createDataFrame(
         rows, "stamp string, probe string, count_in_interval bigint, interval_ms bigint"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -25,6 +26,7 @@ from finality.streaming.processor import (
 from finality.operators.meters import lookup_of, route
 from finality.sources.lines import read_meter_ids, stream_lines
 from finality.streaming.job import (
+    BatchRates,
     fired_from_store,
     rate_samples,
     routed,
@@ -110,6 +112,28 @@ def test_classification_job(spark, tmp_path):
 # ---------------------------------------------------------------- streaming
 
 
+def test_rates_of_more_batches_than_a_query_remembers(spark, tmp_path):
+    for i in range(4):
+        spark.range(10 + i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rates = BatchRates()
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    spark.streams.addListener(rates)
+    try:
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = stream.writeStream.queryName("fast_post_filter").format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        end = time.time() + 20
+        while len(rates.rows) < 4 and time.time() < end:
+            time.sleep(0.1)
+        assert len(query.recentProgress) <= 2
+    finally:
+        spark.streams.removeListener(rates)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    found = rates.samples().collect()
+    assert sorted(s.count_in_interval for s in found) == [10, 11, 12, 13]
+    assert {s.probe for s in found} == {"fast_post_filter"}
+
+
 def test_raw_lines_as_a_stream(spark, raw, tmp_path):
     """Gzip files in, late readings out as CSV; rates from the query's progress."""
     lookup = lookup_of(
