@@ -2,8 +2,9 @@
 
 Parts of a credential have a role: ``id`` (access identifiers), ``secret`` or ``endpoint``. A weak candidate is reported when a
 part of a complementary role lies within ``scope`` code points: identifiers need a secret, endpoints need a secret, secrets need
-an identifier or an endpoint. The interval join goes by cells of ``scope`` code points, each part standing in all cells it can
-reach, so a cell holds a bounded number of parts whatever the text; there is no comparison of all parts of a text.
+an identifier or an endpoint. The interval join goes by cells of ``scope`` code points. A counterpart stands in all cells it can
+reach, a weak part in those of its start and of its stop: counterparts after it are measured from the stop, those before it from
+the start. A cell holds a bounded number of parts whatever the text; there is no comparison of all parts of a text.
 
 Only DataFrame functions are used. Positions are counted in code points, ends are exclusive.
 """
@@ -80,7 +81,8 @@ def linked(found: DataFrame, scope: int) -> DataFrame:
         F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("stop") + scope) / scope))).alias("cell"),
     )
     needs = F.element_at(F.array(*[F.array(*[F.lit(r) for r in NEEDS.get(k, ())]).cast("array<string>") for k in KINDS]), F.col("rank") + 1)
-    weak = parts.filter(F.col("rank") >= 3).withColumn("role", F.explode(needs)).withColumn("cell", F.floor(F.col("start") / scope))
+    ends = F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("stop") / scope)))
+    weak = parts.filter(F.col("rank") >= 3).withColumn("role", F.explode(needs)).withColumn("cell", F.explode(ends))
     near = (F.col("other_start") - F.col("stop") <= scope) & (F.col("start") - F.col("other_stop") <= scope)
     apart = (F.col("other_start") >= F.col("stop")) | (F.col("other_stop") <= F.col("start"))
     met = weak.alias("w").join(other.alias("o"), ["row_a", "row_b", "role", "cell"]).filter(near & apart)
