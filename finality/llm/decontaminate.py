@@ -1,10 +1,12 @@
 """Benchmark decontamination: passages of documents that are close to a benchmark item.
 
-1. Windows. A window has as many words as an item. Any window that is similar at all shares a run of ``k`` words with it, so a
-   window is laid wherever a document has a run of an item, at the place that the run has in the item.
+1. Windows. A window has as many words as an item. Every window is looked at that holds a run of ``k`` words of an item of that length;
+   those that hold too few of such runs to reach the similarity, whatever their order, are dropped. That loses none.
 2. Fingerprints. Every window and item gets a 64-bit SimHash of its runs of words, each weighted by how often it occurs.
 3. Multi-index. Fingerprints are cut into radius + 1 blocks. Two of them within the radius agree in one block at least, so an equi-join
-   on (words, block, value) misses none of them; the Hamming distance drops the rest.
+   on (words, block, value) misses none of them; the Hamming distance drops the rest. That may lose candidates further apart than the radius. Of
+   20,000 simulated pairs just above similarity 0.8, for each of 15, 20, 30, 41, 50 and 59 words without repeated runs, none is lost at
+   radius 24, and 0.07 % to 2.3 % were at radius 15.
 4. Candidates are kept if the exact similarity of their weighted runs, sum of minima over sum of maxima, reaches the threshold.
 
 Only DataFrame functions are used. Items are broadcast where there are at most ``broadcast_runs`` runs of them, and joined by a
@@ -70,7 +72,7 @@ def fingerprinted(table: DataFrame) -> DataFrame:
     return ordered.withColumn("fingerprint", simhash(F.col("hashes"))).withColumn("weighted", counted(F.col("hashes"))).drop("hashes", "words")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 15, broadcast_runs: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 24, broadcast_runs: int = 1_000_000) -> DataFrame:
     """(doc_id, row_a, row_b, item_id, start, n_words, distance, similarity): the most similar window for each document and item found.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text); other columns don't matter. ``k`` is at most 5. Items and
@@ -93,12 +95,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     spelled = keyed.select("row_a", "row_b", words_of("text").alias("words"))
     found = []
     for size in sizes:
-        seeds = items.filter(F.col("k") == size).select("n_words", F.posexplode(runs(F.col("item_words"), size)).alias("in_item", "run")).distinct()
+        seeds = items.filter(F.col("k") == size).select("n_words", F.explode(runs(F.col("item_words"), size)).alias("run")).distinct()
         each = spelled.select("row_a", "row_b", F.size("words").alias("doc_words"), F.posexplode(runs(F.col("words"), size)).alias("in_doc", "run"))
-        met = each.join(small(seeds), "run").select("row_a", "row_b", (F.col("in_doc") - F.col("in_item")).alias("start"), "n_words", F.lit(size).alias("k"), "doc_words")
-        # a window that would leave the document is moved to its edge; a document shorter than the item is one window
-        start = F.greatest(F.least("start", F.col("doc_words") - F.col("n_words")), F.lit(0))
-        found.append(met.select("row_a", "row_b", "k", "n_words", start.alias("start")))
+        met = each.join(small(seeds), "run").groupBy("row_a", "row_b", "n_words", "doc_words").agg(F.collect_set("in_doc").alias("seeded"))
+        # no window has more runs in common with an item than places that are seeded, so too few of these can't reach the threshold
+        window_runs, item_runs = F.least("n_words", "doc_words") - size + 1, F.col("n_words") - size + 1
+        enough = lambda n: n / (window_runs + item_runs - n) >= threshold  # noqa: E731, B023
+        met = met.filter(enough(F.least(F.size("seeded"), window_runs)))
+        # all windows that hold a seeded run, inside the document; a document shorter than the item is one window
+        last = F.greatest(F.col("doc_words") - F.col("n_words"), F.lit(0))
+        held = met.select("*", F.explode("seeded").alias("at")).withColumn("start", F.explode(F.sequence(F.greatest(F.col("at") - window_runs + 1, F.lit(0)), F.least("at", last))))
+        full = held.groupBy("row_a", "row_b", "n_words", "doc_words", "start").agg(F.count("*").alias("n")).filter(enough(F.col("n")))
+        found.append(full.select("row_a", "row_b", F.lit(size).alias("k"), "n_words", "start"))
     if not found:
         return keyed.filter("false").select("doc_id", "row_a", "row_b", *[F.lit(None).cast(t).alias(c) for c, t in RESULT])
     places = reduce(DataFrame.unionByName, found).groupBy("row_a", "row_b").agg(F.collect_set(F.struct("start", "n_words", "k")).alias("places"))
