@@ -8,10 +8,11 @@
 3. Shards. The distinct segments of each anchor come together in a shard, an FM-index of a few megabytes of text. Every segment of
    weight one is streamed through it: backward search gives its matching statistics, and ranges of ``window`` words or more whose
    suffix interval has a weight of two are reported. Anchors with more than ``hot`` distinct segments are split: their
-   windows are dealt out by a hash of all their words.
+   windows are counted by their words instead: partial sums of weights, so that equal windows are one row a task. A window has a fixed
+   number of words, so its count is all there is to find.
 4. Ranges go back from segments to all documents that hold them.
 
-Memory is bounded by a shard; a hot passage arrives as one weighted row per task. Nothing is sampled or left out.
+Memory is bounded by a shard, and a shard by ``hot`` segments; a hot passage arrives as one weighted row per task. Nothing is sampled or left out.
 """
 
 from __future__ import annotations
@@ -138,6 +139,21 @@ def search_shards(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     return sorted_.mapInArrow(search, "anchor long, segment long, from_word int, to_word int")
 
 
+def hot_windows(texts: DataFrame) -> DataFrame:
+    """One row per distinct window of the hot segments, with the sum of the weights."""
+    return texts.groupBy("shard", "words").agg(F.sum("weight").alias("total"))
+
+
+def count_hot(texts: DataFrame, window: int, salts: int = 16) -> DataFrame:
+    """Repeated windows of hot segments (anchor, segment, from_word, to_word); ``words`` is a digest of the words.
+
+    The windows of one passage are dealt over ``salts`` keys when they learn that they are repeated.
+    """
+    again = hot_windows(texts).filter("total > 1").select("shard", "words", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = texts.withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(salts)).cast("int"))
+    return dealt.join(again, ["shard", "words", "salt"], "left_semi").select("anchor", "segment", F.col("shift").alias("from_word"), (F.col("shift") + window).alias("to_word"))
+
+
 def repeated_ranges(docs: DataFrame, window: int = 35, anchor: int = 6, hot: int = 20_000) -> DataFrame:
     """(row_a, row_b, ranges) of all rows of ``docs`` with repeated windows; ranges of words, [from, to), that may overlap."""
     if not anchor <= window <= DEPTH // 2:
@@ -153,7 +169,11 @@ def repeated_ranges(docs: DataFrame, window: int = 35, anchor: int = 6, hot: int
     texts = docs.select(*row_key("doc_id", "text"), "text").join(chosen, ["row_a", "row_b"])
     # a repeated row brings its segments twice, but these have a weight of two already
     texts = segment_texts(texts.select("text", "picked"), window)
-    found = search_shards(texts, window, anchor)
+    # single windows stand for hot segments; white space doesn't tell them apart
+    single = F.col("anchor_end") == window
+    digest = F.unhex(F.md5(F.regexp_replace(F.col("words").cast("string"), "[\\x20\\x09-\\x0D]+", " ").cast("binary")))
+    texts = stored(texts.withColumn("words", F.when(single, digest).otherwise(F.col("words"))), "segment-texts")
+    found = search_shards(texts.filter(~single), window, anchor).unionByName(count_hot(texts.filter(single), window))
     whole = distinct.filter("weight > 1").join(per_anchor, "anchor", "left_anti").select("anchor", "segment", F.lit(0).alias("from_word"), F.col("n_words").alias("to_word"))
     spans = stored(found.unionByName(whole), "repeated-segments")
     back = kept.join(spans, ["anchor", "segment"]).select("row_a", "row_b", F.struct((F.col("start") + F.col("from_word")).alias("a"), (F.col("start") + F.col("to_word")).alias("b")).alias("range"))
