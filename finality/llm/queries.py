@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from finality.llm import decontaminate, jaccard_join, language, packing, records, search, secret_links, substring_dedup, token_counts, url_reputation
+from finality.llm import decontaminate, jaccard_join, language, merkle, packing, records, search, secret_links, substring_dedup, token_counts, url_reputation
+from finality.llm.merkle_sql import DATASET_MANIFEST
 from finality.llm.shared import shared_folder, small_batches
 from finality.session import ship
 
@@ -79,6 +80,13 @@ def op10_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, window=2048)
 
 
+def op13_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = merkle.verified(table(spark, folder, "documents"), tampered, lower)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,13 +96,14 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_token_counts, op2_top_documents, op3_benchmark_leaks, op4_language_id, op5_similar_documents,
-        op6_repeated_passages, op7_url_verdicts, op8_secret_spans, op9_token_records, op10_packed_sequences, pipeline,
+        op6_repeated_passages, op7_url_verdicts, op8_secret_spans, op9_token_records, op10_packed_sequences,
+        op13_dataset_manifest, pipeline,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_documents": TOP_DOCUMENTS, "op6_repeated_passages": REPEATED_PASSAGES, "op7_url_verdicts": URL_VERDICTS}
+    return {"op2_top_documents": TOP_DOCUMENTS, "op6_repeated_passages": REPEATED_PASSAGES, "op7_url_verdicts": URL_VERDICTS, "op13_dataset_manifest": DATASET_MANIFEST}
 
 
 TOP_DOCUMENTS = r"""
