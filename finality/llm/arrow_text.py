@@ -51,9 +51,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for every row the number of words before it (n+1)."""
-    inside = ~IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for every row the number of words before it (n+1).
+
+    ``parts`` tells for each of the 256 bytes whether it parts words.
+    """
+    inside = ~parts[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

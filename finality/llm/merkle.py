@@ -108,9 +108,9 @@ def numbered(nodes: DataFrame, order: list[Column]) -> DataFrame:
     return placed.join(starts, ["tree", "_part"]).withColumn("at", F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """Appends the nodes (tree, at, node, item, other) of each block to its tree; one row per lowest run, with the witness of what stands above it."""
-    size = ARITY**BLOCK_LEVELS
+    size = ARITY**levels
     block = F.floor(F.col("at") / size)
     alone = nodes.groupBy("tree").agg((F.max("at") < size).alias("alone"))
     # a block is all of its tree, or it is closed at the height of its full neighbours
@@ -121,7 +121,7 @@ def _blocks(nodes: DataFrame) -> DataFrame:
         key, alone, tree, lowest, items, others = None, False, OpenTree(), [], [], []
 
         def finished() -> pa.RecordBatch:
-            root = tree.close(None if alone else BLOCK_LEVELS)
+            root = tree.close(None if alone else levels)
             rows = []
             for k, run in enumerate(lowest):
                 own = slice(k * ARITY, k * ARITY + len(run.members))
@@ -159,15 +159,15 @@ def _members(runs: DataFrame) -> DataFrame:
     return each.withColumns({"steps": steps, "item": F.get("items", F.col("place")), "other": F.get("others", F.col("place"))}).select("tree", "block", "node", "item", "other", "steps", "block_root")
 
 
-def _above(runs: DataFrame) -> DataFrame:
+def _above(runs: DataFrame, levels: int) -> DataFrame:
     """(tree, block, steps, subroot) for the blocks of ``runs``: the witness of each block root up to the root of its tree."""
     roots = runs.filter("run = 0").select("tree", "block", "block_root")
     if roots.filter("block > 0").isEmpty():
         return roots.select("tree", "block", F.array().cast(f"array<{STEP}>").alias("steps"), F.col("block_root").alias("subroot"))
     nodes = roots.select("tree", F.col("block").alias("at"), F.col("block_root").alias("node"), F.col("block").alias("item"), F.lit(None).cast("string").alias("other"))
-    next_runs = _blocks(nodes)
+    next_runs = _blocks(nodes, levels)
     own = _members(next_runs).select("tree", "block", F.col("item").alias("low"), F.col("steps").alias("own"))
-    joined = own.join(_above(next_runs), ["tree", "block"])
+    joined = own.join(_above(next_runs, levels), ["tree", "block"])
     return joined.select("tree", F.col("low").alias("block"), F.concat("own", "steps").alias("steps"), "subroot")
 
 
@@ -176,19 +176,19 @@ def _name(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value), F.lit(""))
 
 
-def manifest(docs: DataFrame, tampered_text: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered_text: Column | None = None, levels: int = BLOCK_LEVELS) -> DataFrame:
     """The leaf, the witness and the roots of every row of ``docs``.
 
     Columns: doc_id, leaf, other_leaf, steps (array of struct(before, after): the siblings' hashes from the leaf up), subroot, root. ``tampered_text`` makes
-    ``other_leaf``, the leaf of a row with another text; without it, it equals ``leaf``.
+    ``other_leaf``, the leaf of a row with another text; without it, it equals ``leaf``. ``levels`` is the height of a block.
     """
     leaves = docs.select(_name(F.col("lang")).alias("tree"), F.col("doc_id").alias("item"), leaf_hash().alias("node"), leaf_hash(tampered_text).alias("other"))
-    runs = _blocks(numbered(leaves, [F.col("item").asc_nulls_first(), F.col("node")]))
-    above = stored(_above(runs), "block-witnesses")
+    runs = _blocks(numbered(leaves, [F.col("item").asc_nulls_first(), F.col("node")]), levels)
+    above = stored(_above(runs, levels), "block-witnesses")
     groups = above.filter("block = 0").select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("subroot").alias("node"))
     groups = stored(numbered(groups, [F.col("group")]), "groups")
-    top_runs = _blocks(groups.select("tree", "at", "node", F.col("at").alias("item"), F.lit(None).cast("string").alias("other")))
-    top = _members(top_runs).join(_above(top_runs).withColumnRenamed("steps", "higher"), ["tree", "block"])
+    top_runs = _blocks(groups.select("tree", "at", "node", F.col("at").alias("item"), F.lit(None).cast("string").alias("other")), levels)
+    top = _members(top_runs).join(_above(top_runs, levels).withColumnRenamed("steps", "higher"), ["tree", "block"])
     top = top.select(F.col("item").alias("at"), F.concat("steps", "higher").alias("top_steps"), F.col("subroot").alias("root"))
     top = groups.join(top, "at").select(F.col("group").alias("tree"), "top_steps", "root")
     whole = above.join(top, "tree").select("tree", "block", F.concat("steps", "top_steps").alias("high"), "subroot", "root")
@@ -208,12 +208,12 @@ def folded(leaf: Column, steps: Column) -> Column:
     return F.aggregate(steps, leaf, lambda node, s: F.sha2(F.concat(s["before"], node, s["after"]), 256))
 
 
-def verified(docs: DataFrame, tampered: Column, tampered_text: Column) -> DataFrame:
+def verified(docs: DataFrame, tampered: Column, tampered_text: Column, levels: int = BLOCK_LEVELS) -> DataFrame:
     """The manifest with ``folded_root``, worked out from the tampered leaf where ``tampered`` holds, and whether it is the root.
 
     A null in ``tampered`` counts as false.
     """
     text = F.when(F.coalesce(tampered, F.lit(False)), tampered_text).otherwise(F.col("text"))
-    rows = manifest(docs, text)
+    rows = manifest(docs, text, levels)
     rows = rows.withColumns({"proof_sha256": proof_hash(F.col("steps")), "folded_root": folded(F.col("other_leaf"), F.col("steps"))})
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))

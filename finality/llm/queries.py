@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from finality.llm import decontaminate, jaccard_join, language, merkle, packing, records, search, secret_links, substring_dedup, token_counts, url_reputation
+from finality.llm import decontaminate, jaccard_join, language, merkle, packing, paragraph_sketch, records, search, secret_links, shared_search, substring_dedup, token_counts, url_reputation
 from finality.llm.merkle_sql import DATASET_MANIFEST
 from finality.llm.shared import shared_folder, small_batches
 from finality.session import ship
@@ -80,6 +80,16 @@ def op10_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, window=2048)
 
 
+def op11_ranked_items(spark: SparkSession, folder: str) -> DataFrame:
+    found = shared_search.best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_edited_texts(spark: SparkSession, folder: str) -> DataFrame:
+    found = paragraph_sketch.compared(table(spark, folder, "documents"))
+    return found.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op13_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -97,13 +107,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_token_counts, op2_top_documents, op3_benchmark_leaks, op4_language_id, op5_similar_documents,
         op6_repeated_passages, op7_url_verdicts, op8_secret_spans, op9_token_records, op10_packed_sequences,
-        op13_dataset_manifest, pipeline,
+        op11_ranked_items, op12_edited_texts, op13_dataset_manifest, pipeline,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_documents": TOP_DOCUMENTS, "op6_repeated_passages": REPEATED_PASSAGES, "op7_url_verdicts": URL_VERDICTS, "op13_dataset_manifest": DATASET_MANIFEST}
+    return {"op2_top_documents": TOP_DOCUMENTS, "op6_repeated_passages": REPEATED_PASSAGES, "op7_url_verdicts": URL_VERDICTS, "op11_ranked_items": RANKED_ITEMS, "op13_dataset_manifest": DATASET_MANIFEST}
 
 
 TOP_DOCUMENTS = r"""
@@ -150,6 +160,32 @@ SELECT doc_id, len(list) AS n_words, len(list) - coalesce(n, 0) AS n_removed, sh
 FROM words LEFT JOIN kept USING (row)
 """
 
+RANKED_ITEMS = r"""
+WITH found AS (
+    SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS row, * FROM documents)
+), asked AS (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS item, * FROM benchmark)
+), wanted AS (
+    SELECT item, item_id, term, count(*) AS times FROM asked GROUP BY ALL
+), sizes AS (
+    SELECT count(DISTINCT row) AS n, count(*) AS l FROM found
+), lengths AS (
+    SELECT row, 25 + (75 * count(*) * any_value(sizes.n)) // any_value(l) AS m FROM found, sizes GROUP BY row
+), postings AS (
+    SELECT row, doc_id, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, sizes GROUP BY term
+), scored AS (
+    SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM wanted JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (row) GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
 URL_VERDICTS = r"""
 WITH placed AS (
     SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
