@@ -3,7 +3,7 @@
 A text is cut into *pieces*: a piece ends with its line, with a sentence (a word that ends in ``.``, ``!`` or ``?``), after a word whose hash is
 divisible by 4, or after 12 words, so a long paragraph has many and an edit touches few. A piece is known by a digest of its words and of how often the same piece came before in the text (48 bits) and by its weight,
 the number of its words (16 bits, the highest value standing for more). A sketch has three tables of ``2 ** k`` cells; a piece is put into one cell of each, which counts pieces and
-takes the XOR of their keys and of a check value. The fingerprint's ``2 ** k`` is the least one that is at least a 32nd of the number of pieces, and 4 at least; a cell's place is the low bits of a hash,
+takes the XOR of their keys and of a check value. The fingerprint's ``2 ** k`` is the least one that is at least a 64th of the number of pieces, and 4 at least; a cell's place is the low bits of a hash,
 so a table is folded to a smaller one by adding its halves.
 
 Two versions are compared by subtracting one sketch from the other: what they share goes out, and cells left with a single piece are peeled until nothing remains, which gives the pieces
@@ -30,18 +30,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from finality.llm.arrow_text import STEP, hashes, mixed, text_bytes, words
 from finality.llm.shared import stored
 
-TABLES, LEAST_BITS, PIECES_PER_PLACE, CUT_EVERY, MOST_WORDS = 3, 2, 32, 4, 12
+TABLES, LEAST_BITS, PIECES_PER_PLACE, CUT_EVERY, MOST_WORDS = 3, 2, 64, 4, 12
 #: Bits by which tables grow from one try to the next.
 GROWTH = 2
 WEIGHT = np.uint64(0xFFFF)
-CELL = np.dtype([("count", "<i4"), ("keys", "<u8"), ("checks", "<u4")])
 #: Texts are worked through in runs of about so many bytes.
 RUN_BYTES = 2_000_000
 SEED = 0x2545F4914F6CDD1D
 
-FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+FOUND = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 ARROW_FOUND = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 )
 #: First and last text of a task's rows.
 SEAM = "part int, place int, seam_text string"
@@ -122,9 +121,9 @@ class Sketches:
         return np.concatenate(changed)
 
     def to_bytes(self) -> list[bytes]:
-        cells = np.zeros(len(self.count), dtype=CELL)
-        cells["count"], cells["keys"], cells["checks"] = self.count, self.keys, self.checks.astype(np.uint32)
-        return [cells[a:b].tobytes() for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        """For each text its counts (4 bytes a cell), keys (8) and checks (4)."""
+        columns = self.count.astype("<i4"), self.keys.astype("<u8"), self.checks.astype("<u4")
+        return [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
     def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Takes out pieces that stand alone until none does. Returns owner and key of all, and for each text whether its cells are empty now."""
@@ -235,7 +234,7 @@ def compare_neighbours(ids: list, texts: list[str]) -> pa.RecordBatch:
     own, after = (keys[: at[n]], at[: n + 1]), (keys[at[1] :], at[1:] - at[1])
     prints = _part(every, 0, n)
     near_edited, near_next = likeness(own, new, prints, new_prints), likeness(own, after, prints, _part(every, 1, n + 1))
-    hashed = [hashlib.sha256(t.encode()).hexdigest() for t in changed]
+    hashed = [hashlib.sha256(t.encode()).digest() for t in changed]
     columns = [ids, [len(t) for t in texts[:n]], hashed, prints.to_bytes(), new_prints.to_bytes(), near_edited, near_next]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_FOUND, strict=True)], ARROW_FOUND.names)
 

@@ -87,7 +87,8 @@ def op11_ranked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_edited_texts(spark: SparkSession, folder: str) -> DataFrame:
     found = paragraph_sketch.compared(table(spark, folder, "documents"))
-    return found.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
+    printed = {c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(printed | {"edited_sha256": F.lower(F.hex("edited_sha256"))})
 
 
 def op13_dataset_manifest(spark: SparkSession, folder: str) -> DataFrame:
