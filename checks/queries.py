@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finality.config import BASELINE, DELAYED, FAST, MODES, PROPOSED, Policy
 from finality.functions import labels, windowing
+from finality.functions.points import default_content
 from finality.functions.timecols import local_text
 from finality.operators import meters, plain
 from finality.operators.arrival import replay_watermark, watermark_passes
@@ -49,8 +50,11 @@ def routed_only():
     return F.col("phase_group").isNotNull()
 
 
-def emissions(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return finalize(readings(spark, folder), POLICIES[name], SPARSE, keep=routed_only())
+def emissions(spark: SparkSession, folder: str, name: str, content: list[str] | None = None) -> DataFrame:
+    """Emissions of a policy; ``content`` names what is needed of a window's content, all of it by default."""
+    makes = default_content(SPARSE)
+    makes = makes if content is None else {n: makes[n] for n in content}
+    return finalize(readings(spark, folder), POLICIES[name], SPARSE, makes, keep=routed_only())
 
 
 def placed(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,7 +64,7 @@ def placed(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def counts(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
     """Output counts of several policies with ``experiment`` and a row number."""
     parts = [
-        reports.output_counts(emissions(spark, folder, n)).withColumn(
+        reports.output_counts(emissions(spark, folder, n, ["distinct_slot_count"])).withColumn(
             "experiment", F.lit(POLICIES[n].mode)
         )
         for n in names
@@ -743,7 +747,7 @@ def queries() -> dict[str, Query]:
     table |= _per_policy(lambda n: lambda s, d: window_counts(placed(s, d, n)), "window_counts")
     table |= _per_policy(lambda n: lambda s, d: emissions(s, d, n), "emissions")
     table |= _per_policy(
-        lambda n: lambda s, d: reports.output_counts(emissions(s, d, n)), "output_counts"
+        lambda n: lambda s, d: reports.output_counts(emissions(s, d, n, ["distinct_slot_count"])), "output_counts"
     )
     for name in ("alw", "cbw"):
         table[f"faulty_windows_{name}"] = (

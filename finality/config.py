@@ -36,9 +36,7 @@ class WindowSpec:
 
     ``expected`` counts readings of one series in one window; three-phase
     meters expect three times as many. ``block_bits`` sets how many arrivals
-    make one block of the arrival-order scan (2**block_bits), and
-    ``dense_limit`` is the largest window whose updates by late readings are worked
-    out from one array; the results are the same beyond it.
+    make one block of the arrival-order scan (2**block_bits).
     """
 
     size_ms: int = 7_200_000
@@ -48,7 +46,6 @@ class WindowSpec:
     zero_run: int = 3
     zone: str = "UTC"
     block_bits: int = 16
-    dense_limit: int = 1024
 
     @property
     def slot_ms(self) -> int:

@@ -81,6 +81,20 @@ def early_purge_inferred(reason: Column | None, count: Column, expected: Column)
     return (upper == "COMPLETENESS") | (~known & full)
 
 
+def early_purges() -> dict[str, Column]:
+    """Of a final emission: latency below the allowed lateness (``early_purged_raw``), and that after completion by count."""
+    early = (
+        (F.col("result_type") == "FINAL")
+        & (F.col("mode") == "PROPOSED")
+        & (F.col("allowed_lateness_ms") > 0)
+        & (F.col("finalization_latency_ms") < F.col("allowed_lateness_ms"))
+    )
+    return {
+        "early_purged_raw": early,
+        "early_purged": early & (F.col("finalization_reason") == "COMPLETENESS"),
+    }
+
+
 def finalization_latency(watermark_ms: Column, window_end_ms: Column, lateness_ms: int) -> Column:
     """Watermark past window end, kept in 0..lateness; no watermark counts as 0."""
     passed = F.coalesce(watermark_ms, window_end_ms) - window_end_ms

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from finality.config import THREE, Policy, WindowSpec
 from finality.functions import points as content_of
-from finality.functions.scan import blocks_of, running
 from finality.functions.windowing import (
     by_phase,
     completeness_text,
@@ -28,9 +27,8 @@ from finality.operators.arrival import (
     replay_watermark,
     watermark_passes,
 )
-from finality.operators.hot import with_fault_flags
+from finality.operators.zero_runs import GROUP, closing_flags, flag_changes
 
-GROUP = ["phase_group", "meter_id", "window_start_ms"]
 EMITTED = [*GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq"]
 Content = dict[str, Callable[[Column, Column], Column]]
 
@@ -238,92 +236,92 @@ def native_columns(policy: Policy, content: Content) -> list[Column]:
     ]
 
 
-def _dense_emissions(taken: DataFrame, content: Content) -> DataFrame:
-    """Emissions of windows whose points fit one array."""
-    windows = (
-        taken.groupBy(*GROUP, "window_end_ms")
-        .agg(
-            F.count_if(~F.col("late")).cast("int").alias("on_time"),
-            F.sort_array(F.collect_list(_point())).alias("points"),
-        )
-        .withColumn("taken", F.size("points"))
-    )
-    steps = F.concat(
-        F.when(F.col("on_time") > 0, F.array("on_time")).otherwise(F.array().cast("array<int>")),
-        F.when(
-            F.col("taken") > F.col("on_time"), F.sequence(F.col("on_time") + 1, F.col("taken"))
-        ).otherwise(F.array().cast("array<int>")),
-    )
-    emitted = windows.select("*", F.posexplode(steps).alias("pos", "k")).withColumns(
+def _closings(taken: DataFrame, content: Content, spec: WindowSpec) -> DataFrame:
+    """One emission per window: its count and, if asked for, its fault flag."""
+    if "fault_indicator" in content:
+        windows = closing_flags(taken, spec)
+    else:
+        windows = taken.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("k"))
+    return windows.withColumns(
         {
-            "emit_no": F.col("pos") + 1,
-            "closes": F.col("k") <= F.col("on_time"),
-            "by_seq": F.element_at("points", F.col("k"))["seq"],
-            "points": F.slice("points", F.lit(1), F.col("k")),
+            "window_end_ms": F.col("window_start_ms") + spec.size_ms,
+            "emit_no": F.lit(1).cast("bigint"),
+            "closes": F.lit(True),
+            "by_seq": F.lit(None).cast("bigint"),
         }
     )
-    return content_of.with_content(emitted, content).select(
-        *GROUP, "window_end_ms", "emit_no", "k", "closes", "by_seq", *content
-    )
 
 
-def _hot_emissions(taken: DataFrame, content: Content, spec: WindowSpec) -> DataFrame:
-    """Emissions of very full windows that are updated by late readings.
+def _updates(taken: DataFrame, content: Content, spec: WindowSpec) -> DataFrame:
+    """An emission when a window closes and one for each late reading.
 
-    Counts come from the blocked scan and fault flags from points split by event
-    time, so no update gathers a window for them. Other content is a function of
-    all points so far and is computed from these for each emission that asks for
-    it; the voltage text asks for it in faulty emissions only.
+    Counts and flags are running values over the arrivals of a window, which are scanned in
+    blocks; the changes of a flag take part in the scan as rows of their own. A window closes
+    on the count and flag of its last reading in time.
     """
-    taken = taken.select(
-        *GROUP, "window_end_ms", "series_id", "event_ms", "value", "arrival_seq", "late"
-    )
-    counts = taken.groupBy(*GROUP, "window_end_ms").agg(
-        F.count_if(~F.col("late")).alias("on_time"),
-        F.max(F.when(~F.col("late"), F.col("arrival_seq"))).alias("by_seq"),
-    )
-    closing = counts.filter("on_time > 0").select(
-        *GROUP,
-        "window_end_ms",
-        F.col("on_time").alias("k"),
-        F.lit(1).cast("bigint").alias("emit_no"),
-        F.lit(True).alias("closes"),
-        "by_seq",
-    )
-    ranked = running(
-        taken,
-        blocks_of("arrival_seq", spec.block_bits),
-        ["arrival_seq"],
-        {"k": ("sum", F.lit(1)), "lates": ("sum", F.col("late").cast("int"))},
-        keys=GROUP,
-        inclusive=True,
-        block=["_blk"],
+    flagged = "fault_indicator" in content
+    rows = taken.select(*GROUP, F.col("arrival_seq").alias("seq"), "late", F.lit(True).alias("is_point"))
+    values = {
+        "k": (F.sum, F.col("is_point").cast("bigint")),
+        "lates": (F.sum, F.col("late").cast("bigint")),
+        "in_time": (F.sum, (F.col("is_point") & ~F.col("late")).cast("bigint")),
+    }
+    if flagged:
+        changes = flag_changes(taken, spec).withColumns({"late": F.lit(False), "is_point": F.lit(False)})
+        rows = rows.withColumn("flag", F.lit(None).cast("boolean")).unionByName(changes)
+        values["state"] = (F.max, F.when(F.col("flag").isNotNull(), F.struct("seq", "flag")))
+    block = [*GROUP, "_blk"]
+    dealt = rows.withColumn("_blk", F.shiftright("seq", spec.block_bits)).repartition(*block)
+    totals = dealt.groupBy(*block).agg(*[make(value).alias(name) for name, (make, value) in values.items()])
+    blocks = Window.partitionBy(*GROUP).orderBy("_blk")
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    after = blocks.rowsBetween(1, Window.unboundedFollowing)
+    prior = totals.select(
+        *block,
+        *[make(name).over(before).alias(f"_before_{name}") for name, (make, _) in values.items()],
+        # the readings in time up to here, if none of them comes later
+        F.when(F.coalesce(F.sum("in_time").over(after), F.lit(0)) == 0, F.col("in_time")).alias("_last_in_time"),
     )
-    updates = ranked.filter("late").select(
-        *GROUP,
-        "window_end_ms",
-        "k",
-        (F.col("lates") + F.when(F.col("k") > F.col("lates"), 1).otherwise(0)).alias("emit_no"),
-        F.lit(False).alias("closes"),
-        F.col("arrival_seq").alias("by_seq"),
+    upto = Window.partitionBy(*block).orderBy("seq", "is_point").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = dealt.withColumns({f"_here_{name}": make(value).over(upto) for name, (make, value) in values.items()})
+    scanned = scanned.filter("is_point").join(prior, block)
+    whole = {
+        name: F.coalesce(F.col(f"_before_{name}"), F.lit(0)) + F.col(f"_here_{name}") for name in ("k", "lates")
+    }
+    closes = ~F.col("late") & (F.col("_here_in_time") == F.col("_last_in_time"))
+    flag = {}
+    if flagged:
+        state = F.greatest("_before_state", "_here_state")
+        flag = {"fault_indicator": F.coalesce(state["flag"], F.lit(False))}
+    return (
+        scanned.withColumns(whole | flag | {"closes": closes, "by_seq": F.col("seq")})
+        .filter("late OR closes")
+        .withColumns(
+            {
+                "emit_no": F.when(F.col("closes") | (F.col("k") > F.col("lates")), F.col("lates") + 1).otherwise(F.col("lates")),
+                "window_end_ms": F.col("window_start_ms") + spec.size_ms,
+            }
+        )
     )
-    flagged = closing.unionByName(updates)
-    if "fault_indicator" in content:
-        flagged = with_fault_flags(flagged, taken, spec)
+
+
+def _native_emissions(taken: DataFrame, content: Content, spec: WindowSpec, updates: bool) -> DataFrame:
+    """Emissions of the policies that do not look at completeness, with their content.
+
+    Counts and fault flags never gather a window. Other content is a function of all points so far: they
+    are gathered for the windows that need it, which for the voltage text are the faulty ones.
+    """
+    emitted = (_updates if updates else _closings)(taken, content, spec)
     others = {n: make for n, make in content.items() if n != "fault_indicator"}
     if not others:
-        return flagged.select(*EMITTED, *content)
-    points = taken.groupBy(*GROUP).agg(F.sort_array(F.collect_list(_point())).alias("points"))
-    texts_only = set(others) == {"voltage_data"} and "fault_indicator" in content
-    asking = flagged.filter("fault_indicator") if texts_only else flagged
-    asking = asking.join(points, GROUP).withColumn("points", F.slice("points", F.lit(1), F.col("k")))
-    filled = content_of.with_content(asking, others).select(*EMITTED, *content)
-    if not texts_only:
-        return filled
-    silent = flagged.filter("NOT fault_indicator").withColumn(
-        "voltage_data", F.lit(None).cast("string")
-    )
-    return filled.unionByName(silent.select(*EMITTED, *content))
+        return emitted.select(*EMITTED, *content)
+    gathered = taken
+    if set(others) == {"voltage_data"} and "fault_indicator" in content:
+        ever = flag_changes(taken, spec).filter("flag") if updates else emitted.filter("fault_indicator")
+        gathered = taken.join(ever.select(*GROUP).distinct(), GROUP, "left_semi")
+    points = gathered.groupBy(*GROUP).agg(F.sort_array(F.collect_list(_point())).alias("points"))
+    asked = emitted.join(points, GROUP, "left").withColumn("points", F.slice("points", F.lit(1), F.col("k").cast("int")))
+    return content_of.with_content(asked, others).select(*EMITTED, *content)
 
 
 def finalize(
@@ -357,14 +355,8 @@ def finalize(
 
     native = {name: make for name, make in content.items() if name != "distinct_slot_count"}
     taken = placed.filter("NOT dropped")
-    if not policy.lateness_ms:
-        # late readings are dropped, so every window is emitted once
-        emitted = _dense_emissions(taken, native)
-    else:
-        full = taken.groupBy(*GROUP).count().filter(F.col("count") > spec.dense_limit).select(*GROUP)
-        emitted = _dense_emissions(taken.join(full, GROUP, "left_anti"), native).unionByName(
-            _hot_emissions(taken.join(full, GROUP, "left_semi"), native, spec)
-        )
+    # without allowed lateness all late readings are dropped, so a window is emitted once
+    emitted = _native_emissions(taken, native, spec, updates=policy.lateness_ms > 0)
     passes = watermark_passes(readings, spec, policy.delay_ms, per)
     emitted = emitted.join(passes, "window_end_ms", "left").withColumns(
         {

@@ -10,6 +10,7 @@ from finality.functions.scan import TOP_BITS, running
 from finality.functions.timecols import local_day, local_text
 from finality.functions.windowing import (
     early_purge_inferred,
+    early_purges,
     expected_of_label,
     final_met,
     preliminary_met,
@@ -26,18 +27,10 @@ def output_counts(emissions: DataFrame) -> DataFrame:
     so a deadline met on the last millisecond counts as early;
     ``early_purged`` asks for completion by count.
     """
-    early = (
-        (F.col("result_type") == "FINAL")
-        & (F.col("mode") == "PROPOSED")
-        & (F.col("allowed_lateness_ms") > 0)
-        & (F.col("finalization_latency_ms") < F.col("allowed_lateness_ms"))
-    )
+    purges = early_purges()
     return emissions.groupBy(*KEY).agg(
         F.count("*").cast("int").alias("output_count"),
-        F.bool_or(F.coalesce(early, F.lit(False))).alias("early_purged_raw"),
-        F.bool_or(
-            F.coalesce(early & (F.col("finalization_reason") == "COMPLETENESS"), F.lit(False))
-        ).alias("early_purged"),
+        *[F.bool_or(F.coalesce(flag, F.lit(False))).alias(name) for name, flag in purges.items()],
         F.max_by("count", "emit_no").alias("final_count"),
         F.max_by("distinct_slot_count", "emit_no").alias("distinct_slot_count"),
     )

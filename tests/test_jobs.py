@@ -9,7 +9,7 @@ import time
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from finality.config import JobArgs, Policy, WindowSpec
 from finality.operators.replay import finalize, place
@@ -18,7 +18,9 @@ from finality.plans.reports import output_counts
 from finality.plans.standins import DAY_MS, SPARSE, readings
 from finality.streaming.processor import (
     FLUSH_MS,
+    WindowProcessor,
     closed_windows,
+    counted_outputs,
     emissions_of,
     fired_windows,
     late_of,
@@ -220,6 +222,101 @@ def test_stream_equals_stored_form(spark, feed, policy, tmp_path):
     assert output_counts(streamed).exceptAll(output_counts(stored)).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "policy",
+    [Policy("delayed", delay_ms=DAY_MS), Policy("baseline", lateness_ms=DAY_MS), Policy("proposed", lateness_ms=DAY_MS)],
+    ids=lambda p: p.mode,
+)
+def test_streamed_output_counts_equal_stored_ones(spark, feed, policy, tmp_path):
+    """Two stateful operators in one query; each window comes out once."""
+    rows, source = feed
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    (
+        counted_outputs(fired_windows(stream, policy, SPARSE), policy, SPARSE)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{tmp_path}/out")
+        .awaitTermination()
+    )
+    streamed = spark.read.parquet(f"{tmp_path}/out")
+    stored = output_counts(finalize(rows, policy, SPARSE, per="epoch", keep=F.col("phase_group").isNotNull()))
+    assert streamed.count() == stored.count() > 100
+    assert streamed.select(stored.columns).exceptAll(stored).isEmpty()
+
+
+class _ListState:
+    """List state that counts what is written to it."""
+
+    def __init__(self):
+        self.rows, self.written, self.read = [], 0, 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.read += 1
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.written += len(rows)
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+class _Status:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.points, self.status, self.timers = _ListState(), _Status(), []
+
+    def getListState(self, *_):
+        return self.points
+
+    def getValueState(self, *_):
+        return self.status
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Clock:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("mode", ["fast", "proposed"])
+def test_a_batch_writes_its_own_readings_only(mode):
+    """What a batch writes doesn't grow with the window, and nothing is read where nothing is emitted."""
+    handle, spec = _Handle(), WindowSpec(expected=10_000)
+    processor = WindowProcessor(Policy(mode), spec)
+    processor.init(handle)
+    for batch in range(50):
+        rows = [Row(arrival_seq=20 * batch + k, event_ms=k, value=1.0, phase=0) for k in range(20)]
+        before = handle.points.written
+        assert list(processor.handleInputRows(("SINGLE", "a", 0), iter(rows), _Clock())) == []
+        assert handle.points.written - before == 20
+    assert handle.points.read == 0 and handle.status.get() == (1000, 0, False)
+    assert len(handle.timers) == 1
+
+
 def test_strict_windows_equal_the_built_in_window(spark, feed, tmp_path):
     rows, source = feed
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)

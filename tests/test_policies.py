@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from finality.config import Policy, WindowSpec
-from finality.operators.hot import EMPTY, Zeros, piece_changes
+from finality.operators import zero_runs
+from finality.functions.points import default_content
 from finality.operators.replay import finalize, late_records, place
 from finality.plans.reports import contract_violations, output_counts
 from simulator import SCHEMA, random_readings, simulate, zero_run
@@ -74,18 +75,34 @@ def test_against_simulation(spark, policy, seed):
 
 
 @pytest.mark.parametrize("policy", POLICIES[:3], ids=lambda p: p.mode)
-def test_hot_windows_equal_dense_ones(spark, policy):
-    """One meter holds a third of all readings and overflows every array."""
-    rows = random_readings(random.Random(3), 1200, 6, 8 * HOUR, 3 * HOUR)
-    spec = WindowSpec(expected=4, block_bits=6)
+@pytest.mark.parametrize("step", [1, 3_600_000])
+def test_very_full_windows(spark, policy, step, monkeypatch):
+    """A meter with a third of all readings, small blocks and slots, also with a clock that stands still."""
+    rows = random_readings(random.Random(3), 1200, 6, 8 * HOUR, 3 * HOUR, step)
+    spec = WindowSpec(expected=4, block_bits=4)
+    monkeypatch.setattr(zero_runs, "SLOT_BITS", 18)
     df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(5)
-    hot = dataclasses.replace(spec, dense_limit=10)
     expected, _ = emitted_by_simulation(rows, policy, spec)
-    got = emitted_by_spark(df, policy, hot)
-    per_window = Counter((r["phase_group"], r["meter_id"], r["event_ms"] // spec.size_ms) for r in rows)
-    full = {(g, m, w * spec.size_ms) for (g, m, w), n in per_window.items() if n > 10}
-    assert got == expected
-    assert sum(row[:3] in full for row in got) > len(got) / 3
+    assert emitted_by_spark(df, policy, spec) == expected
+
+
+@pytest.mark.parametrize("policy", POLICIES[:3], ids=lambda p: p.mode)
+def test_no_window_is_gathered_without_a_text(spark, policy):
+    """Counts and flags come from a plan without arrays; one window holds all rows."""
+    spec = WindowSpec()
+    rows = spark.range(300_000).selectExpr(
+        "id AS arrival_seq", "id AS arrival_epoch", "'a' AS meter_id", "'Spänning L1' AS series_id",
+        "CASE WHEN id = 150000 THEN 7200000 ELSE (id * 7919) % 7200000 END AS event_ms",
+        "CASE WHEN id % 5 = 0 THEN 9D ELSE 0D END AS value", "0L AS insert_ms", "'SINGLE' AS phase_group",
+    )
+    flags = {"fault_indicator": default_content(spec)["fault_indicator"]}
+    emitted = finalize(rows, policy, spec, flags)
+    plan = emitted._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "collect_list" not in plan
+    first = emitted.filter("window_start_ms = 0")
+    taken = {"fast": 150_000, "delayed": 299_999, "baseline": 299_999}[policy.mode]
+    row = first.agg(F.max("count"), F.count("*"), F.bool_and("fault_indicator")).first()
+    assert tuple(row) == (taken, taken - 149_999 if policy.lateness_ms else 1, True)
 
 
 def test_contract_and_equal_lateness(spark):
@@ -102,22 +119,24 @@ def test_contract_and_equal_lateness(spark):
     assert len(set(drops)) == 1
 
 
-def test_piece_changes_follow_every_arrival():
+def test_versions_follow_every_arrival():
     rng = random.Random(7)
-    spec = WindowSpec()
+    spec, kinds = WindowSpec(), zero_runs.Summaries(3)
     for _ in range(200):
         n = rng.randrange(1, 14)
         seqs = rng.sample(range(100), n)
         zeros = [rng.random() < 0.7 for _ in range(n)]
-        changes = dict(piece_changes(seqs, zeros, 3))
-        state = EMPTY
+        order = sorted(range(n), key=seqs.__getitem__)
+        leaf = [kinds.code(int(z), int(z), z, False) for z in zeros]
+        changes = dict(zero_runs.versions(order, [seqs[i] for i in order], [leaf[i] for i in order], kinds))
+        state = kinds.empty
         for seq in sorted(seqs):
             state = changes.get(seq, state)
             seen = [z for s, z in zip(seqs, zeros) if s <= seq]
             points = [(i, i, 0.0 if z else 9.0, 0) for i, z in enumerate(seen)]
             head = next((i for i, z in enumerate(seen) if not z), len(seen))
             tail = next((i for i, z in enumerate(reversed(seen)) if not z), len(seen))
-            assert state == Zeros(min(3, head), min(3, tail), all(seen), zero_run(points, 0, spec))
+            assert kinds.parts(state) == (min(3, head), min(3, tail), all(seen), zero_run(points, 0, spec))
 
 
 # ------------------------------------------------------------ golden cases
