@@ -30,17 +30,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from finality.llm.arrow_text import TO_LOWER, mixed, slices, text_bytes, words
 
+#: Letters and further numerals (fractions, Roman and circled numbers); the latter are taken out by category.
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Scores of all characters of the different words of a slice are held at once.
 SLICE_BYTES = 2_000_000
+KEPT_WORDS = 300_000
 RUNS = "lang string, size int, slot int, history int, shorter int, opens boolean, count long"
 #: Calibration: bins of the margin and of the cross-entropy, and the share of labelled texts that may be rejected.
 MARGIN_STEP, ENTROPY_STEP, REJECTED = 0.05, 0.05, 0.0005
 
 
-def distinct_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Different words of a text column as letters with single spaces between, the number of each word, and the words before each row."""
+def spelled(word: bytes) -> str:
+    """A word's letters in lower case, with single spaces for what stands between them."""
+    runs = _LETTERS.findall(word.decode().lower())
+    if not all(map(str.isalpha, runs)):
+        runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+    return " ".join(runs)
+
+
+def distinct_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different words of a text column, the number of each word, and the words before each row."""
     data, offsets = text_bytes(column)
     data = TO_LOWER[data]
     begin, end, first_word = words(data, offsets)
@@ -50,8 +60,7 @@ def distinct_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]
     cuts = np.append(begin, len(data)).astype(np.int64)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
     coded = pieces.dictionary_encode()
-    spelled = [" ".join(_LETTERS.findall(w.decode().lower())) for w in coded.dictionary.to_pylist()]
-    return spelled, coded.indices.to_numpy().astype(np.int64), first_word
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), first_word
 
 
 @dataclass
@@ -67,23 +76,28 @@ class Characters:
     known: np.ndarray
 
     @staticmethod
-    def of(spelled: list[str]) -> Characters:
-        codes = np.frombuffer((" " + "  ".join(spelled) + " ").encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
-        lengths = np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled))
+    def of(words_: list[str]) -> Characters:
+        codes = np.frombuffer((" " + "  ".join(words_) + " ").encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+        lengths = np.fromiter(map(len, words_), dtype=np.int64, count=len(words_))
         starts = np.cumsum(lengths + 2) - (lengths + 2)
-        word = np.repeat(np.arange(len(spelled)), lengths + 2)
+        word = np.repeat(np.arange(len(words_)), lengths + 2)
         known = np.arange(len(codes)) - starts[word]
         keep = (known > 0) & (lengths[word] > 0)
         return Characters(codes, np.flatnonzero(keep), word[keep], known[keep])
 
-    def slots(self, size: int, bits: int) -> np.ndarray:
-        """The hash of the ``size`` characters that end at each place of ``codes``."""
-        h = np.full(len(self.codes), size, dtype=np.uint64)
-        for back in range(size - 1, -1, -1):
-            shifted = np.zeros(len(h), dtype=np.uint64)
-            shifted[back:] = self.codes[: len(h) - back]
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + shifted)
-        return (h >> np.uint64(64 - bits)).astype(np.int32)
+    def slots(self, order: int, bits: int) -> list[np.ndarray]:
+        """For each size from 0 to ``order``: the hash of the characters, so many, that end at each place of ``codes``.
+
+        A run is hashed from the run before it and its last character.
+        """
+        h = np.zeros(len(self.codes), dtype=np.uint64)
+        out = [np.zeros(len(h), dtype=np.int32)]
+        for _ in range(order):
+            before = np.zeros(len(h), dtype=np.uint64)
+            before[1:] = h[:-1]
+            h = mixed(before * np.uint64(0x9E3779B97F4A7C15) + self.codes + np.uint64(1))
+            out.append((h >> np.uint64(64 - bits)).astype(np.int32))
+        return out
 
 
 def count_runs(texts: DataFrame, order: int, bits: int) -> DataFrame:
@@ -95,15 +109,15 @@ def count_runs(texts: DataFrame, order: int, bits: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, limit=SLICE_BYTES):
-                spelled, number, first_word = distinct_words(some.column("text"))
+                different, number, first_word = distinct_words(some.column("text"))
                 langs = some.column("lang").dictionary_encode()
-                if not spelled:
+                if not different:
                     continue
-                characters = Characters.of(spelled)
-                slots = [characters.slots(size, bits) for size in range(order + 1)]
+                characters = Characters.of([spelled(w) for w in different])
+                slots = characters.slots(order, bits)
                 lang_of_word = np.repeat(langs.indices.to_numpy(), np.diff(first_word))
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
-                    times = np.bincount(number[lang_of_word == k], minlength=len(spelled))
+                    times = np.bincount(number[lang_of_word == k], minlength=len(different))
                     used = times[characters.word] > 0
                     at, known, weight = characters.at[used], characters.known[used], times[characters.word[used]]
                     for size in range(1, order + 1):
@@ -140,18 +154,22 @@ class LanguageModels:
     fit: tuple[float, float] = (0.0, 1.0)
     limit: float = float("inf")
 
-    def word_scores(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __post_init__(self):
+        self.places: dict[bytes, int] = {}
+        self.kept, self.kept_sizes = np.zeros((0, len(self.langs))), np.zeros(0, dtype=np.int64)
+
+    def word_scores(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each word by language, and the number of predicted characters of each."""
-        out = np.zeros((len(spelled), len(self.langs)))
-        if not spelled:
+        out = np.zeros((len(words_), len(self.langs)))
+        if not words_:
             return out, np.zeros(0, dtype=np.int64)
-        c = Characters.of(spelled)
+        c = Characters.of(words_)
+        slots_of = c.slots(self.order, self.bits)
         value = np.full((len(c.at), len(self.langs)), self.floor)
         history = np.zeros(len(c.at), dtype=np.int64)  # entry of the empty history
         for size in range(1, self.order + 1):
             here = c.known >= size - 1
-            slots = c.slots(size, self.bits)
-            entry = self._entries(size, slots)
+            entry = self._entries(size, slots_of[size])
             if size > 1:
                 history = np.where(here, previous[np.maximum(c.at - 1, 0)], -1)
             found = self.found[size][entry[c.at]]
@@ -159,8 +177,25 @@ class LanguageModels:
             value = np.where(here[:, None], np.where(np.isnan(found), value + back, found), value)
             previous = entry
         for k in range(len(self.langs)):
-            out[:, k] = np.bincount(c.word, weights=value[:, k], minlength=len(spelled))
-        return out, np.bincount(c.word, minlength=len(spelled))
+            out[:, k] = np.bincount(c.word, weights=value[:, k], minlength=len(words_))
+        return out, np.bincount(c.word, minlength=len(words_))
+
+    def remembered(self, different: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``word_scores`` of raw words. A worker keeps those of words it has met, ``KEPT_WORDS`` at most; beyond, all are forgotten and scored anew."""
+        if len(self.places) + len(different) > KEPT_WORDS:
+            self.places, self.kept, self.kept_sizes = {}, np.zeros((0, len(self.langs))), np.zeros(0, dtype=np.int64)
+        new = [w for w in different if w not in self.places]
+        if new:
+            by_word, sizes = self.word_scores([spelled(w) for w in new])
+            at = len(self.places)
+            if at + len(new) > len(self.kept):
+                more = at + 2 * len(new)
+                self.kept = np.concatenate([self.kept[:at], np.zeros((more, len(self.langs)))])
+                self.kept_sizes = np.concatenate([self.kept_sizes[:at], np.zeros(more, dtype=np.int64)])
+            self.kept[at : at + len(new)], self.kept_sizes[at : at + len(new)] = by_word, sizes
+            self.places.update(zip(new, range(at, at + len(new)), strict=True))
+        places = np.fromiter(map(self.places.__getitem__, different), dtype=np.int64, count=len(different))
+        return self.kept[places], self.kept_sizes[places]
 
     def _entries(self, size: int, slots: np.ndarray) -> np.ndarray:
         """Row of each hash in the sorted array; the last row stands for hashes that aren't there."""
@@ -170,8 +205,8 @@ class LanguageModels:
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text by language, and its number of characters (0: no letters)."""
-        spelled, number, first_word = distinct_words(column)
-        by_word, sizes = self.word_scores(spelled)
+        different, number, first_word = distinct_words(column)
+        by_word, sizes = self.remembered(different)
         rows = len(first_word) - 1
         of = np.repeat(np.arange(rows), np.diff(first_word))
         n = np.bincount(of, weights=sizes[number], minlength=rows) if len(of) else np.zeros(rows)

@@ -8,8 +8,8 @@ document (free), of a sentence (``sentence_cost`` tokens), or, only inside spans
     f(j) = cost(j) + min( window - p(j) + min over p(i) >= p(j) - window of (f(i) + p(i)),  f(i) where p(j) - p(i) is such a power )
 
 and the inner minimum slides over i, so a monotone queue gives each f(j) in constant time. A stream is worked through in
-slices: the best path to the end of a slice is kept but for its last sequence, which goes on with the next slice. Memory holds
-one slice; only the tail of each task can end short of the window.
+runs of documents with a fixed number of tokens: the best path to the end of a run is kept but for its last sequence, which goes on with the next run, so the size
+of batches changes nothing. Memory holds one run and one slice of texts; only the tail of each task can end short of the window.
 """
 
 from __future__ import annotations
@@ -86,11 +86,12 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int, least_power: int) -
     return out[::-1]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, sentence_cost: float = 4.0, hard_cost: float = 16.0, hard_step: int = 128, least_power: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, sentence_cost: float = 4.0, hard_cost: float = 16.0, hard_step: int = 128, least_power: int = 256, run_tokens: int = 400_000) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): which ids of which document lie where in which sequence.
 
     A null text is empty; every document ends with ``end_id``, so none is without tokens. Rows without an id come first,
     equal ids in the order of a hash of their texts. ``sequence_id`` holds the task in its upper bits. No documents: no rows.
+    Cuts are chosen over runs of documents with ``run_tokens`` tokens or more, whose last sequence is left open for the next run.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,40 +105,47 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, s
         # documents that are not packed to their end: id, ids of them packed already, tokens in all; and those tokens
         ids, names, done, sizes = np.zeros(0, dtype=np.uint32), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         rest = iter(some for batch in batches for some in slices(batch))
-        some = next(rest, None)
-        while some is not None:
-            new, at = pieces.encode(some.column("text"), end_id)
-            ids = np.concatenate([ids, new.astype(np.uint32)])
-            names += some.column("doc_id").to_pylist()
-            sizes = np.concatenate([sizes, np.diff(at)])
-            done = np.concatenate([done, np.zeros(some.num_rows, np.int64)])
+        more = True
+        while more:
             some = next(rest, None)
-            ends = np.cumsum(sizes - done)
-            cuts = best_cuts(*candidate_cuts(ends, ends_sentence[ids], sentence_cost, hard_step, hard_cost), window, least_power)
-            if some is not None:
-                cuts.pop()
-            to = cuts[-1] if cuts else 0
-            if not to:
-                continue
-            starts = np.unique(np.concatenate([[0], ends[ends < to], cuts[:-1]])).astype(np.int64)
-            lengths = np.diff(np.append(starts, to))
-            of = np.searchsorted(ends, starts, side="right")
-            number = np.searchsorted(cuts, starts, side="right")
-            begin = np.concatenate([[0], cuts])[number]
-            within = starts - (ends - sizes)[of]
-            data = memoryview(ids.astype("<u4").tobytes())
-            crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array([names[k] for k in of.tolist()], pa.int64()), "start": within, "length": lengths,
-                    "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": sizes[of], "sequence_id": sequence + number, "offset": starts - begin,
-                }
-            )
-            sequence += len(cuts)
-            keep = int(np.searchsorted(ends, to, side="right"))
-            first = (ends - (sizes - done))[keep:]  # where what is left of each document begins
-            done = done[keep:] + np.maximum(to - first, 0)
-            ids, names, sizes = ids[to:], names[keep:], sizes[keep:]
+            if more := some is not None:
+                new, at = pieces.encode(some.column("text"), end_id)
+                ids = np.concatenate([ids, new.astype(np.uint32)])
+                names += some.column("doc_id").to_pylist()
+                sizes = np.concatenate([sizes, np.diff(at)])
+                done = np.concatenate([done, np.zeros(some.num_rows, np.int64)])
+            while len(names):
+                # a run ends with the document that fills it, wherever batches end
+                ends = np.cumsum(sizes - done)
+                filling = int(np.searchsorted(ends, max(run_tokens, 2 * window)))
+                if filling == len(ends) and more:
+                    break
+                last_run = filling >= len(ends) - 1 and not more
+                ends = ends[: filling + 1]
+                cuts = best_cuts(*candidate_cuts(ends, ends_sentence[ids[: ends[-1]]], sentence_cost, hard_step, hard_cost), window, least_power)
+                if not last_run:
+                    cuts.pop()
+                to = cuts[-1]
+                starts = np.unique(np.concatenate([[0], ends[ends < to], cuts[:-1]])).astype(np.int64)
+                lengths = np.diff(np.append(starts, to))
+                of = np.searchsorted(ends, starts, side="right")
+                number = np.searchsorted(cuts, starts, side="right")
+                begin = np.concatenate([[0], cuts])[number]
+                within = starts - (ends - sizes[: len(ends)])[of]
+                data = memoryview(ids[:to].astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array([names[k] for k in of.tolist()], pa.int64()), "start": within, "length": lengths,
+                        "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": sizes[of], "sequence_id": sequence + number, "offset": starts - begin,
+                    }
+                )
+                sequence += len(cuts)
+                ends = np.cumsum(sizes - done)
+                keep = int(np.searchsorted(ends, to, side="right"))
+                first = (ends - (sizes - done))[keep:]  # where what is left of each document begins
+                done = done[keep:] + np.maximum(to - first, 0)
+                ids, names, sizes = ids[to:], names[keep:], sizes[keep:]
 
     tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     ordered = (

@@ -17,6 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from finality.llm.arrow_text import IS_SPACE, TO_LOWER, ranges, text_bytes
@@ -56,14 +57,16 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encodes columns with one tokenizer file; special-token strings in a text are ordinary text.
+    """Encodes columns with one tokenizer file, as the tokenizers library does without adding special tokens.
 
-    ``keep`` bounds the remembered pieces of a worker; beyond it they are forgotten and encoded anew.
+    A text that holds the string of an added token is given to the library whole, which gives that token's id; with ``plain_specials``
+    such strings are ordinary text. ``keep`` bounds the remembered pieces of a worker; beyond it they are forgotten and encoded anew.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 500_000, plain_specials: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -117,6 +120,21 @@ class PieceEncoder:
 
     def encode(self, column: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and the n+1 row offsets. ``last`` is added to every row."""
+        whole = np.zeros(len(column), dtype=bool)
+        for content in self.added:
+            # in any case: a normaliser may lower it first
+            whole |= pc.fill_null(pc.match_substring(column, content, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_pieces(column, last)
+        ids, at = self._by_pieces(pc.if_else(pa.array(whole), pa.scalar(None, column.type), column), last)
+        rows = np.flatnonzero(whole)
+        lists = [self.tokenizer.encode(column[int(r)].as_py(), add_special_tokens=False).ids for r in rows]
+        lengths = np.zeros(len(column), dtype=np.int64)
+        lengths[rows] = [len(x) for x in lists]
+        values = np.array([i for x in lists for i in x], dtype=ids.dtype)
+        return np.insert(ids, np.repeat(at[rows], lengths[rows]), values), at + np.concatenate([[0], np.cumsum(lengths)])
+
+    def _by_pieces(self, column: pa.Array, last: int | None) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
         if self.lower:
             data = TO_LOWER[data]
@@ -143,11 +161,12 @@ class PieceEncoder:
         return out, before + np.arange(rows + 1)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain_specials: bool = False) -> PieceEncoder:
     """The encoder of this worker, kept over tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    key = path, plain_specials
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, plain_specials=plain_specials)
+    return _ENCODERS[key]

@@ -30,7 +30,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, path, file, ordinal, pieces = TaskContext.get().partitionId(), None, None, 0, encoder(tokenizer)
+        part, path, file, ordinal, pieces = TaskContext.get().partitionId(), None, None, 0, encoder(tokenizer, plain_specials=True)
         for batch in batches:
             for some in slices(batch):
                 ids, _ = pieces.encode(some.column("text"), end_id)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -135,7 +136,7 @@ def boundary_after(models, word: str) -> np.ndarray:
     for size in range(1, models.order + 1):
         if c.known[-1] < size - 1:
             break
-        entry = models._entries(size, c.slots(size, models.bits))
+        entry = models._entries(size, c.slots(size, models.bits)[size])
         if size > 1:
             history = previous[at - 1]
         found = models.found[size][entry[at]][0]
@@ -354,3 +355,82 @@ def test_weak_parts_need_their_counterpart(spark, odd_docs, no_docs):
     same = secret_links.without_secrets(odd_docs)
     assert same.columns == odd_docs.columns and sorted(map(str, same.collect())) == sorted(map(str, odd_docs.collect()))
     assert secret_links.find_secrets(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("text, letters", [("½ ²", ""), ("Ⅷ ①", ""), ("x² Ⅷabc½d", "x|abc d"), ("Été’s 1a2_b", "été s|a b"), ("日本 ʰa", "日本|ʰa")])
+def test_only_letters_are_learned(text, letters):
+    different, number, _ = language.distinct_words(pa.array([text]))
+    words = [language.spelled(different[k]) for k in number]
+    assert "|".join(w for w in words if w) == letters
+
+
+def test_texts_without_letters_have_no_language(spark):
+    docs = spark.createDataFrame([(k, f"the words of text {k} are here", "en") for k in range(60)] + [(90, "½ ²", None), (91, "Ⅷ ①", None)], "doc_id long, text string, lang string")
+    models = language.train(docs, F.col("doc_id") % 5 == 0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, models).collect()}
+    assert got[90] == got[91] == ("und", 0.0) and got[1][0] == "en"
+
+
+def kneser_ney(words: list[str], order: int):
+    """Log-probability of a word by the formulas of the module, with runs as strings."""
+    counts, kinds = Counter(), set()
+    for word in words:
+        text = f" {word} "
+        for at in range(1, len(text)):
+            for size in range(1, min(order, at + 1) + 1):
+                run = text[at - size + 1 : at + 1]
+                counts[run, at - size + 1 == 0] += 1
+                kinds.add(run)
+    amounts = {}
+    for run in kinds:
+        before = {r for r in kinds if len(r) == len(run) + 1 and r[1:] == run}
+        whole = counts[run, True] + counts[run, False]
+        amounts[run] = whole if len(run) == order else counts[run, True] + len(before)
+    alphabet = {r for r in kinds if len(r) == 1}
+    discount, total, after = {}, Counter(), Counter()
+    for size in range(1, order + 1):
+        own = [amounts[r] for r in kinds if len(r) == size]
+        once, twice = own.count(1), own.count(2)
+        discount[size] = once / (once + 2 * twice) if once and twice else 0.5
+    for run in kinds:
+        total[run[:-1]] += amounts[run]
+        after[run[:-1]] += 1
+    floor = 1 / max(2, len(alphabet | {r[:-1] for r in kinds if len(r) == 2}))
+
+    def weight(history: str) -> float:
+        return min(discount[len(history) + 1] * after[history], total[history]) / max(total[history], 1) if total[history] else 1.0
+
+    def probability(history: str, letter: str) -> float:
+        run = history + letter
+        lower = probability(history[1:], letter) if history else floor
+        if run in amounts:
+            return max(amounts[run] - discount[len(run)], 0) / max(total[history], 1) + weight(history) * lower
+        return weight(history) * lower
+
+    return lambda word: sum(math.log(probability(f" {word} "[max(0, at - order + 1) : at], f" {word} "[at])) for at in range(1, len(word) + 2))
+
+
+def test_models_by_brute_force(spark, folder):
+    """The settings in use, against models whose runs are strings."""
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(6).collect()]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    models = language.models_from(language.count_runs(docs, 4, 18).toArrow(), 4, 18)
+    different, number, _ = language.distinct_words(pa.array(texts))
+    score = kneser_ney([p for k in number for w in [language.spelled(different[k])] if w for p in [w]], 4)
+    asked = sorted({language.spelled(different[k]) for k in number} - {""})[:200]
+    asked = [w for w in asked if " " not in w] + ["unseen", "qqxz"]
+    got, _ = models.word_scores(asked)
+    apart = [abs(g - score(w)) for g, w in zip(got[:, 0], asked, strict=True)]
+    # a few runs of thousands share a slot of 18 bits
+    assert sorted(apart)[int(0.9 * len(apart))] < 1e-6 and max(apart) < 1.0
+
+
+def test_remembered_words_score_as_new_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([("some words of english", "en"), ("quelques mots de plus", "fr")], "text string, lang string")
+    models = language.models_from(language.count_runs(docs, 4, 18).toArrow(), 4, 18)
+    monkeypatch.setattr(language, "KEPT_WORDS", 5)
+    texts = pa.array(["some mots here", "other words de some", "quelques words", "a b c d e f g h", "some mots here"])
+    whole, n = models.scores(texts)
+    for k in range(len(texts)):
+        one, size = models.scores(texts.slice(k, 1))
+        assert one[0].tolist() == pytest.approx(whole[k].tolist()) and size[0] == n[k]

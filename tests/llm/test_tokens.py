@@ -20,9 +20,9 @@ NAMES = (queries.BYTE_BPE, queries.WORD_BPE)
 ENCODERS = {n: PieceEncoder(public_tokenizers.path(n), keep=300) for n in NAMES}
 
 
-def plain(name: str, texts: list[str | None]) -> list[list[int]]:
+def plain(name: str, texts: list[str | None], plain_specials: bool = False) -> list[list[int]]:
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain_specials
     return [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -84,7 +84,7 @@ def test_token_counts(spark, folder, block):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20 if block == 7 else 1000)
     got = token_counts.document_tokens(docs, shared_folder(spark, "t"), public_tokenizers.path(queries.BYTE_BPE), queries.END_OF_TEXT, block).collect()
     rows = docs.collect()
-    assert {r.doc_id: r.n_tokens for r in got} == {r.doc_id: len(x) + 1 for r, x in zip(rows, plain(queries.BYTE_BPE, [r.text for r in rows]), strict=True)}
+    assert {r.doc_id: r.n_tokens for r in got} == {r.doc_id: len(x) + 1 for r, x in zip(rows, plain(queries.BYTE_BPE, [r.text for r in rows], plain_specials=True), strict=True)}
     assert len(got) == len(rows)
 
 
@@ -161,3 +161,30 @@ def test_cuts_are_the_cheapest(gaps):
     cuts = packing.best_cuts(at, cost, window, 4)
     price = sum(padding(b - a) + place[b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True))
     assert price == pytest.approx(best[len(at) - 1])
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_strings_of_added_tokens_give_their_ids(name):
+    texts = ["see <|endoftext|> here", "<|ENDOFTEXT|> x", None, "plain", "<|startoftext|><|endoftext|>  a", ""]
+    ids, at = ENCODERS[name].encode(pa.array(texts, pa.string()), 9)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x + [9] for x in plain(name, texts)]
+    assert len(plain(name, texts)[0]) < len(plain(name, texts, plain_specials=True)[0])
+    as_text = PieceEncoder(public_tokenizers.path(name), plain_specials=True)
+    ids, at = as_text.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == plain(name, texts, plain_specials=True)
+
+
+def test_packing_does_not_depend_on_batches(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").coalesce(1)
+    key, results = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, parts = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        for rows in ("5", "50", "2000"):
+            spark.conf.set(key, rows)
+            got = packing.pack(docs, public_tokenizers.path(queries.WORD_BPE), run_tokens=20_000).collect()
+            results.append(sorted(tuple(r) for r in got))
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert results[0] == results[1] == results[2]
