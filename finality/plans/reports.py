@@ -75,16 +75,28 @@ def faulty_windows(emissions: DataFrame, spec: WindowSpec) -> DataFrame:
     up along the emission order block by block.
     """
     faulty = settled(faulty_only(emissions))
-    position = F.struct("fire_seq", "fire_phase", "window_end_ms", "emit_no")
-    firsts = (
+    return counted_faults(faulty, first_faults(faulty), spec)
+
+
+#: Identifies an emission by its place in the order of emissions.
+POSITION = ["fire_seq", "fire_phase", "window_end_ms", "emit_no"]
+
+
+def first_faults(faulty: DataFrame) -> DataFrame:
+    """The position of each meter's first faulty emission."""
+    return (
         faulty.groupBy("phase_group", "meter_id")
-        .agg(F.min(position).alias("at"))
-        .select("phase_group", "meter_id", "at.*", F.lit(1).alias("is_first"))
+        .agg(F.min(F.struct(*POSITION)).alias("at"))
+        .select("phase_group", "meter_id", "at.*")
     )
+
+
+def counted_faults(
+    faulty: DataFrame, firsts: DataFrame, spec: WindowSpec, before: tuple[int, int] = (0, 0)
+) -> DataFrame:
+    """Faulty emissions with the unique meters up to each: those that begin at ``firsts``, and so many ``before``."""
     marked = faulty.join(
-        firsts,
-        ["phase_group", "meter_id", "fire_seq", "fire_phase", "window_end_ms", "emit_no"],
-        "left",
+        firsts.withColumn("is_first", F.lit(1)), ["phase_group", "meter_id", *POSITION], "left"
     )
     three = F.col("phase_group") == THREE
     # many windows close on one arrival, and all open ones at the end of input, so the
@@ -104,15 +116,19 @@ def faulty_windows(emissions: DataFrame, spec: WindowSpec) -> DataFrame:
         },
         inclusive=True,
     )
+    single, three = (
+        (F.col(name) + F.lit(n)).cast("int")
+        for name, n in zip(("single_unique", "three_unique"), before, strict=True)
+    )
     return counted.select(
         "meter_id",
         "series_id",
         local_text(F.col("window_start_ms"), spec.zone).alias("window_start"),
         local_text(F.col("window_end_ms"), spec.zone).alias("window_end"),
         "mode",
-        F.col("single_unique").cast("int").alias("single_unique"),
-        F.col("three_unique").cast("int").alias("three_unique"),
-        (F.col("single_unique") + F.col("three_unique")).cast("int").alias("total_unique"),
+        single.alias("single_unique"),
+        three.alias("three_unique"),
+        (single + three).alias("total_unique"),
         "voltage_data",
     )
 

@@ -25,7 +25,7 @@ from finality.operators.replay import Content, completeness_columns, native_colu
 
 # an event time past every reading; a record carrying it ends the input
 FLUSH_MS = 253_402_300_799_000
-_LATE = "LATE"
+LATE = "LATE"
 _KEY = ["phase_group", "meter_id", "window_start_ms"]
 _POINT = "seq bigint, event_ms bigint, value double, phase int"
 _FIRED = (
@@ -90,7 +90,7 @@ class WindowProcessor(StatefulProcessor):
         arrivals = sorted((r.arrival_seq, r.event_ms, r.value, r.phase) for r in rows)
         if known and passed >= end + self._policy.lateness_ms:
             for point in arrivals:
-                yield self._row(key, 0, _LATE, None, [point], passed)
+                yield self._row(key, 0, LATE, None, [point], passed)
             return
         fresh = not self._status.exists()
         count, emitted, done = (0, 0, False) if fresh else self._status.get()
@@ -215,7 +215,7 @@ def emissions_of(
     """
     content = content_of.default_content(spec) if content is None else content
     by_watermark = F.col("why").isin("CLOSE", "DEADLINE")
-    rows = fired.filter(F.col("why") != _LATE).withColumns(
+    rows = fired.filter(F.col("why") != LATE).withColumns(
         {
             "fire_phase": F.when(by_watermark, 1).otherwise(0),
             "fire_seq": F.when(~by_watermark, F.element_at("points", -1)["seq"]),
@@ -301,7 +301,7 @@ def counted_outputs(fired: DataFrame, policy: Policy, spec: WindowSpec) -> DataF
 
 def late_of(fired: DataFrame) -> DataFrame:
     """Readings the stream dropped as too late."""
-    return fired.filter(F.col("why") == _LATE).select(
+    return fired.filter(F.col("why") == LATE).select(
         "phase_group", "meter_id", "window_start_ms", F.inline("points")
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Row, functions as F
 from finality.config import JobArgs, Policy, WindowSpec
 from finality.operators.replay import finalize, place
 from finality.plans.jobs import classification_job, window_job
-from finality.plans.reports import output_counts
+from finality.plans.reports import faulty_windows, output_counts
 from finality.plans.standins import DAY_MS, SPARSE, readings
 from finality.streaming.processor import (
     FLUSH_MS,
@@ -28,7 +28,9 @@ from finality.streaming.processor import (
 from finality.operators.meters import lookup_of, route
 from finality.sources.lines import read_meter_ids, stream_lines
 from finality.streaming.job import (
+    READINGS,
     BatchRates,
+    faulty_batches,
     fired_from_store,
     rate_samples,
     routed,
@@ -245,6 +247,69 @@ def test_streamed_output_counts_equal_stored_ones(spark, feed, policy, tmp_path)
     assert streamed.select(stored.columns).exceptAll(stored).isEmpty()
 
 
+@pytest.mark.parametrize("policy", [Policy("baseline", lateness_ms=DAY_MS), Policy("proposed", lateness_ms=DAY_MS)], ids=lambda p: p.mode)
+def test_streamed_faulty_meters_equal_stored_ones(spark, feed, policy, tmp_path):
+    rows, source = feed
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    write, last = faulty_batches(spark, f"{tmp_path}/out", SPARSE), {}
+
+    def twice(batch, batch_id):
+        # a repeated batch changes nothing
+        write(batch, batch_id)
+        if batch_id % 3 == 1:
+            write(batch, batch_id)
+        last["id"] = batch_id
+
+    (
+        emissions_of(fired_windows(stream, policy, SPARSE), policy, SPARSE)
+        .writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .foreachBatch(twice)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    streamed = spark.read.parquet(f"{tmp_path}/out/faulty").drop("batch")
+    stored = faulty_windows(finalize(rows, policy, SPARSE, per="epoch", keep=F.col("phase_group").isNotNull()), SPARSE)
+    assert last["id"] > 3 and streamed.count() == stored.count() > 10
+    assert streamed.exceptAll(stored).isEmpty()
+
+
+def test_four_probes_in_one_query(spark, feed, tmp_path):
+    rows, _ = feed
+    policy, store = Policy("proposed", lateness_ms=DAY_MS), f"{tmp_path}/store"
+    fields = [part.split()[0] for part in READINGS.split(", ")]
+    filled = rows.withColumns({c: F.lit(None).cast("string") for c in fields if c not in rows.columns})
+    for number, low in enumerate((0, 400)):
+        part = filled.filter(f"arrival_seq >= {low}" + (" AND arrival_seq < 400" if not number else ""))
+        typed = part.selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in READINGS.split(", ")])
+        typed.coalesce(1).write.parquet(f"{store}/batch={number:012d}")
+    lookup = rows.filter("phase_group IS NOT NULL").select("meter_id", "phase_group").distinct()
+    rates = BatchRates()
+    spark.streams.addListener(rates)
+    try:
+        fired = fired_from_store(spark, store, lookup, policy, SPARSE, probes="proposed")
+        query = (
+            fired.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint")
+            .trigger(availableNow=True).start(f"{tmp_path}/fired")
+        )
+        query.awaitTermination()
+        emitted = spark.read.parquet(f"{tmp_path}/fired").filter("why <> 'LATE'").count()
+        deadline = time.time() + 20
+        # progress comes in after its batch, that of the last batch without input too
+        while time.time() < deadline and sum(r[2] for r in rates.rows if r[1].endswith("aggregation")) < emitted:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(rates)
+    totals = {r.probe: r.n for r in rates.samples().groupBy("probe").agg(F.sum("count_in_interval").alias("n")).collect()}
+    kept = routed(spark.read.schema(READINGS).parquet(f"{store}/batch=*"), lookup).filter("phase_group IS NOT NULL")
+    assert totals == {
+        "proposed_source_after_ingestion": rows.count(),
+        "proposed_source_after_parse": rows.filter("event_ms IS NOT NULL").count(),
+        "proposed_post_filter": kept.count(),
+        "proposed_post_window_aggregation": emitted,
+    } and emitted > 0
+
+
 class _ListState:
     """List state that counts what is written to it."""
 
