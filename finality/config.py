@@ -98,7 +98,11 @@ class Policy:
 
 @dataclass(frozen=True)
 class JobArgs:
-    """Checked arguments of the window job."""
+    """Checked arguments of the window job.
+
+    ``kafka`` reads a topic from ``servers``, or from ``topic_folder`` where it is kept as
+    segments, see ``finality.sources.segments``.
+    """
 
     run_id: str = "default_run"
     mode: str = PROPOSED
@@ -108,6 +112,10 @@ class JobArgs:
     from_date: str | None = None
     to_date: str | None = None
     out_dir: str = "output/results"
+    topic: str = "cm_meter_values"
+    servers: str = "localhost:9092"
+    group_id: str = "finality"
+    topic_folder: str | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "mode", self.mode.strip().lower())

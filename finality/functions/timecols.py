@@ -31,3 +31,8 @@ def local_text(ms: Column, zone: str) -> Column:
 def local_day(ms: Column, zone: str) -> Column:
     """Epoch ms as ``yyyy-MM-dd`` in a zone."""
     return F.substring(local_text(ms, zone), 1, 10)
+
+
+def instant_text(ms: Column) -> Column:
+    """Epoch ms as ``yyyy-MM-ddTHH:mm:ssZ``."""
+    return F.concat(F.replace(local_text(ms, "UTC"), F.lit(" "), F.lit("T")), F.lit("Z"))

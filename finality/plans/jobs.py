@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from finality.config import SINGLE, THREE, JobArgs, WindowSpec
-from finality.functions.timecols import local_text
+from finality.functions.timecols import instant_text
 from finality.operators.arrival import NO_MORE_INPUT
 from finality.operators.meters import classify_meters, is_voltage, lookup_of, route
 from finality.operators.replay import finalize
@@ -16,10 +16,13 @@ from finality.sources.lines import (
     first_records,
     ingestion_progress,
     list_files,
+    read_bus,
     read_lines,
     read_meter_ids,
+    read_segments,
 )
 from finality.sources.parse import parse_strict, readings_of
+from finality.streaming.job import READINGS, start_parsing
 
 
 def window_job(
@@ -30,14 +33,16 @@ def window_job(
     spec: WindowSpec = WindowSpec(),
     max_records: int | None = None,
 ) -> None:
-    """Run one policy over historical files and write all of its result files.
+    """Run one policy over historical files or a bus and write all of its result files.
 
-    The parsed readings are written once, as Parquet by day of arrival, and
+    The parsed readings are written once, as Parquet by file or micro-batch, and
     every result is computed from there. The run summary gets its row even when
     the run fails.
+
+    Of a bus, everything published so far is read. A job that is run again with the
+    same arguments goes on at the offsets of its checkpoint, adds to the readings and
+    replaces the results by those over all of them.
     """
-    if args.source != "gzip":
-        raise ValueError("stored files are read here; see finality.streaming for the bus")
     out = args.out_dir
     counts = {"total_input_records": 0, "dropped_records": 0}
 
@@ -45,21 +50,21 @@ def window_job(
         return writers.output_path(out, metric, args.run_id, args.mode, args.time_setting)
 
     try:
-        files = list_files(spark, args.path_glob, args.from_date, args.to_date)
-        lines = first_records(read_lines(spark, files), max_records)
-        writers.write_csv(ingestion_progress(lines), f"{out}/ingestion_progress")
-
         store = path("readings")
-        parsed = Observation()
-        (
-            readings_of(parse_strict(lines, spec.zone), fail=True)
-            .observe(parsed, F.count("*").alias("records"))
-            .write.mode("overwrite")
-            .partitionBy("arrival_epoch")
-            .parquet(store)
-        )
-        counts["total_input_records"] = parsed.get["records"]
-        readings = spark.read.parquet(store)
+        if args.source == "gzip":
+            counts["total_input_records"] = _store_files(spark, args, spec, max_records, store)
+            readings = spark.read.parquet(store)
+            progress = writers.csv_view(ingestion_progress(readings), writers.PROGRESS)
+            writers.write_csv(progress, f"{out}/ingestion_progress")
+        else:
+            bus = (
+                read_segments(spark, args.topic_folder)
+                if args.topic_folder
+                else read_bus(spark, args.topic, args.servers, args.group_id)
+            )
+            start_parsing(bus, store, path("offsets"), spec).awaitTermination()
+            readings = first_records(spark.read.schema(READINGS).parquet(f"{store}/batch=*"), max_records)
+            counts["total_input_records"] = readings.count()
         lookup = lookup_of(read_meter_ids(spark, single_ids), read_meter_ids(spark, three_ids))
 
         def to_phases(rows: DataFrame) -> DataFrame:
@@ -77,6 +82,23 @@ def window_job(
         writers.write_csv(_run_summary(spark, args, counts), f"{out}/run_summary", append=True)
 
 
+def _store_files(
+    spark: SparkSession, args: JobArgs, spec: WindowSpec, max_records: int | None, store: str
+) -> int:
+    """Parse historical files into the store; gives the number of readings."""
+    files = list_files(spark, args.path_glob, args.from_date, args.to_date)
+    lines = first_records(read_lines(spark, files, clock=True), max_records)
+    parsed = Observation()
+    (
+        readings_of(parse_strict(lines, spec.zone), fail=True)
+        .observe(parsed, F.count("*").alias("records"))
+        .write.mode("overwrite")
+        .partitionBy("arrival_epoch")
+        .parquet(store)
+    )
+    return parsed.get["records"]
+
+
 def _write_reports(emissions: DataFrame, args: JobArgs, spec: WindowSpec, path) -> None:
     counts = writers.csv_view(reports.output_counts(emissions), writers.OUTPUT_COUNTS)
     writers.write_csv(counts, path("output_counts"))
@@ -116,10 +138,7 @@ def _write_throughput(readings, routed, emissions, args: JobArgs, path) -> None:
         for stage, rows in points.items():
             part = probe_counts(rows, f"{args.mode}_{stage}", "ms", "n")
             counts = part if counts is None else counts.unionByName(part)
-        samples = chained_samples(counts).withColumn(
-            "timestamp",
-            F.concat(F.replace(local_text(F.col("ts_ms"), "UTC"), F.lit(" "), F.lit("T")), F.lit("Z")),
-        )
+        samples = chained_samples(counts).withColumn("timestamp", instant_text(F.col("ts_ms")))
         writers.write_csv(writers.csv_view(samples, writers.THROUGHPUT), path(metric))
 
 

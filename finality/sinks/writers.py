@@ -51,6 +51,16 @@ THROUGHPUT = {
     "eventsPerSecond": "events_per_second",
     "intervalMs": "interval_ms",
 }
+PROGRESS = {
+    "timestamp": "timestamp",
+    "event": "event",
+    "linesRead": "lines_read",
+    "fileIndex": "file_index",
+    "totalFiles": "total_files",
+    "currentFile": "current_file",
+    "elapsedSec": "elapsed_sec",
+    "linesPerSec": "lines_per_sec",
+}
 
 
 def safe_name(text: str) -> str:

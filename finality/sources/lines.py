@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from finality.functions.scan import blocks_of, running
+from finality.functions.timecols import instant_text
+from finality.sources import segments
 
 _DATE_AT_END = re.compile(r"(\d{8})\.gz$")
 # a partition numbers its rows in the low 33 bits
@@ -30,19 +32,22 @@ def bus_options(topic: str, servers: str, group_id: str) -> dict[str, str]:
 
 
 def read_bus(spark: SparkSession, topic: str, servers: str, group_id: str) -> DataFrame:
-    """Stream of message values as text; needs the Kafka connector on the classpath.
+    """Stream of message values as text; needs the Kafka connector on the classpath."""
+    return _messages(spark.readStream.format("kafka").options(**bus_options(topic, servers, group_id)).load())
 
-    ``arrival_seq`` follows the offsets, with the partition in the low bits.
-    """
-    return (
-        spark.readStream.format("kafka")
-        .options(**bus_options(topic, servers, group_id))
-        .load()
-        .select(
-            F.col("value").cast("string").alias("value"),
-            (F.shiftleft("offset", _BUS_PARTITION_BITS) + F.col("partition")).alias("arrival_seq"),
-        )
-    )
+
+def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Stream of the messages of a topic that is kept as a folder of segments, in the form of ``read_bus``."""
+    segments.register(spark)
+    return _messages(spark.readStream.format(segments.FORMAT).load(folder))
+
+
+def _messages(bus: DataFrame) -> DataFrame:
+    """Values as text; ``arrival_seq`` follows the offsets, with the partition in the low bits."""
+    return bus.select(
+        F.col("value").cast("string").alias("value"),
+        (F.shiftleft("offset", _BUS_PARTITION_BITS) + F.col("partition")).alias("arrival_seq"),
+    ).filter("value <> ''")
 
 
 def in_date_range(name: str, from_date: str | None, to_date: str | None) -> bool:
@@ -94,12 +99,14 @@ def _plain_path(column: str) -> Column:
     return F.regexp_replace(F.col(column), "^file:/+", "/")
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], clock: bool = False) -> DataFrame:
     """Non-empty lines with their arrival order.
 
     Files are taken in the order given: the position of a file is
     ``arrival_epoch``, and ``arrival_seq`` counts up through its lines. A gzip
     file cannot be split, so the row number of its partition follows the lines.
+    With ``clock``, ``read_ms`` is the time at which the task read the line; it
+    is another one each time the table is read, so store it first.
     """
     if not all(path.endswith(".gz") for path in paths):
         raise ValueError("historical files must be gzip files")
@@ -113,6 +120,7 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.col("_metadata.file_name").alias("file_name"),
             _plain_path("_metadata.file_path").alias("path"),
             F.monotonically_increasing_id().alias("row_id"),
+            *([_now().alias("read_ms")] if clock else []),
         )
         .filter("value <> ''")
     )
@@ -127,9 +135,15 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.coalesce(
             F.nullif(F.regexp_extract("file_name", r"(\d{8})\.gz$", 1), F.lit("")), F.col("file_name")
         ).alias("day"),
+        *(["read_ms"] if clock else []),
     )
 
 
+def _now() -> Column:
+    """The clock of the machine at each row, where ``current_timestamp`` is the start of the query."""
+    return F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("bigint")
+
+
 def stream_lines(spark: SparkSession, folder: str, pattern: str = "*.gz") -> DataFrame:
     """Lines of gzip files as they appear in a folder, one file per micro-batch."""
     return (
@@ -182,27 +196,69 @@ def first_records(rows: DataFrame, count: int | None) -> DataFrame:
     return ranked.filter(F.col("_rank") <= count).select(*rows.columns)
 
 
-def ingestion_progress(lines: DataFrame) -> DataFrame:
-    """Start and finish of every file with the lines read so far, in file order.
+def ingestion_progress(lines: DataFrame, every_ms: int = 300_000) -> DataFrame:
+    """Start and finish of every file, and progress inside it each ``every_ms``, in file order.
 
-    Timed progress inside a file is what a streaming query reports itself, see
-    ``streaming.job.rate_samples``.
+    ``lines`` are stored lines of ``read_lines`` with ``clock``, or what was parsed from them. ``lines_read``
+    counts the files before and this one so far. Tasks read files side by side, so the clock need not ascend
+    from file to file; inside a file it does. Lines are counted by file and second first, so what is ordered is as short
+    as the time that a file took. A file without lines has no rows.
     """
-    files = lines.groupBy("arrival_epoch", "file_name").agg(F.count("*").alias("lines"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("arrival_epoch")
-    numbered = files.withColumns(
-        {
-            "after": F.sum("lines").over(upto),
-            "file_index": F.row_number().over(upto),
-            "total_files": F.count("*").over(Window.partitionBy(F.lit(0))).cast("int"),
-        }
-    )
-    events = F.array(
-        F.struct(F.lit("START").alias("event"), (F.col("after") - F.col("lines")).alias("lines_read")),
-        F.struct(F.lit("FINISH").alias("event"), F.col("after").alias("lines_read")),
-    )
-    return numbered.select(
-        F.inline(events), "file_index", "total_files", F.col("file_name").alias("current_file")
+    ticks = lines.groupBy("arrival_epoch", "file_name", F.floor(F.col("read_ms") / 1000).alias("tick")).agg(
+        F.count("*").alias("n"), F.min("read_ms").alias("from_ms"), F.max("read_ms").alias("at_ms")
+    )
+    in_file = Window.partitionBy("arrival_epoch").orderBy("tick")
+    passed = F.floor((F.col("at_ms") - F.min("from_ms").over(Window.partitionBy("arrival_epoch"))) / every_ms)
+    ticks = ticks.withColumns({"so_far": F.sum("n").over(in_file), "passed": passed})
+    due = ticks.withColumn("before", F.coalesce(F.lag("passed").over(in_file), F.lit(0))).filter("passed > before")
+    files = ticks.groupBy("arrival_epoch", "file_name").agg(
+        F.sum("n").alias("lines"), F.min("from_ms").alias("from_ms"), F.max("at_ms").alias("at_ms")
+    )
+    # one short row per file
+    every = Window.partitionBy(F.lit(0))
+    upto = every.orderBy("arrival_epoch")
+    files = files.select(
+        "arrival_epoch",
+        F.col("file_name").alias("current_file"),
+        (F.sum("lines").over(upto) - F.col("lines")).alias("earlier"),
+        "lines",
+        F.row_number().over(upto).alias("file_index"),
+        F.count("*").over(every).cast("int").alias("total_files"),
+        F.min("from_ms").over(every).alias("run_ms"),
+        F.col("from_ms").alias("started_ms"),
+        F.col("at_ms").alias("ended_ms"),
+    )
+    inside = due.groupBy("arrival_epoch").agg(
+        # at most the time of a file divided by ``every_ms``
+        F.array_sort(F.collect_list(F.struct("so_far", "at_ms"))).alias("due")
+    )
+    none = F.array().cast("array<struct<so_far:bigint,at_ms:bigint>>")
+
+    def event(name: str, so_far: Column, at: Column) -> Column:
+        return F.struct(F.lit(name).alias("event"), so_far.alias("so_far"), at.alias("at_ms"))
+
+    events = F.concat(
+        F.array(event("START", F.lit(0).cast("bigint"), F.col("started_ms"))),
+        F.transform(F.coalesce("due", none), lambda d: event("PROGRESS", d["so_far"], d["at_ms"])),
+        F.array(event("FINISH", F.col("lines"), F.col("ended_ms"))),
+    )
+    elapsed = F.col("at_ms") - F.col("run_ms")
+    read = F.col("earlier") + F.col("so_far")
+    return (
+        files.join(inside, "arrival_epoch", "left")
+        .select("*", F.posexplode(events).alias("event_no", "e"))
+        .select("*", "e.*")
+        .orderBy("file_index", "event_no")
+        .select(
+            instant_text(F.col("at_ms")).alias("timestamp"),
+            "event",
+            read.alias("lines_read"),
+            "file_index",
+            "total_files",
+            "current_file",
+            F.floor(elapsed / 1000).alias("elapsed_sec"),
+            F.coalesce(F.round(F.try_divide(read * 1000.0, elapsed), 2), F.lit(0.0)).alias("lines_per_sec"),
+        )
     )
 
 

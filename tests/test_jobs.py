@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import random
 import time
@@ -26,7 +27,8 @@ from finality.streaming.processor import (
     late_of,
 )
 from finality.operators.meters import lookup_of, route
-from finality.sources.lines import read_meter_ids, stream_lines
+from finality.sources.lines import read_meter_ids, read_segments, stream_lines
+from finality.sources.segments import SegmentStream, publish
 from finality.streaming.job import (
     READINGS,
     BatchRates,
@@ -93,7 +95,72 @@ def test_window_job(spark, raw, mode):
     for metric in ("throughput_metrics", "standard_throughput_metrics"):
         samples = table(f"{metric}_run1_{mode}_1h").collect()
         assert samples and all(int(s.intervalMs) >= 1000 for s in samples)
-    assert table("ingestion_progress").count() == 4
+    progress = table("ingestion_progress")
+    assert progress.columns == [
+        "timestamp", "event", "linesRead", "fileIndex", "totalFiles", "currentFile", "elapsedSec", "linesPerSec",
+    ]
+    assert [(r.event, r.linesRead) for r in progress.collect()] == [
+        ("START", "0"), ("FINISH", "120"), ("START", "120"), ("FINISH", "240"),
+    ]
+
+
+def bus_lines(raw):
+    return [text for name in sorted(os.listdir(raw / "raw")) for text in gzip.open(raw / "raw" / name, "rt", encoding="utf-8").read().splitlines()]
+
+
+def test_window_job_on_a_bus(spark, raw):
+    """Default arguments but for folders; the job goes on where one that was stopped ended, each message once."""
+    texts, topic, out = bus_lines(raw), str(raw / "topic"), raw / "out"
+    publish(topic, 0, texts[:50])
+    publish(topic, 0, texts[50:90])
+    publish(topic, 1, texts[90:130])
+    store, offsets = (f"{out}/{name}_default_run_proposed_50h" for name in ("readings", "offsets"))
+    start_parsing(read_segments(spark, topic), store, offsets).awaitTermination()
+    assert spark.read.parquet(f"{store}/batch=*").count() == 130
+    publish(topic, 1, texts[130:200])
+    publish(topic, 2, texts[200:])
+    args = JobArgs(topic_folder=topic, out_dir=str(out))
+    window_job(spark, args, str(raw / "single.csv"), str(raw / "three.csv"))
+    assert spark.read.option("header", True).csv(f"{out}/run_summary").first().totalInputRecords == "240"
+    expected = {(n << 20) + part for part, size in ((0, 90), (1, 110), (2, 40)) for n in range(size)}
+    stored = spark.read.schema(READINGS).parquet(f"{store}/batch=*")
+    assert sorted(r.arrival_seq for r in stored.collect()) == sorted(expected)
+    # nothing new: nothing is read
+    start_parsing(read_segments(spark, topic), store, offsets).awaitTermination()
+    assert stored.count() == 240
+    for name in ("output_counts", "finalization_latency_metrics", "faulty_window_counts", "throughput_metrics"):
+        assert spark.read.option("header", True).csv(f"{out}/{name}_default_run_proposed_50h").columns
+
+
+def test_segments(spark, tmp_path):
+    topic = f"{tmp_path}/topic"
+    reader = SegmentStream(topic)
+    assert reader.initialOffset() == reader.latestOffset() == {}
+    assert publish(topic, 0, ["a", "b", "c"]) == (0, 3)
+    assert publish(topic, 0, ["d", ""]) == (3, 5)
+    assert publish(topic, 7, ["é,x"]) == (0, 1)
+    os.makedirs(f"{topic}/partition=0/.x")
+    (tmp_path / "topic" / "partition=0" / "notes.txt").write_text("no segment")
+    assert reader.latestOffset() == {"0": 5, "7": 1}
+    def read(start, end):
+        rows = [r for part in reader.partitions(start, end) for b in reader.read(part) for r in b.to_pylist()]
+        return [(r["partition"], r["offset"], r["value"]) for r in rows]
+    assert read({"0": 2}, {"0": 4, "7": 1}) == [(0, 2, "c"), (0, 3, "d"), (7, 0, "é,x")]
+    assert read({"0": 5}, {"0": 5}) == []
+    # a gap waits, a lost or short segment is an error, and so are overlaps
+    (tmp_path / "topic" / "partition=0" / f"{9:020d}-{10:020d}.log").write_text("z\n")
+    assert reader.latestOffset()["0"] == 5
+    with pytest.raises(ValueError, match="no longer"):
+        reader.partitions({"0": 5}, {"0": 7})
+    (tmp_path / "topic" / "partition=0" / f"{5:020d}-{9:020d}.log").write_text("x\n")
+    with pytest.raises(ValueError, match="ends at 6"):
+        read({"0": 5}, {"0": 9})
+    (tmp_path / "topic" / "partition=0" / f"{8:020d}-{9:020d}.log").write_text("y\n")
+    with pytest.raises(ValueError, match="overlap"):
+        reader.latestOffset()
+    for bad in ([], ["two\nlines"]):
+        with pytest.raises(ValueError):
+            publish(topic, 1, bad)
 
 
 def test_failed_job_still_writes_its_summary(spark, tmp_path):

@@ -142,7 +142,8 @@ def test_files_and_arrival_order(spark, tmp_path):
     assert rows[0].day == "20250416" and rows[5].day == "raw.log-extra.gz"
     first = lines.first_records(table, 3).orderBy("arrival_seq").collect()
     assert [r.value for r in first] == ["a", "b", "c"]
-    progress = lines.ingestion_progress(table).orderBy("file_index", F.desc("event")).collect()
+    lines.read_lines(spark, lines.list_files(spark, glob), clock=True).write.parquet(f"{tmp_path}/lines")
+    progress = lines.ingestion_progress(spark.read.parquet(f"{tmp_path}/lines")).collect()
     assert [(r.event, r.lines_read, r.file_index, r.total_files) for r in progress[:4]] == [
         ("START", 0, 1, 4), ("FINISH", 2, 1, 4), ("START", 2, 2, 4), ("FINISH", 4, 2, 4),
     ]
@@ -154,6 +155,24 @@ def test_files_and_arrival_order(spark, tmp_path):
     assert absent == ["20250419"]
 
 
+def test_progress_inside_a_file(spark):
+    """Two files read side by side; samples each five seconds, lines counted in file order."""
+    rows = [(1, "b", 1_000 + 700 * n) for n in range(20)] + [(0, "a", 500 + 100 * n) for n in range(30)]
+    table = spark.createDataFrame(rows, "arrival_epoch bigint, file_name string, read_ms bigint")
+    found = lines.ingestion_progress(table, every_ms=5_000).collect()
+    assert [(r.event, r.current_file, r.lines_read) for r in found] == [
+        ("START", "a", 0), ("FINISH", "a", 30),
+        ("START", "b", 30), ("PROGRESS", "b", 39), ("PROGRESS", "b", 46), ("FINISH", "b", 50),
+    ]
+    by_hand = {at: n for n, at in enumerate((at for _, name, at in rows if name == "b"), 1)}
+    for r in found[3:5]:
+        at = next(ms for ms, n in by_hand.items() if n == r.lines_read - 30)
+        assert r.elapsed_sec == (at - 500) // 1000
+        assert r.lines_per_sec == pytest.approx(r.lines_read * 1000 / (at - 500), abs=0.006)
+    assert (found[0].elapsed_sec, found[0].lines_per_sec, found[0].timestamp) == (0, 0.0, "1970-01-01T00:00:00Z")
+    assert lines.ingestion_progress(table.limit(0)).count() == 0
+
+
 def test_missing_files_are_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="No files matched"):
         lines.list_files(spark, f"{tmp_path}/nowhere/*.gz")
