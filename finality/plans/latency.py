@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from finality.functions.frames import by_value, quantile_row, quantiles
+from finality.functions.scan import running
 
 MINUTE = 60_000.0
 QUANTILES = (0.0, 0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 1.0)
+_AXIS = 4096
 
 
 def select_rows(
@@ -58,18 +62,20 @@ def latency_summary(rows: DataFrame) -> DataFrame:
 def distribution_summary(
     rows: DataFrame, deadline_tolerance_ms: int = 0, immediate_tolerance_ms: int = 0
 ) -> DataFrame:
-    """One row: moments, percentiles and shares of immediate and deadline windows."""
+    """One row: moments, percentiles and shares of immediate and deadline windows.
+
+    Percentiles come from counted values, see ``functions.frames``.
+    """
     latency = F.col("finalization_latency_ms")
     minutes = latency / MINUTE
+    percentiles = [("finalization_latency_ms", {
+        f"latency_p{round(share * 100)}_min": share for share in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+    })]
     out = [
         F.count("*").alias("windows"),
         F.avg(minutes).alias("latency_mean_min"),
         F.stddev_samp(minutes).alias("latency_std_min"),
         F.min(minutes).alias("latency_min_min"),
-        *[
-            _percentile(minutes, share).alias(f"latency_p{round(share * 100)}_min")
-            for share in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-        ],
         F.max(minutes).alias("latency_max_min"),
         *_share(latency <= immediate_tolerance_ms, "immediate"),
     ]
@@ -81,19 +87,22 @@ def distribution_summary(
             out += _share(reason == "COMPLETENESS", "completeness")
         else:
             deadline = latency >= allowed - deadline_tolerance_ms
+        percentiles.append(("allowed_lateness_ms", {"allowed_lateness_median_min": 0.5}))
         out += [
-            _percentile(allowed / MINUTE, 0.5).alias("allowed_lateness_median_min"),
             F.max(allowed / MINUTE).alias("allowed_lateness_max_min"),
             *_share(deadline, "deadline"),
         ]
     if "latency_reduction_ms" in rows.columns:
         saved = F.col("latency_reduction_ms") / MINUTE
-        out += [
-            F.avg(saved).alias("latency_reduction_mean_min"),
-            _percentile(saved, 0.5).alias("latency_reduction_p50_min"),
-            _percentile(saved, 0.95).alias("latency_reduction_p95_min"),
-        ]
-    return rows.agg(*out)
+        percentiles.append(
+            ("latency_reduction_ms", {"latency_reduction_p50_min": 0.5, "latency_reduction_p95_min": 0.95})
+        )
+        out.append(F.avg(saved).alias("latency_reduction_mean_min"))
+    whole = rows.agg(*out)
+    for column, named in percentiles:
+        # one row each
+        whole = whole.crossJoin(F.broadcast(quantile_row(rows, column, named, MINUTE)))
+    return whole
 
 
 def _share(test: Column, name: str) -> list[Column]:
@@ -106,17 +115,12 @@ def _share(test: Column, name: str) -> list[Column]:
 
 def quantile_table(rows: DataFrame) -> DataFrame:
     """Eleven fixed quantiles of the latency in minutes."""
-    # equal latencies are counted first, as for the summary
-    counted = rows.groupBy("finalization_latency_ms").agg(F.count("*").alias("n"))
-    shares = F.array(*[F.lit(q) for q in QUANTILES])
-    values = F.percentile(F.col("finalization_latency_ms") / MINUTE, shares, F.col("n"))
-    return counted.agg(values.alias("v")).select(
-        F.inline(F.arrays_zip(shares.alias("quantile"), F.col("v").alias("finalization_latency_min")))
-    ).select(
+    found = quantiles(rows, "finalization_latency_ms", list(QUANTILES), MINUTE)
+    return found.select(
         "quantile",
         (F.col("quantile") * 100).alias("window_share_percent"),
-        "finalization_latency_min",
-    )
+        F.col("value").alias("finalization_latency_min"),
+    ).orderBy("quantile")
 
 
 def latency_histogram(
@@ -134,18 +138,13 @@ def latency_histogram(
     width = F.lit(float(bin_minutes))
     has_allowed = "allowed_lateness_ms" in rows.columns
     allowed = F.col("allowed_lateness_ms") if has_allowed else F.lit(None).cast("bigint")
-    # one pass over the rows: from here on there is one row per bin, then one row in all
-    whole = (
-        rows.groupBy(F.floor(minutes / width).alias("b"))
-        .agg(F.count("*").alias("n"), F.max(minutes).alias("top"), F.max(allowed).alias("allowed"))
-        .agg(
-            F.collect_list(F.struct("b", "n")).alias("counts"),
-            F.sum("n").alias("total"),
-            F.max("top").alias("top"),
-            F.max("allowed").alias("allowed"),
-        )
-        .filter("total > 0")
+    # one pass over the rows: from here on there is one row per bin
+    counted = rows.groupBy(F.floor(minutes / width).alias("b")).agg(
+        F.count("*").alias("n"), F.max(minutes).alias("top"), F.max(allowed).alias("allowed")
     )
+    whole = counted.agg(
+        F.sum("n").alias("total"), F.max("top").alias("top"), F.max("allowed").alias("allowed")
+    ).filter("total > 0")
     right = F.greatest(
         F.lit(max_minutes).cast("double") if max_minutes is not None else F.col("top"),
         F.col("allowed") / MINUTE,
@@ -153,17 +152,27 @@ def latency_histogram(
     )
     edges = F.ceil((right + width) / width).cast("int")
     odd = (F.col("edges") - 1) * width < F.col("top")
+    axis = whole.withColumn("edges", edges).withColumn(
+        "last", F.col("edges") - F.when(odd, 1).otherwise(2)
+    )
+    # the axis is laid out block by block, and counts are summed up along the blocks
+    first = F.col("part") * _AXIS
     bins = (
-        whole.withColumn("edges", edges)
-        .withColumn("last", F.col("edges") - F.when(odd, 1).otherwise(2))
-        .withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        axis.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / _AXIS).cast("int"))).alias("part"))
+        .repartition("part")
+        .select("*", F.explode(F.sequence(first, F.least(first + _AXIS - 1, "last"))).alias("bin"))
+    )
+    in_bin = (
+        counted.crossJoin(F.broadcast(axis.select("last")))  # one row
+        .groupBy(F.least("b", "last").alias("bin"))
+        .agg(F.sum("n").alias("windows"))
+    )
+    filled = bins.join(in_bin, "bin", "left").withColumn("windows", F.coalesce("windows", F.lit(0).cast("bigint")))
+    summed = running(
+        filled, by_value("bin", _AXIS), ["bin"], {"cumulative": ("sum", F.col("windows"))}, inclusive=True, block=["_blk"]
     )
-    in_bin = F.filter("counts", lambda c: F.least(c["b"], F.col("last")) == F.col("bin"))
-    windows = F.aggregate(in_bin, F.lit(0).cast("bigint"), lambda total, c: total + c["n"])
-    upto = Window.partitionBy(F.lit(0)).orderBy("bin")
     return (
-        bins.withColumn("windows", windows)
-        .withColumn("cumulative", F.sum("windows").over(upto))
+        summed.orderBy("bin")
         .select(
             (F.col("bin") * width).alias("bin_start_min"),
             F.when(F.col("bin") == F.col("edges") - 1, F.col("top"))

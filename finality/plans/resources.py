@@ -6,9 +6,10 @@ row per experiment and second at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from finality.config import BASELINE, MODES, PROPOSED
+from finality.functions.frames import centred_mean, previous, with_extremes
 from finality.functions.labels import percent_change, percent_saving
 from finality.session import only_row
 
@@ -43,22 +44,22 @@ def resource_series(
     )
     if positive_only:
         rows = rows.filter("cpu_percent > 0 AND memory > 0")
-    run = Window.partitionBy("experiment")
     if drop_first_sec > 0:
         rows = (
-            rows.withColumn("_start", F.min("ts_ms").over(run))
+            with_extremes(rows, ["experiment"], {"_start": F.min("ts_ms")})
             .filter((F.col("ts_ms") - F.col("_start")) / 1000.0 >= drop_first_sec)
             .drop("_start")
         )
-    elapsed = (F.col("ts_ms") - F.min("ts_ms").over(run)) / 1000.0
-    longest = (F.max("ts_ms").over(run) - F.min("ts_ms").over(run)) / 1000.0
+    rows = with_extremes(rows, ["experiment"], {"_first": F.min("ts_ms"), "_last": F.max("ts_ms")})
+    elapsed = (F.col("ts_ms") - F.col("_first")) / 1000.0
+    longest = (F.col("_last") - F.col("_first")) / 1000.0
     return rows.withColumns(
         {
             "elapsed_sec": elapsed,
             "elapsed_min": elapsed / 60.0,
             "runtime_percent": F.when(longest > 0, elapsed / longest * 100.0).otherwise(0.0),
         }
-    )
+    ).drop("_first", "_last")
 
 
 def _bucket(bucket_sec: int) -> Column:
@@ -178,29 +179,28 @@ def performance_comparison(summary: DataFrame, proposed: str = PROPOSED) -> Data
 
 def rolling_mean(series: DataFrame, column: str, samples: int = 30) -> DataFrame:
     """Centred rolling mean; an even window reaches one sample further back."""
-    around = (
-        Window.partitionBy("experiment")
-        .orderBy("ts_ms")
-        .rowsBetween(-(samples // 2), (samples - 1) // 2)
+    return centred_mean(
+        series, ["experiment"], "ts_ms", column, samples // 2, (samples - 1) // 2, f"{column}_smooth"
     )
-    return series.withColumn(f"{column}_smooth", F.avg(column).over(around))
 
 
 def progress(series: DataFrame) -> DataFrame:
     """Share of the run in percent, 0 when the run has no length."""
-    run = Window.partitionBy("experiment")
-    first, last = F.min("elapsed_sec").over(run), F.max("elapsed_sec").over(run)
-    return series.withColumn(
+    rows = with_extremes(
+        series, ["experiment"], {"_first": F.min("elapsed_sec"), "_last": F.max("elapsed_sec")}
+    )
+    first, last = F.col("_first"), F.col("_last")
+    return rows.withColumn(
         "progress_pct",
         F.when(last > first, (F.col("elapsed_sec") - first) / (last - first) * 100.0).otherwise(0.0),
-    )
+    ).drop("_first", "_last")
 
 
 def sampling_interval(series: DataFrame) -> DataFrame:
     """Median time between samples of an experiment in seconds."""
-    order = Window.partitionBy("experiment").orderBy("ts_ms")
     return (
-        series.withColumn("gap", (F.col("ts_ms") - F.lag("ts_ms").over(order)) / 1000.0)
+        previous(series, ["experiment"], "ts_ms", "_previous")
+        .withColumn("gap", (F.col("ts_ms") - F.col("_previous")) / 1000.0)
         .groupBy("experiment")
         .agg(F.percentile("gap", F.lit(0.5)).alias("median_interval_sec"))
     )
@@ -211,13 +211,12 @@ def sampling_interval(series: DataFrame) -> DataFrame:
 
 def gc_series(events: DataFrame, drop_first_sec: float = 0.0) -> DataFrame:
     """Pauses with elapsed time and recovered memory per experiment."""
-    run = Window.partitionBy("experiment")
-    start = F.min("ts_ms").over(run)
-    rows = events.withColumn("elapsed_sec", (F.col("ts_ms") - start) / 1000.0)
+    rows = with_extremes(events, ["experiment"], {"_first": F.min("ts_ms")})
+    rows = rows.withColumn("elapsed_sec", (F.col("ts_ms") - F.col("_first")) / 1000.0).drop("_first")
     if drop_first_sec > 0:
-        rows = rows.filter(F.col("elapsed_sec") >= drop_first_sec).withColumn(
-            "elapsed_sec", F.col("elapsed_sec") - F.min("elapsed_sec").over(run)
-        )
+        rows = rows.filter(F.col("elapsed_sec") >= drop_first_sec)
+        rows = with_extremes(rows, ["experiment"], {"_first": F.min("elapsed_sec")})
+        rows = rows.withColumn("elapsed_sec", F.col("elapsed_sec") - F.col("_first")).drop("_first")
     return rows.withColumn("recovered_mb", F.col("before_mb") - F.col("after_mb"))
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from finality.functions.frames import numbered, with_extremes
 from finality.functions.labels import (
     method_label,
     method_order,
@@ -211,9 +212,8 @@ def usable_samples(samples: DataFrame, min_interval_ms: int = 1) -> DataFrame:
 
 def drop_warmup(samples: DataFrame, by: list[str], first: int) -> DataFrame:
     """Number the samples of each group in time order and leave out the first ones."""
-    order = Window.partitionBy(*by).orderBy("ts_ms", "count_in_interval")
     return (
-        samples.withColumn("sample_index", F.row_number().over(order))
+        numbered(samples, by, ["ts_ms", "count_in_interval"], "sample_index")
         .filter(F.col("sample_index") > first)
         .withColumn("sample_index", F.col("sample_index") - first)
     )
@@ -272,9 +272,11 @@ def with_stages(samples: DataFrame, drop_first: int = 0) -> DataFrame:
     """
     staged = samples.filter("interval_ms > 0").withColumn("stage", stage_label(F.col("probe")))
     staged = drop_warmup(staged, ["experiment", "stage"], drop_first)
-    whole = Window.partitionBy("experiment", "stage")
-    elapsed = (F.col("ts_ms") - F.min("ts_ms").over(whole)) / 1000.0
-    longest = (F.max("ts_ms").over(whole) - F.min("ts_ms").over(whole)) / 1000.0
+    staged = with_extremes(
+        staged, ["experiment", "stage"], {"_first": F.min("ts_ms"), "_last": F.max("ts_ms")}
+    )
+    elapsed = (F.col("ts_ms") - F.col("_first")) / 1000.0
+    longest = (F.col("_last") - F.col("_first")) / 1000.0
     return staged.withColumns(
         {
             "method_label": method_label(F.col("method_key")),
@@ -282,7 +284,7 @@ def with_stages(samples: DataFrame, drop_first: int = 0) -> DataFrame:
             "elapsed_min": elapsed / 60.0,
             "runtime_percent": elapsed / F.when(longest > 0, longest).otherwise(1.0) * 100.0,
         }
-    )
+    ).drop("_first", "_last")
 
 
 def stage_summary(staged: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import dataclasses
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from finality.config import THREE_PHASE_LABEL, WindowSpec
+from finality.functions import frames
 from finality.plans import latency, lateness, reports, resources, throughput
 from finality.plans.standins import SPARSE
 from finality.session import only_row
@@ -37,6 +39,53 @@ def test_histogram_edges(spark):
         latency.latency_histogram(latencies(spark, [1]), 0)
 
 
+def test_long_axis_is_laid_out_in_blocks(spark):
+    """More bins than a block has, a latency before the axis, an empty stretch in between."""
+    minutes = [-3.0, 0.0, 0.4, 4095.5, 4096.0, 9000.2, 9000.9]
+    rows = latency.latency_histogram(latencies(spark, minutes), 1.0).collect()
+    assert [r.bin_start_min for r in rows] == [float(b) for b in range(len(rows))]
+    assert {r.bin_start_min: r.windows for r in rows if r.windows} == {0.0: 2, 4095.0: 1, 4096.0: 1, 9000.0: 2}
+    assert rows[-1].cumulative_window_share == pytest.approx(6 / 7)
+
+
+def test_quantiles_equal_those_of_one_array(spark):
+    rng = random.Random(5)
+    values = [rng.choice([0, 7, 70_000, rng.randrange(10**9), -rng.randrange(10**6)]) for _ in range(501)]
+    table = spark.createDataFrame([(v,) for v in [*values, None]], "v bigint")
+    shares = [0.0, 0.013, 0.25, 0.5, 0.951, 1.0]
+    found = {r.quantile: r.value for r in frames.quantiles(table, "v", shares, 10.0).collect()}
+    expected = np.quantile(np.array(values) / 10.0, shares)
+    assert [found[s] for s in shares] == pytest.approx(list(expected), rel=1e-12)
+    assert frames.quantiles(table.filter("v IS NULL"), "v", shares).count() == 0
+    assert frames.quantile_row(table.filter("v IS NULL"), "v", {"x": 0.5}).first().x is None
+
+
+def test_blocks_with_a_halo_equal_one_window(spark, monkeypatch):
+    """Small blocks, a group without key, pauses longer than blocks, nulls among the values."""
+    monkeypatch.setattr(frames, "_POSITIONS", 16)
+    monkeypatch.setattr(frames, "_BLOCK_BITS", 12)
+    rng, rows = random.Random(8), []
+    for run in ("a", "b", None):
+        at = 0
+        for _ in range(150):
+            at += rng.choice([1_000, 1_000, 50_000])
+            rows.append((run, at, rng.choice([None, float(rng.randrange(100))])))
+    table = spark.createDataFrame(rows, "experiment string, ts_ms bigint, x double")
+    run = Window.partitionBy("experiment").orderBy("ts_ms")
+    plain = table.select(
+        "*",
+        F.round(F.avg("x").over(run.rowsBetween(-6, 5)), 9).alias("mean"),
+        F.row_number().over(run).alias("at"),
+        F.lag("ts_ms").over(run).alias("before"),
+        F.min("x").over(Window.partitionBy("experiment")).alias("least"),
+    )
+    by = ["experiment"]
+    found = frames.centred_mean(table, by, "ts_ms", "x", 6, 5, "mean").withColumn("mean", F.round("mean", 9))
+    found = frames.previous(frames.numbered(found, by, ["ts_ms"], "at"), by, "ts_ms", "before")
+    found = frames.with_extremes(found, by, {"least": F.min("x")})
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_latency_filters_and_reference(spark):
     rows = spark.createDataFrame(
         [("PROPOSED", "final", 1), ("proposed", "PURGE", 2), ("fast", "PRELIMINARY", 3), ("fast", "FINAL", None)],
