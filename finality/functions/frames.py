@@ -72,17 +72,31 @@ def with_extremes(rows: DataFrame, keys: list[str], extremes: dict[str, Column])
     return keyed.join(short, names).drop(*names)
 
 
-def quantiles(rows: DataFrame, column: str, shares: list[float], unit: float = 1.0) -> DataFrame:
-    """``quantile, value``: exact quantiles of a number of ms, linear between neighbours, in a unit of ms.
+def counted_values(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """``measure, v, n``: how often each value of some whole numbers occurs, in one pass. Nulls don't count."""
+    pairs = F.array(
+        *[F.struct(F.lit(name).alias("measure"), column.cast("bigint").alias("v")) for name, column in measures.items()]
+    )
+    long = rows.select(F.inline(pairs)).filter("v IS NOT NULL")
+    return long.groupBy("measure", "v").agg(F.count("*").alias("n"))
+
+
+def quantiles(counted: DataFrame, shares: list[float], unit: float = 1.0) -> DataFrame:
+    """``measure, quantile, value``: exact quantiles of counted values, linear between neighbours, in a unit.
 
-    Equal values are counted, counts are summed up along the values in blocks, and only the values at the wanted
-    ranks go on. Nulls don't count; there are no rows without a value.
+    Counts are summed up along the values in blocks, and only the values at the wanted ranks go on. A measure
+    without a value has no rows.
     """
-    counted = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     upto = running(
-        counted, by_value("v", _BIN_BLOCK), ["v"], {"upto": ("sum", F.col("n"))}, inclusive=True, block=["_blk"]
+        counted,
+        by_value("v", _BIN_BLOCK),
+        ["v"],
+        {"upto": ("sum", F.col("n"))},
+        keys=["measure"],
+        inclusive=True,
+        block=["_blk"],
     )
-    total = counted.agg(F.sum("n").alias("total"))
+    total = counted.groupBy("measure").agg(F.sum("n").alias("total"))
     wanted = F.transform(
         F.array(*[F.lit(float(s)) for s in shares]),
         lambda s: F.struct(s.alias("quantile"), ((F.col("total") - 1) * s).alias("rank")),
@@ -91,20 +105,26 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], unit: float = 1
     def here(rank: Column) -> Column:
         return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
 
-    # one row on the right
-    ranked = upto.crossJoin(F.broadcast(total)).withColumn("w", wanted)
+    ranked = upto.join(total, "measure").withColumn("w", wanted)
     hits = F.filter("w", lambda w: here(F.floor(w["rank"])) | here(F.ceil(w["rank"])))
-    met = ranked.select("v", "n", "upto", F.explode(hits).alias("w")).select("*", "w.*")
+    met = ranked.select("measure", "v", "n", "upto", F.explode(hits).alias("w")).select("*", "w.*")
     value = F.col("v") / unit
     low = F.max(F.when(here(F.floor("rank")), value))
     high = F.max(F.when(here(F.ceil("rank")), value))
     part = F.max(F.col("rank") - F.floor("rank"))
-    return met.groupBy("quantile").agg(
+    return met.groupBy("measure", "quantile").agg(
         F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias("value")
     )
 
 
-def quantile_row(rows: DataFrame, column: str, named: dict[str, float], unit: float = 1.0) -> DataFrame:
-    """One row with exact quantiles under their names, null without a value."""
-    found = quantiles(rows, column, sorted(set(named.values())), unit)
-    return found.agg(*[F.max(F.when(F.col("quantile") == share, F.col("value"))).alias(n) for n, share in named.items()])
+def quantile_row(
+    counted: DataFrame, named: dict[str, tuple[str, float]], unit: float = 1.0
+) -> DataFrame:
+    """One row with exact quantiles under their names, each of a measure at a share; null without a value."""
+    found = quantiles(counted, sorted({share for _, share in named.values()}), unit)
+    return found.agg(
+        *[
+            F.max(F.when((F.col("measure") == m) & (F.col("quantile") == share), F.col("value"))).alias(name)
+            for name, (m, share) in named.items()
+        ]
+    )

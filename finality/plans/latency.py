@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from finality.functions.frames import by_value, quantile_row, quantiles
+from finality.functions.frames import by_value, counted_values, quantile_row, quantiles
 from finality.functions.scan import running
 
 MINUTE = 60_000.0
@@ -64,58 +66,78 @@ def distribution_summary(
 ) -> DataFrame:
     """One row: moments, percentiles and shares of immediate and deadline windows.
 
-    Percentiles come from counted values, see ``functions.frames``.
+    Rows are read once: all measures, those of yes and no included, are counted by value, and everything
+    follows from the counts.
     """
     latency = F.col("finalization_latency_ms")
-    minutes = latency / MINUTE
-    percentiles = [("finalization_latency_ms", {
-        f"latency_p{round(share * 100)}_min": share for share in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-    })]
-    out = [
-        F.count("*").alias("windows"),
-        F.avg(minutes).alias("latency_mean_min"),
-        F.stddev_samp(minutes).alias("latency_std_min"),
-        F.min(minutes).alias("latency_min_min"),
-        F.max(minutes).alias("latency_max_min"),
-        *_share(latency <= immediate_tolerance_ms, "immediate"),
-    ]
+    measures = {"row": F.lit(1), "latency": latency, "immediate": latency <= immediate_tolerance_ms}
+    shares = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+    named = {f"latency_p{round(share * 100)}_min": ("latency", share) for share in shares}
     if "allowed_lateness_ms" in rows.columns:
         allowed = F.col("allowed_lateness_ms")
+        measures["allowed"] = allowed
         if "finalization_reason" in rows.columns:
             reason = F.upper("finalization_reason")
-            deadline = reason == "DEADLINE"
-            out += _share(reason == "COMPLETENESS", "completeness")
+            measures["completeness"] = reason == "COMPLETENESS"
+            measures["deadline"] = reason == "DEADLINE"
         else:
-            deadline = latency >= allowed - deadline_tolerance_ms
-        percentiles.append(("allowed_lateness_ms", {"allowed_lateness_median_min": 0.5}))
-        out += [
-            F.max(allowed / MINUTE).alias("allowed_lateness_max_min"),
-            *_share(deadline, "deadline"),
-        ]
+            measures["deadline"] = latency >= allowed - deadline_tolerance_ms
+        named["allowed_lateness_median_min"] = ("allowed", 0.5)
     if "latency_reduction_ms" in rows.columns:
-        saved = F.col("latency_reduction_ms") / MINUTE
-        percentiles.append(
-            ("latency_reduction_ms", {"latency_reduction_p50_min": 0.5, "latency_reduction_p95_min": 0.95})
-        )
-        out.append(F.avg(saved).alias("latency_reduction_mean_min"))
-    whole = rows.agg(*out)
-    for column, named in percentiles:
-        # one row each
-        whole = whole.crossJoin(F.broadcast(quantile_row(rows, column, named, MINUTE)))
-    return whole
-
-
-def _share(test: Column, name: str) -> list[Column]:
-    hit = F.coalesce(test, F.lit(False))
-    return [
-        F.count_if(hit).alias(f"{name}_windows"),
-        F.avg(hit.cast("int")).alias(f"{name}_ratio"),
+        measures["saved"] = F.col("latency_reduction_ms")
+        named |= {"latency_reduction_p50_min": ("saved", 0.5), "latency_reduction_p95_min": ("saved", 0.95)}
+    counted = counted_values(rows, measures)
+
+    def of(measure: str, column: Column) -> Column:
+        return F.when(F.col("measure") == measure, column)
+
+    value, n = F.col("v") / MINUTE, F.col("n")
+    windows = F.coalesce(F.sum(of("row", n)), F.lit(0).cast("bigint"))
+
+    def mean(measure: str) -> Column:
+        return F.try_divide(F.sum(of(measure, value * n)), F.sum(of(measure, n)))
+
+    out = [
+        windows.alias("windows"),
+        mean("latency").alias("latency_mean_min"),
+        F.min(of("latency", value)).alias("latency_min_min"),
+        F.max(of("latency", value)).alias("latency_max_min"),
     ]
+    for name in ("immediate", "completeness", "deadline"):
+        if name in measures:
+            hits = F.coalesce(F.sum(of(name, F.col("v") * n)), F.lit(0).cast("bigint"))
+            out += [
+                hits.alias(f"{name}_windows"),
+                F.when(windows > 0, F.try_divide(hits, windows)).alias(f"{name}_ratio"),
+            ]
+    if "allowed" in measures:
+        out.append(F.max(of("allowed", value)).alias("allowed_lateness_max_min"))
+    if "saved" in measures:
+        out.append(mean("saved").alias("latency_reduction_mean_min"))
+    out.append(_deviation(lambda column: F.sum(of("latency", column))).alias("latency_std_min"))
+    # two sides of one row
+    return counted.agg(*out).crossJoin(F.broadcast(quantile_row(counted, named, MINUTE)))
+
+
+def _deviation(total: Callable[[Column], Column]) -> Column:
+    """Sample deviation in minutes of counted values in ms: squares are summed up as whole numbers, so no digits are lost."""
+    v, n = F.col("v").cast("decimal(19,0)"), F.col("n").cast("decimal(19,0)")
+
+    def whole(column: Column) -> Column:
+        return column.cast("decimal(38,0)")
+
+    count, sums, squares = whole(total(n)), whole(total(whole(v * n))), whole(total(whole(whole(v * v) * n)))
+    middle = whole(F.floor(F.try_divide(sums.cast("double"), count.cast("double"))))
+    around = whole(squares - whole(whole(middle * sums) * 2)) + whole(whole(middle * middle) * count)
+    rest = (sums - whole(middle * count)).cast("double")
+    count = count.cast("double")
+    return F.sqrt(F.try_divide(around.cast("double") - rest * rest / count, F.nullif(count - 1, F.lit(0.0)))) / MINUTE
 
 
 def quantile_table(rows: DataFrame) -> DataFrame:
     """Eleven fixed quantiles of the latency in minutes."""
-    found = quantiles(rows, "finalization_latency_ms", list(QUANTILES), MINUTE)
+    counted = counted_values(rows, {"latency": F.col("finalization_latency_ms")})
+    found = quantiles(counted, list(QUANTILES), MINUTE)
     return found.select(
         "quantile",
         (F.col("quantile") * 100).alias("window_share_percent"),

@@ -53,11 +53,15 @@ def test_quantiles_equal_those_of_one_array(spark):
     values = [rng.choice([0, 7, 70_000, rng.randrange(10**9), -rng.randrange(10**6)]) for _ in range(501)]
     table = spark.createDataFrame([(v,) for v in [*values, None]], "v bigint")
     shares = [0.0, 0.013, 0.25, 0.5, 0.951, 1.0]
-    found = {r.quantile: r.value for r in frames.quantiles(table, "v", shares, 10.0).collect()}
+    counted = frames.counted_values(table, {"v": F.col("v"), "twice": F.col("v") * 2})
+    rows = frames.quantiles(counted, shares, 10.0).collect()
+    found = {r.quantile: r.value for r in rows if r.measure == "v"}
+    assert {r.quantile: r.value / 2 for r in rows if r.measure == "twice"} == pytest.approx(found, rel=1e-12)
     expected = np.quantile(np.array(values) / 10.0, shares)
     assert [found[s] for s in shares] == pytest.approx(list(expected), rel=1e-12)
-    assert frames.quantiles(table.filter("v IS NULL"), "v", shares).count() == 0
-    assert frames.quantile_row(table.filter("v IS NULL"), "v", {"x": 0.5}).first().x is None
+    none = frames.counted_values(table.filter("v IS NULL"), {"v": F.col("v")})
+    assert frames.quantiles(none, shares).count() == 0
+    assert frames.quantile_row(none, {"x": ("v", 0.5)}).first().x is None
 
 
 def test_blocks_with_a_halo_equal_one_window(spark, monkeypatch):
@@ -94,7 +98,11 @@ def test_latency_filters_and_reference(spark):
     assert latency.final_or_purge(rows).count() == 3
     assert latency.select_rows(rows, "Proposed", "FINAL").count() == 1
     assert latency.select_rows(rows).count() == 3
+    empty = latency.distribution_summary(latencies(spark, [])).first()
+    assert (empty.windows, empty.immediate_windows, empty.immediate_ratio, empty.latency_std_min) == (0, 0, None, None)
+    assert latency.distribution_summary(latencies(spark, [3])).first().latency_std_min is None
     summary = latency.distribution_summary(latencies(spark, [1, 2], 5 * MIN))
+    assert summary.first().latency_std_min == pytest.approx(0.5**0.5)
     assert latency.reference_latency_min(summary) == 5.0
     assert latency.reference_latency_min(summary, 7.0) == 7.0
     with pytest.raises(ValueError):
