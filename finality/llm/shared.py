@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,13 +22,15 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder (URI) below the one that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on one
+    machine, as in tests, a temporary folder is taken; on a cluster that is an error.
     """
     ship(spark)
     small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = getattr(spark.sparkContext, "_finality_scratch", "") or "file://" + tempfile.mkdtemp(prefix="finality-")
         spark.sparkContext._finality_scratch = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
