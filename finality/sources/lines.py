@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from datetime import date, timedelta
 from itertools import accumulate
@@ -13,6 +14,7 @@ from finality.functions.scan import blocks_of, running
 from finality.functions.timecols import instant_text
 from finality.sources import segments
 
+_log = logging.getLogger(__name__)
 _DATE_AT_END = re.compile(r"(\d{8})\.gz$")
 # a partition numbers its rows in the low 33 bits
 _ROW_BITS = 33
@@ -79,7 +81,7 @@ def list_files(
 def daily_files(
     spark: SparkSession, template: str, first: date, last: date
 ) -> tuple[list[str], list[str]]:
-    """Paths of the daily files that exist, and the days without one.
+    """Paths of the daily files that exist, and the days without one, which are logged as a warning.
 
     ``template`` holds ``{date}`` for the day as YYYYMMDD.
     """
@@ -91,7 +93,10 @@ def daily_files(
         pass
     names = {f"{day:%Y%m%d}": template.format(date=f"{day:%Y%m%d}").rsplit("/", 1)[-1] for day in days}
     present = [by_name[name] for name in names.values() if name in by_name]
-    return present, [day for day, name in names.items() if name not in by_name]
+    absent = [day for day, name in names.items() if name not in by_name]
+    for day in absent:
+        _log.warning("no file for %s: %s", day, names[day])
+    return present, absent
 
 
 def _plain_path(column: str) -> Column:

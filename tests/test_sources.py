@@ -128,7 +128,7 @@ def test_local_text(spark):
     assert spark.range(1).select(local_text(F.lit(-1), "UTC")).first()[0] == "1969-12-31 23:59:59"
 
 
-def test_files_and_arrival_order(spark, tmp_path):
+def test_files_and_arrival_order(spark, tmp_path, caplog):
     for day, texts in {"20250417": ["c", "", "d"], "20250416": ["a", "b"], "20250418": ["e"]}.items():
         write_gz(tmp_path / f"raw.log-{day}.gz", texts)
     write_gz(tmp_path / "raw.log-extra.gz", ["z"])
@@ -153,6 +153,7 @@ def test_files_and_arrival_order(spark, tmp_path):
     )
     assert [p.rsplit("/", 1)[-1] for p in present] == ["raw.log-20250417.gz", "raw.log-20250418.gz"]
     assert absent == ["20250419"]
+    assert [r.getMessage() for r in caplog.records if r.name == lines.__name__] == ["no file for 20250419: raw.log-20250419.gz"]
 
 
 def test_progress_inside_a_file(spark):
