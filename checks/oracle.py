@@ -1065,6 +1065,8 @@ SELECT experiment, {pct('gap', 0.5, 'median_interval_sec')} FROM g GROUP BY expe
         sql[f"lateness_{name}"] = lateness_rows(mode)
     sql["lateness_days_per_meter"] = lateness_days("per_meter")
     sql["lateness_days_post_window"] = lateness_days("post_window_delay")
+    modes = ("per_meter", "per_meter_series", "post_window_delay")
+    sql["lateness_days_carried"] = " UNION ALL ".join(f"SELECT * FROM ({lateness_days(m)})" for m in modes)
     for name in POLICIES:
         sql[f"window_counts_{name}"] = on_seen(
             placed(name),

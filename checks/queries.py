@@ -14,9 +14,9 @@ from finality.functions.timecols import local_text
 from finality.operators import meters, plain
 from finality.operators.arrival import replay_watermark, watermark_passes
 from finality.operators.replay import completeness_windows, finalize, late_records, place, window_counts
-from finality.plans import latency, lateness, reports, resources, throughput
+from finality.plans import latency, lateness, lateness_state, reports, resources, throughput
 from finality.plans.standins import DAY_MS, SPARSE, events, readings
-from finality.session import ship
+from finality.session import new_folder, ship
 from finality.sources.lines import first_records, profile_progress
 from finality.sources.metrics import gc_events
 from finality.sources.parse import parse_permissive, parse_strict
@@ -486,6 +486,20 @@ def lateness_days(mode: str) -> Query:
     return lambda spark, folder: lateness.day_summary(with_day(spark, folder), mode, SPARSE)
 
 
+def lateness_days_carried(spark, folder):
+    """All measures by day, from a state that is added to ten days at a time."""
+    rows, state = with_day(spark, folder), new_folder(spark, "lateness")
+    month_part = (F.dayofmonth(F.col("day").cast("date")) - 1) / 10
+    part = F.concat(F.substring("day", 1, 8), F.floor(month_part).cast("string"))
+    dealt = new_folder(spark, "readings")
+    rows.withColumn("part", part).write.partitionBy("part").parquet(dealt)
+    table = spark.read.parquet(dealt)
+    for row in table.select("part").distinct().orderBy("part").collect():
+        batch = table.filter(F.col("part") == row.part).drop("part")
+        lateness_state.add_batch(state, row.part, batch, SPARSE)
+    return lateness_state.day_summary(spark, state)
+
+
 def lateness_overall(spark, folder):
     return lateness.overall_summary(with_day(spark, folder), SPARSE)
 
@@ -716,6 +730,7 @@ def queries() -> dict[str, Query]:
         "lateness_cdf": lateness_cdf,
         "lateness_days_per_meter": lateness_days("per_meter"),
         "lateness_days_post_window": lateness_days("post_window_delay"),
+        "lateness_days_carried": lateness_days_carried,
         "lateness_overall": lateness_overall,
         "lateness_hourly": lateness_hourly,
         "recommended_lateness": recommended_lateness,

@@ -1,7 +1,9 @@
-"""The window job and the classification job, from files to result files."""
+"""The window job, the classification job and the lateness profile, from files to result files."""
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from finality.config import SINGLE, THREE, JobArgs, WindowSpec
@@ -9,10 +11,12 @@ from finality.functions.timecols import instant_text
 from finality.operators.arrival import NO_MORE_INPUT
 from finality.operators.meters import classify_meters, is_voltage, lookup_of, route
 from finality.operators.replay import finalize
-from finality.plans import reports
+from finality.plans import lateness_state, reports
+from finality.plans.lateness import MODES
 from finality.plans.throughput import chained_samples, probe_counts
 from finality.sinks import writers
 from finality.sources.lines import (
+    daily_files,
     first_records,
     ingestion_progress,
     list_files,
@@ -21,7 +25,7 @@ from finality.sources.lines import (
     read_meter_ids,
     read_segments,
 )
-from finality.sources.parse import parse_strict, readings_of
+from finality.sources.parse import parse_permissive, parse_strict, quarantine, readings_of
 from finality.streaming.job import READINGS, start_parsing
 
 
@@ -152,6 +156,72 @@ def _run_summary(spark: SparkSession, args: JobArgs, counts: dict) -> DataFrame:
     )
 
 
+def lateness_job(
+    spark: SparkSession,
+    template: str,
+    first: date,
+    last: date,
+    state: str,
+    out_dir: str,
+    spec: WindowSpec = WindowSpec(),
+    modes: tuple[str, ...] = MODES,
+) -> list[str]:
+    """Profile the daily files from ``first`` to ``last``, and write the results over all days so far.
+
+    ``template`` is a path with ``{date}`` for the day as YYYYMMDD. Days that ``state`` holds
+    already are not read again, so the next day costs its own file. Days without a file are
+    logged, and given back. A file that appears after a later day was profiled is an error.
+    Results are written even when a day fails; they are those of the days before it.
+    """
+    present, absent = daily_files(spark, template, first, last)
+    held = {row.batch for row in lateness_state.batches(spark, state).select("batch").collect()}
+    days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+    days = [day for day in map("{:%Y%m%d}".format, days) if day not in absent]
+    try:
+        for day, path in zip(days, present):
+            if day in held:
+                continue
+            parsed = parse_permissive(read_lines(spark, [path]), spec.zone)
+            store, seen = f"{state}/lines/day={day}", Observation()
+            parsed.observe(seen, F.count_if(F.col("parse_error").isNotNull()).alias("errors")).write.mode(
+                "overwrite"
+            ).parquet(store)
+            lines = spark.read.parquet(store).withColumn("day", F.lit(day))
+            lateness_state.add_batch(
+                state, day, readings_of(lines), spec, modes, errors=seen.get["errors"]
+            )
+            writers.write_csv(quarantine(lines), f"{out_dir}/quarantine/day={day}")
+    finally:
+        if lateness_state.last_batch(spark, state) is not None:
+            _write_profile(spark, state, out_dir, spec)
+    return absent
+
+
+def _write_profile(spark: SparkSession, state: str, out: str, spec: WindowSpec) -> None:
+    profile = lateness_state
+    days = profile.day_summary(spark, state)
+    dated = {"date": "day", "total": "total_records", "late": "late_records"}
+    others = [c for c in days.columns if c not in ("mode", *dated.values())]
+    by_mode = {
+        "per_day_summary": days.select(
+            "mode", *[F.col(c).alias(header) for header, c in dated.items()], *others
+        ),
+        "histogram_overall": profile.histogram(spark, state, ["mode"]),
+        "cdf_overall": profile.cdf(spark, state, ["mode"]),
+        "hourly_data": profile.hourly(spark, state, spec),
+    }
+    by_day = {
+        "histogram": profile.histogram(spark, state, ["mode", "day"]),
+        "cdf": profile.cdf(spark, state, ["mode", "day"]),
+    }
+    for name, table in by_mode.items():
+        writers.write_csv(table, f"{out}/{name}", by=["mode"])
+    for name, table in by_day.items():
+        writers.write_csv(table, f"{out}/{name}", by=["mode", "day"])
+    writers.write_csv(profile.overall_summary(spark, state), f"{out}/compare_summary")
+    writers.write_csv(profile.progress(spark, state), f"{out}/progress")
+
+
 def classification_job(lines: DataFrame, out_dir: str) -> DataFrame:
     """Write the meter ids of both phase groups and return the class totals."""
     classified = classify_meters(lines)

@@ -21,8 +21,10 @@ BIN_MINUTES, BINS = 6, 500
 PERCENTILES = (50, 90, 95, 99)
 # a key is spread over blocks of this many arrivals
 _KEY_BITS = 20
+# stands before every arrival
+_CARRIED = -(1 << 62)
 
-_KEYS = {
+KEYS = {
     "per_meter": ["meter_id"],
     "per_meter_series": ["meter_id", "series_id"],
     "global": [],
@@ -30,12 +32,17 @@ _KEYS = {
 }
 
 
-def lateness(readings: DataFrame, mode: str, spec: WindowSpec) -> DataFrame:
+def lateness(
+    readings: DataFrame, mode: str, spec: WindowSpec, earlier: DataFrame | None = None
+) -> DataFrame:
     """Readings with ``late_s``, null when the reading is not late.
 
-    Needs ``day`` and ``insert_ms`` besides the reading columns.
+    Needs ``day`` and ``insert_ms`` besides the reading columns. ``earlier`` carries
+    on from readings that are not in the table: the largest ``top_s`` per ``meter_id, series_id``
+    of the mode. Its rows stand before all arrivals in the same blocked scan, so a key with
+    very many readings is still dealt over blocks.
     """
-    keys = _KEYS[mode]
+    keys = KEYS[mode]
     rows = readings.select(
         "arrival_seq",
         "day",
@@ -44,6 +51,11 @@ def lateness(readings: DataFrame, mode: str, spec: WindowSpec) -> DataFrame:
         F.expr("event_ms div 1000").alias("event_s"),
         F.expr("insert_ms div 1000").alias("insert_s"),
     )
+    if earlier is not None:
+        carried = earlier.select(
+            F.lit(_CARRIED).alias("arrival_seq"), "meter_id", "series_id", F.col("top_s").alias("event_s")
+        )
+        rows = rows.unionByName(carried, allowMissingColumns=True)
     after_window = mode == "post_window_delay"
     seen = running(
         rows,
@@ -52,6 +64,7 @@ def lateness(readings: DataFrame, mode: str, spec: WindowSpec) -> DataFrame:
         {"top_s": ("max", F.col("event_s"))},
         keys=keys,
         inclusive=after_window,
+        keep=None if earlier is None else F.col("arrival_seq") != _CARRIED,
         block=["_blk"],
     )
     if after_window:
@@ -81,17 +94,26 @@ def late_minutes() -> Column:
     return F.col("late_s") / 60.0
 
 
-def profile(late: DataFrame, by: list[str]) -> DataFrame:
-    """Per group its totals and one array of its at most 500 non-empty bins.
-
-    One pass over the readings: they are counted per bin, with the readings on
-    time in a bin without number, and all else follows from that small table.
-    """
-    counted = late.groupBy(
+def bin_counts(late: DataFrame, by: list[str]) -> DataFrame:
+    """Readings counted per group and bin, those on time in a bin without number."""
+    return late.groupBy(
         *by, F.when(F.col("late_s").isNotNull(), bin_index(late_minutes())).alias("bin")
     ).agg(
         F.count("*").alias("n"), F.sum("late_s").alias("sum_s"), F.max("late_s").alias("max_s")
     )
+
+
+def profile(late: DataFrame, by: list[str]) -> DataFrame:
+    """Per group its totals and one array of its at most 500 non-empty bins.
+
+    One pass over the readings: they are counted per bin, and all else follows
+    from that small table.
+    """
+    return profile_of(bin_counts(late, by), by)
+
+
+def profile_of(counted: DataFrame, by: list[str]) -> DataFrame:
+    """The same from readings that are counted already, one row per group and bin."""
     is_late = F.col("bin").isNotNull()
     upto = Window.partitionBy(*by).orderBy("bin")
     return (
@@ -111,7 +133,11 @@ def profile(late: DataFrame, by: list[str]) -> DataFrame:
 
 def histogram(late: DataFrame, by: list[str]) -> DataFrame:
     """All 500 bins of every group, empty ones with count zero."""
-    frame = profile(late, by).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    return histogram_of(profile(late, by), by)
+
+
+def histogram_of(profiles: DataFrame, by: list[str]) -> DataFrame:
+    frame = profiles.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
     hit = F.try_element_at(F.filter("bins", lambda b: b["bin"] == F.col("bin")), F.lit(1))
     return frame.select(
         *by,
@@ -132,8 +158,12 @@ def bin_percentile(bins: Column, total: Column, q: Column) -> Column:
 
 def cdf(late: DataFrame, by: list[str]) -> DataFrame:
     """1001 percentile points per group, zero where a group has no late reading."""
+    return cdf_of(profile(late, by), by)
+
+
+def cdf_of(profiles: DataFrame, by: list[str]) -> DataFrame:
     q = F.col("i") * F.lit(0.1)
-    points = profile(late, by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1000))))
+    points = profiles.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1000))))
     return points.select(
         *by,
         F.round(q, 1).alias("percentile"),
@@ -164,7 +194,7 @@ def _max() -> Column:
 
 def keys_so_far(readings: DataFrame, mode: str) -> DataFrame:
     """Distinct keys of the mode up to each day."""
-    keys = _KEYS[mode]
+    keys = KEYS[mode]
     days = readings.select("day").distinct()
     if not keys:
         return days.withColumn("unique_keys", F.lit(1).cast("bigint"))
@@ -182,20 +212,33 @@ def keys_so_far(readings: DataFrame, mode: str) -> DataFrame:
 
 def day_summary(readings: DataFrame, mode: str, spec: WindowSpec) -> DataFrame:
     """Per day: late share, keys so far, mean, percentiles and maximum."""
-    return (
-        profile(lateness(readings, mode, spec), ["mode", "day"])
-        .join(keys_so_far(readings, mode), "day")
-        .select(
-            "mode",
-            "day",
-            F.col("records").alias("total_records"),
-            F.col("total").alias("late_records"),
-            _ratio().alias("late_ratio"),
-            "unique_keys",
-            _mean().alias("mean_lateness_min"),
-            *_percentile_columns(),
-            _max().alias("max_min"),
-        )
+    return day_rows(
+        profile(lateness(readings, mode, spec), ["mode", "day"]).join(keys_so_far(readings, mode), "day")
+    )
+
+
+def day_rows(profiles: DataFrame) -> DataFrame:
+    return profiles.select(
+        "mode",
+        "day",
+        F.col("records").alias("total_records"),
+        F.col("total").alias("late_records"),
+        _ratio().alias("late_ratio"),
+        "unique_keys",
+        _mean().alias("mean_lateness_min"),
+        *_percentile_columns(),
+        _max().alias("max_min"),
+    )
+
+
+def overall_rows(profiles: DataFrame) -> DataFrame:
+    return profiles.select(
+        "mode",
+        F.col("records").alias("total_records"),
+        F.col("total").alias("late_records"),
+        _ratio().alias("late_ratio"),
+        "unique_keys",
+        *_percentile_columns(),
     )
 
 
@@ -206,24 +249,13 @@ def overall_summary(
     parts = []
     for mode in modes:
         late = lateness(readings, mode, spec)
-        keys = _KEYS[mode]
+        keys = KEYS[mode]
         unique = (
             readings.agg(F.count_distinct(*keys).alias("unique_keys"))
             if keys
             else readings.limit(1).select(F.lit(1).cast("bigint").alias("unique_keys"))
         )
-        parts.append(
-            profile(late, ["mode"])
-            .crossJoin(F.broadcast(unique))
-            .select(
-                "mode",
-                F.col("records").alias("total_records"),
-                F.col("total").alias("late_records"),
-                _ratio().alias("late_ratio"),
-                "unique_keys",
-                *_percentile_columns(),
-            )
-        )
+        parts.append(overall_rows(profile(late, ["mode"]).crossJoin(F.broadcast(unique))))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -236,8 +268,12 @@ def hourly(readings: DataFrame, mode: str, spec: WindowSpec) -> DataFrame:
         F.col("late_s").isNotNull() & F.col("insert_s").isNotNull()
     )
     late = late.withColumn("hour_s", floor_to(F.col("insert_s"), 3600))
+    return hour_rows(profile(late, ["mode", "hour_s"]), spec)
+
+
+def hour_rows(profiles: DataFrame, spec: WindowSpec) -> DataFrame:
     hour = F.substring(local_text(F.col("hour_s") * 1000, spec.zone), 1, 13)
-    return profile(late, ["mode", "hour_s"]).select(
+    return profiles.select(
         "mode",
         F.concat(hour, F.lit(":00")).alias("hour"),
         F.col("total").alias("count"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,13 +36,22 @@ def settled(table: DataFrame) -> DataFrame:
     """
     spark = table.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        if not named and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return table.checkpoint()
 
 
+def _shared(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other call gets; nothing is created."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def only_row(table: DataFrame, name: str) -> DataFrame:
     """The row of a table that has one; no row stays none, and more than one is an error."""
     folded = table.agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in table.columns])

@@ -91,10 +91,21 @@ def csv_view(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     return table.select(*out)
 
 
-def write_csv(table: DataFrame, path: str, append: bool = False) -> None:
-    """Headed CSV; quotes a value holding a comma, quote or line break, null is empty."""
+def write_csv(
+    table: DataFrame, path: str, append: bool = False, by: list[str] | None = None
+) -> None:
+    """Headed CSV; quotes a value holding a comma, quote or line break, null is empty.
+
+    ``by`` names columns that become folders, for short tables: a folder gets one file,
+    ordered by its first column.
+    """
+    rows = table
+    if by:
+        first = next(c for c in table.columns if c not in by)
+        rows = table.repartition(*by).sortWithinPartitions(*by, first)
     (
-        table.write.mode("append" if append else "overwrite")
+        rows.write.mode("append" if append else "overwrite")
+        .partitionBy(*(by or []))
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
