@@ -670,6 +670,46 @@ SELECT experiment, count(*) AS gc_events, {rnd(f'count(*) / {minutes}', 'gc_even
     }
 
 
+# metric, column, unit, whether lower is better
+SYSTEM_METRICS = (
+    ("duration_sec", "runtime_sec", "sec", True), ("cpu_mean", "cpu_mean_percent", "%", True),
+    ("cpu_p95", "cpu_p95_percent", "%", True), ("memory_mean", "memory_mean_mib", "MiB", True),
+    ("memory_p95", "memory_p95_mib", "MiB", True), ("memory_max", "memory_peak_mib", "MiB", True),
+)
+PAUSE_METRICS = (
+    ("gc_events_per_min", "gc_events_per_min", "events/min", True), ("gc_total_pause_ms", "gc_total_pause_ms", "ms", True),
+    ("gc_p95_pause_ms", "gc_p95_pause_ms", "ms", True), ("full_gc_events", "full_gc_events", "count", True),
+)
+FINAL_METRICS = (
+    ("finalization_samples", "finalized_windows", "count", False),
+    ("finalization_latency_mean_min", "finalization_latency_mean_min", "min", True),
+    ("finalization_latency_p95_min", "finalization_latency_p95_min", "min", True),
+    ("latency_reduction_mean_min", "latency_reduction_mean_min", "min", False),
+    ("latency_reduction_p95_min", "latency_reduction_p95_min", "min", False),
+    ("latency_reduction_mean_ratio", "latency_reduction_mean_ratio", "ratio", False),
+)
+
+
+def metric_table_all(sql: dict[str, str]) -> str:
+    rows = [
+        f"SELECT '{category}' AS category, experiment, '{metric}' AS metric, '{unit}' AS unit, {str(lower).lower()} AS lower_is_better, CAST({column} AS DOUBLE) AS v FROM {table}"
+        for category, table, metrics in (("system", "system_part", SYSTEM_METRICS), ("gc", "pause_part", PAUSE_METRICS), ("finalization", "final_part", FINAL_METRICS))
+        for metric, column, unit, lower in metrics
+    ]
+    rows += [
+        f"SELECT 'throughput', experiment, 'throughput_' || stage || '_{name}_eps', 'events/sec', false, {name} FROM rate_part"
+        for name in ("weighted", "p95")
+    ]
+    modes = ("fast", "delayed", "baseline", "proposed")
+    return f"""WITH system_part AS ({sql['system_summary']}), pause_part AS ({sql['pause_summary']}), final_part AS ({sql['latency_summary']}),
+rate_part AS (WITH {PARSED} SELECT method_key AS experiment, substr(probe, length(method_key) + 2) AS stage,
+  sum(count_in_interval) / (sum(interval_ms) / CAST(1000 AS DOUBLE)) AS weighted, quantile_cont(CAST(events_per_second AS DOUBLE), 0.95) AS p95 FROM samples GROUP BY ALL),
+long AS ({' UNION ALL '.join(rows)}),
+wide AS (SELECT category, metric, unit, lower_is_better, {', '.join(f"max(v) FILTER (WHERE experiment = '{m}') AS {m}" for m in modes)} FROM long GROUP BY ALL)
+SELECT category, metric, unit, lower_is_better, {', '.join(rnd(m, m) for m in modes)}, {rnd('proposed - baseline', 'delta_proposed_vs_baseline')},
+  {rnd('(proposed - baseline) / nullif(baseline, 0) * 100', 'delta_pct_proposed_vs_baseline')} FROM wide"""
+
+
 def oracle_sql() -> dict[str, str]:
     start, end = text_of("window_start_ms"), text_of("window_end_ms")
     shape = f"{text_of('window_start_ms')} AS window_start, {text_of('window_end_ms')} AS window_end"
@@ -794,7 +834,8 @@ FROM emissions WHERE result_type = 'FINAL'""",
             f"""SELECT {KEY}, emit_no, '[PROPOSED_' || CASE WHEN result_type = 'FINAL' THEN 'PURGE' ELSE 'UPDATE' END
   || '] Window: ' || {start} || ' TO ' || {end} || ' | Meter: ' || meter_id || ' | Series: ' || series_id
   || ' | Count: ' || count || ' | Completeness: ' || completeness || ' | FinalizationReason: ' || finalization_reason
-  || ' | Fault: ' || CAST(fault_indicator AS VARCHAR) AS line FROM emissions""",
+  || ' | Fault: ' || CAST(fault_indicator AS VARCHAR) || ' | PurgeTimeMin: ' || {minutes(f'(window_end_ms + {DAY})')}
+  AS line FROM emissions""",
         ),
         "latency_text": line_of(
             "WHERE result_type = 'FINAL'",
@@ -1078,4 +1119,5 @@ SELECT experiment, {pct('gap', 0.5, 'median_interval_sec')} FROM g GROUP BY expe
         sql[f"output_counts_{name}"] = output_counts(name)
     for name in ("alw", "cbw"):
         sql[f"faulty_windows_{name}"] = faulty_windows(name)
-    return sql | text_lines()
+    sql |= text_lines()
+    return sql | {"metric_table_all": metric_table_all(sql)}

@@ -611,6 +611,17 @@ def metric_table(spark, folder):
     )
 
 
+def metric_table_all(spark, folder):
+    return rounded(
+        resources.full_metric_table(
+            system_summary(spark, folder),
+            pause_summary(spark, folder),
+            samples(spark, folder, PARSED).withColumn("experiment", F.col("method_key")),
+            latency_summary(spark, folder),
+        )
+    )
+
+
 def smoothed_cpu(spark, folder):
     rows = resources.progress(resources.rolling_mean(series(spark, folder), "cpu_percent", 30))
     return rounded(
@@ -701,7 +712,9 @@ def queries() -> dict[str, Query]:
         "chained_probe_samples": chained_probe_samples,
         "latency_rows": lambda s, d: reports.latency_rows(emissions(s, d, "cbw")),
         "latency_text": lambda s, d: reports.latency_text(emissions(s, d, "cbw"), SPARSE),
-        "emission_text": lambda s, d: reports.emission_text(emissions(s, d, "cbw"), SPARSE),
+        "emission_text": lambda s, d: reports.emission_text(
+            emissions(s, d, "cbw"), SPARSE, purge_ms=F.col("window_end_ms") + DAY_MS
+        ),
         "output_summary": output_summary,
         "inferred_output_summary": inferred_output_summary,
         "mechanism_summary": mechanism_summary,
@@ -751,6 +764,7 @@ def queries() -> dict[str, Query]:
         "system_summary": system_summary,
         "performance_comparison": performance_comparison,
         "metric_table": metric_table,
+        "metric_table_all": metric_table_all,
         "smoothed_cpu": smoothed_cpu,
         "sampling_interval": sampling_interval,
         "parsed_lines": parsed_lines,

@@ -504,8 +504,13 @@ def early_purge_shares(counts: DataFrame, proposed: str = "PROPOSED") -> DataFra
     )
 
 
-def emission_text(emissions: DataFrame, spec: WindowSpec) -> DataFrame:
-    """One line of text per emission."""
+def emission_text(emissions: DataFrame, spec: WindowSpec, purge_ms: Column | None = None) -> DataFrame:
+    """One line of text per emission.
+
+    ``purge_ms`` is the clock when the emission was made, the start of the query without it.
+    """
+    if purge_ms is None:
+        purge_ms = F.unix_millis(F.current_timestamp())
     proposed = F.col("mode") == "PROPOSED"
     label = F.concat(
         F.when(proposed, "PROPOSED_").otherwise("BASELINE_"),
@@ -513,7 +518,7 @@ def emission_text(emissions: DataFrame, spec: WindowSpec) -> DataFrame:
     )
     line = F.format_string(
         "[%s] Window: %s TO %s | Meter: %s | Series: %s | Count: %d | Completeness: %s"
-        " | FinalizationReason: %s | Fault: %s",
+        " | FinalizationReason: %s | Fault: %s | PurgeTimeMin: %.2f",
         label,
         local_text(F.col("window_start_ms"), spec.zone),
         local_text(F.col("window_end_ms"), spec.zone),
@@ -523,6 +528,7 @@ def emission_text(emissions: DataFrame, spec: WindowSpec) -> DataFrame:
         "completeness",
         F.coalesce("finalization_reason", F.lit("null")),
         F.col("fault_indicator").cast("string"),
+        purge_ms / 60_000.0,
     )
     return emissions.select(*KEY, "emit_no", line.alias("line"))
 

@@ -6,11 +6,13 @@ row per experiment and second at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from finality.config import BASELINE, MODES, PROPOSED
 from finality.functions.frames import centred_mean, previous, with_extremes
-from finality.functions.labels import percent_change, percent_saving
+from finality.functions.labels import percent_change, percent_saving, probe_mode, probe_stage, safe_div
 from finality.session import only_row
 
 # Memory columns in order of preference.
@@ -242,35 +244,123 @@ def gc_per_minute(series: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ metric table
 
 
-def metric_table(summary: DataFrame, category: str, metrics: dict[str, str]) -> DataFrame:
+# Rows of the metric table by category. Metric, column of the summary, unit, whether lower is better.
+METRICS = {
+    "system": [
+        ("duration_sec", "runtime_sec", "sec", True),
+        ("cpu_mean", "cpu_mean_percent", "%", True),
+        ("cpu_p95", "cpu_p95_percent", "%", True),
+        ("memory_mean", "memory_mean_mib", "MiB", True),
+        ("memory_p95", "memory_p95_mib", "MiB", True),
+        ("memory_max", "memory_peak_mib", "MiB", True),
+    ],
+    "gc": [
+        ("gc_events_per_min", "gc_events_per_min", "events/min", True),
+        ("gc_total_pause_ms", "gc_total_pause_ms", "ms", True),
+        ("gc_p95_pause_ms", "gc_p95_pause_ms", "ms", True),
+        ("full_gc_events", "full_gc_events", "count", True),
+    ],
+    "finalization": [
+        ("finalization_samples", "finalized_windows", "count", False),
+        ("finalization_latency_mean_min", "finalization_latency_mean_min", "min", True),
+        ("finalization_latency_p95_min", "finalization_latency_p95_min", "min", True),
+        ("latency_reduction_mean_min", "latency_reduction_mean_min", "min", False),
+        ("latency_reduction_p95_min", "latency_reduction_p95_min", "min", False),
+        ("latency_reduction_mean_ratio", "latency_reduction_mean_ratio", "ratio", False),
+    ],
+}
+_LONG = ("category", "metric", "unit", "lower_is_better")
+
+
+def metric_rows(summary: DataFrame, category: str, metrics: list[tuple] | None = None) -> DataFrame:
+    """A summary with a row per ``experiment`` as one row per experiment and metric."""
+    rows = [
+        F.struct(
+            F.lit(metric).alias("metric"),
+            F.lit(unit).alias("unit"),
+            F.lit(lower).alias("lower_is_better"),
+            F.col(column).cast("double").alias("value"),
+        )
+        for metric, column, unit, lower in metrics or METRICS[category]
+    ]
+    return summary.select(F.lit(category).alias("category"), "experiment", F.inline(F.array(*rows)))
+
+
+def throughput_rows(samples: DataFrame) -> DataFrame:
+    """Weighted rate and 95th percentile per stage; a probe without mode counts for its experiment."""
+    mode = probe_mode(F.col("probe"))
+    staged = samples.dropna(subset=["count_in_interval", "events_per_second", "interval_ms"]).select(
+        F.when(mode == "unknown", F.col("experiment")).otherwise(mode).alias("experiment"),
+        F.replace(probe_stage(F.col("probe")), F.lit("-"), F.lit("_")).alias("stage"),
+        "count_in_interval",
+        "events_per_second",
+        "interval_ms",
+    )
+    rates = staged.groupBy("experiment", "stage").agg(
+        safe_div(F.sum("count_in_interval"), F.sum("interval_ms") / 1000.0).alias("weighted"),
+        F.percentile("events_per_second", F.lit(0.95)).alias("p95"),
+    )
+    named = [
+        F.struct(
+            F.concat(F.lit("throughput_"), "stage", F.lit(f"_{name}_eps")).alias("metric"),
+            F.lit("events/sec").alias("unit"),
+            F.lit(False).alias("lower_is_better"),
+            F.col(name).alias("value"),
+        )
+        for name in ("weighted", "p95")
+    ]
+    return rates.select(F.lit("throughput").alias("category"), "experiment", F.inline(F.array(*named)))
+
+
+def by_mode(rows: DataFrame) -> DataFrame:
     """One row per metric, one column per mode, and the change from the baseline.
 
-    ``summary`` has one row per ``experiment`` named by mode; ``metrics`` maps a
-    metric column to its unit. The change in percent is null when the baseline
-    is zero.
+    The change in percent is null when the baseline is zero, both are null when
+    one of the two modes is missing. Values that aren't finite are taken for missing.
     """
-    long = summary.select(
-        "experiment",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("metric"),
-                        F.lit(unit).alias("unit"),
-                        F.col(name).cast("double").alias("value"),
-                    )
-                    for name, unit in metrics.items()
-                ]
-            )
-        ),
+    finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    wide = (
+        rows.withColumn("value", finite)
+        .groupBy(*_LONG)
+        .pivot("experiment", list(MODES))
+        .agg(F.first("value", ignorenulls=True))
     )
-    wide = long.groupBy("metric", "unit").pivot("experiment", list(MODES)).agg(F.first("value"))
     delta = F.col(PROPOSED) - F.col(BASELINE)
     return wide.select(
-        F.lit(category).alias("category"),
-        "metric",
-        "unit",
+        *_LONG,
         *MODES,
         delta.alias("delta_proposed_vs_baseline"),
         (F.try_divide(delta, F.col(BASELINE)) * 100.0).alias("delta_pct_proposed_vs_baseline"),
     )
+
+
+def metric_table(summary: DataFrame, category: str, metrics: dict[str, str]) -> DataFrame:
+    """Metrics of one category by mode; ``metrics`` maps a column of the summary to its unit."""
+    rows = metric_rows(summary, category, [(name, name, unit, True) for name, unit in metrics.items()])
+    return by_mode(rows).drop("lower_is_better")
+
+
+def full_metric_table(
+    system: DataFrame | None = None,
+    pauses: DataFrame | None = None,
+    samples: DataFrame | None = None,
+    finalization: DataFrame | None = None,
+) -> DataFrame:
+    """All categories in one table, from summaries whose ``experiment`` is a mode.
+
+    ``system`` is a ``system_summary``, ``pauses`` a ``gc_summary``, ``samples`` are rates of
+    probes, ``finalization`` is a ``latency_summary``, of which only the proposed
+    mode counts. A category that isn't given has no rows.
+    """
+    parts = []
+    if system is not None:
+        parts.append(metric_rows(system, "system"))
+    if pauses is not None:
+        parts.append(metric_rows(pauses, "gc"))
+    if samples is not None:
+        parts.append(throughput_rows(samples))
+    if finalization is not None:
+        parts.append(metric_rows(finalization.filter(F.col("experiment") == PROPOSED), "finalization"))
+    if not parts:
+        raise ValueError("the metric table needs at least one category")
+    return by_mode(reduce(DataFrame.unionByName, parts))
