@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from finality.config import SERIES_L1, SINGLE, THREE, THREE_PHASE_LABEL, WindowSpec
 from finality.functions.labels import method_label, method_order, safe_div
@@ -16,6 +16,8 @@ from finality.functions.windowing import (
     preliminary_met,
 )
 from finality.session import only_row, settled
+from finality.sources import metrics
+from finality.sources.metrics import read_results
 
 KEY = ["mode", "meter_id", "series_id", "window_start_ms", "window_end_ms"]
 
@@ -267,6 +269,20 @@ def outputs_of(counts: DataFrame | None, finals: DataFrame | None, spec: WindowS
     raise ValueError("neither output counts nor finalization rows given")
 
 
+def outputs_of_folder(spark: SparkSession, folder: str, spec: WindowSpec) -> DataFrame:
+    """Summary of all runs whose results lie below a folder.
+
+    An experiment without rows of output counts is inferred from its finalization rows.
+    """
+    counts = read_results(spark, folder, "output_counts", metrics.OUTPUT_COUNTS)
+    finals = read_results(spark, folder, "finalization_latency_metrics", metrics.FINALIZATION)
+    if counts is None or finals is None:
+        return outputs_of(counts, finals, spec)
+    counted = F.broadcast(counts.select("experiment").distinct())  # a row per run
+    others = infer_outputs(finals.join(counted, "experiment", "left_anti"), spec)
+    return summarize_outputs(counts, spec).unionByName(others)
+
+
 def with_coverage(summary: DataFrame) -> DataFrame:
     """Compare emitted windows with the reference experiment.
 

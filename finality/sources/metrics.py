@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from finality.config import MODES
 
@@ -78,30 +80,125 @@ def read_all(spark: SparkSession, folder: str, pattern: str, schema: str) -> Dat
     absent from a file are null. Files with a header only add no rows. Returns
     null when no file holds any of the columns.
     """
-    found = (
+    return _union(_found(spark, folder).filter(F.col("file_name").rlike(_as_regex(pattern))), schema, False)
+
+
+def read_results(spark: SparkSession, folder: str, metric: str, schema: str) -> DataFrame | None:
+    """All results of a metric below a folder, with the run that each row is of.
+
+    A result is a file ``<metric>_<run>_<mode>_<time>.csv`` or a folder of that name with parts in it,
+    as ``window_job`` writes them; folders such as ``batch=3`` in between are passed over.
+    ``run_id, method_key, time_setting`` come from that name and are ``unknown`` where it has
+    another form; ``experiment`` joins method and time. ``row_no`` orders rows as they stand in
+    their files. Columns are named in snake case; null when there is no such result.
+    """
+    own = F.col("result").rlike(f"^{re.escape(metric)}(_|$)")
+    rows = _union(_found(spark, folder).filter(own), schema, True)
+    if rows is None:
+        return None
+    # the run may hold underscores: it ends where a mode follows
+    parts = f"^{re.escape(metric)}_(.+?)_({'|'.join(MODES)})_(.+)$"
+    named = F.col("result").rlike(parts)
+
+    def part(group: int) -> Column:
+        return F.when(named, F.regexp_extract("result", parts, group)).otherwise("unknown")
+
+    names = {c.strip().rsplit(" ", 1)[0] for c in schema.split(",")}
+    return rows.select(
+        *[F.col(c).alias(snake_case(c)) for c in rows.columns if c in names and snake_case(c) != "run_id"],
+        part(1).alias("run_id"),
+        part(2).alias("method_key"),
+        part(3).alias("time_setting"),
+        F.concat_ws("_", part(2), part(3)).alias("experiment"),
+        "row_no",
+    )
+
+
+def _as_regex(pattern: str) -> str:
+    """A file-name pattern with ``*`` and ``?`` as a regular expression."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
+def _result_of(path: Column) -> Column:
+    """Name of the result a file belongs to: its own, or for a part that of the folder."""
+    plain = F.regexp_replace(path, "/[^/]*=[^/]*(?=/)", "")
+    name = F.substring_index(plain, "/", -1)
+    parent = F.substring_index(F.substring_index(plain, "/", -2), "/", 1)
+    return F.when(name.startswith("part-"), parent).otherwise(F.regexp_replace(name, "[.]csv$", ""))
+
+
+def _found(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files below a folder with something in them; only the listing is read."""
+    listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
+        .option("pathGlobFilter", "*.csv")
         .load(folder)
         .filter("length > 0")
-        .select("path")
-        .collect()
     )
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(row.path for row in found):
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        by_header.setdefault(header, []).append(path)
+    return listed.select(
+        "path", F.substring_index("path", "/", -1).alias("file_name"), _result_of(F.col("path")).alias("result")
+    )
+
+
+def _path() -> Column:
+    """Path of the file that a row is read from, without the encoding of a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _union(found: DataFrame, schema: str, by_folder: bool) -> DataFrame | None:
+    """Rows of the files, read once per distinct header.
+
+    The headers are found in tasks, in one pass over the files that keeps a line of each. To the driver come the
+    distinct headers and, for each, what to read; ``by_folder``, a folder of parts with one header is read as a whole.
+    """
+    spark = found.sparkSession
+    paths = [row.path for row in found.select("path").collect()]
+    if not paths:
+        return None
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    first = (
+        spark.read.text(paths)
+        .select(_path().alias("path"), place.alias("place"), "value")
+        .groupBy("path")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    name = F.substring_index("path", "/", -1)
+    folder = F.left("path", F.length("path") - F.length(name) - 1)
+    alone = Window.partitionBy("folder")
+    units = (
+        first.withColumns({"folder": folder, "is_part": name.startswith("part-")})
+        .withColumn("whole", F.lit(by_folder) & (F.size(F.collect_set("header").over(alone)) == 1) & F.min("is_part").over(alone))
+        .groupBy("header")
+        .agg(F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("folder")).otherwise(F.col("path")))).alias("units"))
+        .orderBy("header")
+    )
     columns = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
     union = None
-    for header, paths in by_header.items():
-        present = [(name, kind) for name, kind in columns if name in header]
+    for row in units.collect():
+        header = next(csv.reader([row.header]))
+        present = [(name, kind) for name, kind in columns if header.count(name) == 1]
         if not present:
             continue
+        # names of the file may repeat, or differ from others in case only
+        texts = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
         part = (
-            spark.read.option("header", True).option("escape", '"').csv(paths)
+            spark.read.schema(texts)
+            .option("header", True)
+            .option("enforceSchema", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("pathGlobFilter", "*.csv")
+            .csv(row.units)
             .select(
-                *[F.col(name).try_cast(kind).alias(name) for name, kind in present],
+                *[F.col(f"c{header.index(name)}").try_cast(kind).alias(name) for name, kind in present],
                 F.col("_metadata.file_name").alias("file_name"),
+                _result_of(_path()).alias("result"),
+                F.struct(
+                    _path().alias("path"),
+                    F.col("_metadata.file_block_start").alias("start"),
+                    F.monotonically_increasing_id().alias("id"),
+                ).alias("row_no"),
             )
         )
         union = part if union is None else union.unionByName(part, allowMissingColumns=True)

@@ -15,7 +15,7 @@ from pyspark.sql import Row, functions as F
 from finality.config import JobArgs, Policy, WindowSpec
 from finality.operators.replay import finalize, place
 from finality.plans.jobs import classification_job, window_job
-from finality.plans.reports import faulty_windows, output_counts
+from finality.plans.reports import faulty_windows, output_counts, outputs_of, outputs_of_folder
 from finality.plans.standins import DAY_MS, SPARSE, readings
 from finality.streaming.processor import (
     FLUSH_MS,
@@ -27,6 +27,7 @@ from finality.streaming.processor import (
     late_of,
 )
 from finality.operators.meters import lookup_of, route
+from finality.sources import metrics
 from finality.sources.lines import read_meter_ids, read_segments, stream_lines
 from finality.sources.segments import SegmentStream, publish
 from finality.streaming.job import (
@@ -104,6 +105,61 @@ def test_window_job(spark, raw, mode):
     ]
 
 
+def test_results_are_read_back_by_run(spark, raw):
+    """All runs below a folder, from the names of their results, as if each were read by its name."""
+    out = raw / "all runs"
+    for run, mode, setting in (("run_1", "proposed", "1h"), ("run_1", "baseline", "1h"), ("r2", "proposed", "30m")):
+        args = JobArgs(run, mode, setting, "gzip", f"{raw}/raw/*.gz", "20250416", "20250417", str(out / "deep"))
+        window_job(spark, args, str(raw / "single.csv"), str(raw / "three.csv"))
+    counts = metrics.read_results(spark, str(out), "output_counts", metrics.OUTPUT_COUNTS)
+    runs = {tuple(r) for r in counts.select("run_id", "method_key", "time_setting", "experiment").distinct().collect()}
+    assert runs == {
+        ("run_1", "proposed", "1h", "proposed_1h"),
+        ("run_1", "baseline", "1h", "baseline_1h"),
+        ("r2", "proposed", "30m", "proposed_30m"),
+    }
+    direct = metrics.read_metrics(
+        spark, f"{out}/deep/output_counts_run_1_proposed_1h", metrics.OUTPUT_COUNTS, ["meterId"], snake=True
+    ).withColumns({"experiment": F.lit("proposed_1h"), "row_no": F.lit(0)})
+    columns = [c for c in direct.columns if c not in ("experiment", "row_no")]
+    got = counts.filter("experiment = 'proposed_1h'").select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, direct.select(columns).collect()))
+    summary = {r.experiment: r for r in outputs_of_folder(spark, str(out), WindowSpec()).collect()}
+    assert set(summary) == {"proposed_1h", "baseline_1h", "proposed_30m"}
+    assert summary["proposed_1h"] == outputs_of(direct, None, WindowSpec()).first()
+    # rates of two kinds, told apart by the whole name of the metric
+    rates = metrics.read_results(spark, str(out), "throughput_metrics", metrics.THROUGHPUT)
+    assert {r.probe.split("_", 1)[1] for r in rates.collect()} == {"source_after_parse", "post_window_aggregation"}
+
+
+def test_results_in_files_and_batches(spark, tmp_path):
+    """Rows in the order of their file, the first of equal windows counts; inferred where no counts are."""
+    header = "mode,meterId,seriesId,windowStartMs,windowEndMs,outputCount,earlyPurged,finalCount,distinctSlotCount"
+    row = "PROPOSED,a,Ström L1,600000,1200000,{},false,5,5\n"
+    many = "".join(row.format(n) for n in range(7, 3000))
+    (tmp_path / "output_counts_x_fast_0.csv").write_text(f"{header}\n{many}", encoding="utf-8")
+    (tmp_path / "output_counts_x_delayed_0.csv").write_text(f"{header}\n", encoding="utf-8")
+    (tmp_path / "output_counts.csv").write_text("meterId,outputCount\nz,1\n", encoding="utf-8")
+    for n in range(2):
+        folder = tmp_path / "output_counts_y_baseline_1h" / f"batch={n}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.csv").write_text(f"{header}\n{row.format(n)}", encoding="utf-8")
+    final = "mode,resultType,finalizationReason,meterId,seriesId,count,windowStartMs,windowEndMs"
+    for mode in ("delayed", "fast"):
+        (tmp_path / f"finalization_latency_metrics_x_{mode}_0.csv").write_text(
+            f"{final}\nPROPOSED,FINAL,DEADLINE,b,Ström L1,3,0,600000\n", encoding="utf-8"
+        )
+    counts = metrics.read_results(spark, str(tmp_path), "output_counts", metrics.OUTPUT_COUNTS)
+    found = {(r.experiment, r.n) for r in counts.groupBy("experiment").agg(F.count("*").alias("n")).collect()}
+    assert found == {("fast_0", 2993), ("baseline_1h", 2), ("unknown_unknown", 1)}
+    ordered = counts.filter("experiment = 'fast_0'").orderBy("row_no").collect()
+    assert [r.output_count for r in ordered] == list(range(7, 3000))
+    summary = {r.experiment: r for r in outputs_of_folder(spark, str(tmp_path), WindowSpec()).collect()}
+    assert summary["fast_0"].valid_window_outputs == 7 and summary["baseline_1h"].valid_window_outputs == 0
+    assert summary["delayed_0"].emitted_windows == 1 and set(summary) >= {"delayed_0", "unknown_unknown"}
+    assert metrics.read_results(spark, str(tmp_path), "none", metrics.OUTPUT_COUNTS) is None
+
+
 def bus_lines(raw):
     return [text for name in sorted(os.listdir(raw / "raw")) for text in gzip.open(raw / "raw" / name, "rt", encoding="utf-8").read().splitlines()]
 
