@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from finality.llm.arrow_text import TO_LOWER, hashes, slices, text_bytes, words
-from finality.llm.shared import stored
+from finality.llm.shared import shared_folder, stored
+from finality.llm.shared_files import create, whole
 
 SHARD_BYTES, BLOCK, BUCKET_BITS = 12_000_000, 64, 10
+#: Texts of queries whose weighted words a task holds at a time.
+QUERY_BYTES = 1_000_000
 INDEX = "shard long, bucket int, terms binary, ends binary, docs binary, counts binary, block_ends binary, block_counts binary, block_lengths binary, ids array<long>, lengths binary"
 
 
@@ -172,48 +176,88 @@ def best_documents(cursors: list[Postings], k: int, lengths: np.ndarray, ids: li
     return heap
 
 
-def query_terms(queries: DataFrame, most: int = 1_000_000) -> list[tuple[int, dict[int, int]]]:
-    """Words and their counts of each query (query_id, text). The driver holds the query set, up to ``most`` words; a larger one must be split."""
-    out, total = [], 0
-    for row in queries.select("query_id", "text").toLocalIterator():
-        data, offsets = text_bytes(pa.array([row.text], pa.string()))
-        data = TO_LOWER[data]
-        begin, end, _ = words(data, offsets)
-        terms, counts = np.unique(hashes(data, begin, end), return_counts=True)
-        total += len(terms)
-        if total > most:
-            raise ValueError(f"the query set has more than {most} words; search it in parts")
-        out.append((row.query_id, dict(zip(terms.tolist(), counts.tolist(), strict=True))))
-    return out
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Words and their counts of each row of ``queries`` (query_id, text), in blocks of about ``QUERY_BYTES`` of text.
+
+    Rows are told apart by ``query``, as ids may repeat or be null. A block holds whole queries.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for some in slices(batch):
+                data, offsets = text_bytes(some.column("text"))
+                cuts = (size + offsets[:-1] - offsets[0]) // QUERY_BYTES
+                begin, end, first_word = words(TO_LOWER[data], offsets)
+                spelled, of = hashes(TO_LOWER[data], begin, end), np.repeat(np.arange(some.num_rows), np.diff(first_word))
+                order = np.lexsort((spelled, of))
+                term, row = spelled[order], of[order]
+                new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
+                own = pa.array(row[new])
+                columns = [pa.array(block + cuts[row[new]]), some.column("query").take(own), some.column("query_id").take(own), pa.array(term[new].view(np.int64)), pa.array(np.diff(np.append(new, len(term))))]
+                size += len(data)
+                yield pa.RecordBatch.from_arrays(columns, ["block", "query", "query_id", "term", "times"])
+
+    numbered = queries.select(F.col("query_id").cast("long"), "text").withColumn("query", F.monotonically_increasing_id())
+    return stored(numbered.mapInArrow(count, "block long, query long, query_id long, term long, times long"), "query-terms")
+
+
+@lru_cache(maxsize=2)
+def plan_of(uri: str) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the queries of a block, the end of each in the words, words and their weights."""
+    table = pa.ipc.open_stream(whole(uri)).read_all()
+    query = table.column("query").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+    keys = list(zip(query[first].tolist(), table.column("query_id").take(pa.array(first)).to_pylist(), strict=True))
+    return keys, np.append(first[1:], len(query)), table.column("term").to_numpy().view(np.uint64), table.column("weight").to_numpy()
+
+
+class Shard:
+    """Postings of a shard's words, cut from the rows of its buckets as they are asked for."""
+
+    def __init__(self, table: pa.Table):
+        self.rows, self.ids, self.lengths = {}, [], np.zeros(0)
+        for row in table.to_pylist():
+            if row["bucket"] == -1:
+                self.ids, self.lengths = row["ids"], np.frombuffer(row["lengths"], "<i4")
+            else:
+                kinds = (("terms", "<u8"), ("ends", "<i8"), ("docs", "<i4"), ("counts", "<i4"), ("block_ends", "<i8"), ("block_counts", "<i4"), ("block_lengths", "<i4"))
+                self.rows[row["bucket"]] = [np.frombuffer(row[c], t) for c, t in kinds]
+
+    def postings(self, term: np.uint64, bucket: int) -> tuple | None:
+        if bucket not in self.rows:
+            return None
+        own, ends, docs, counts, block_ends, block_counts, block_lengths = self.rows[bucket]
+        i = int(np.searchsorted(own, term))
+        if i == len(own) or own[i] != term:
+            return None
+        low, high = (int(ends[i - 1]) if i else 0), int(ends[i])
+        p, q = np.searchsorted(block_ends, low, side="right"), np.searchsorted(block_ends, high)
+        return docs[low:high], counts[low:high], block_ends[p : q + 1] - low, block_counts[p : q + 1], block_lengths[p : q + 1]
 
 
 def top_documents(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k documents with the highest BM25 score for each query, exactly.
+    """(query_id, rank, doc_id, score): the k documents with the highest BM25 score for each row of ``queries``, exactly.
 
     Documents that share no word with a query are no results, so there may be fewer than k. Words of a query count as often as they
     occur. Equal scores (to nine digits) are ranked by doc_id, rows without an id last. A query without words has no results.
+
+    Words of queries meet the documents per word in a join. The weighted words are files in the shared folder, one per block of
+    queries; a task that searches a shard goes through them and holds one or two at a time. The driver sees the numbers of the
+    blocks and of the buckets, never a word.
     """
     spark = index.sparkSession
-    asked = query_terms(queries)
-    terms = np.array(sorted({t for _, own in asked for t in own}), dtype=np.uint64)
-    result = "query_id long, doc_id long, score double"
-    if not len(terms):
+    asked, folder = query_terms(queries), shared_folder(spark, "query-plans")
+    bucket = F.shiftrightunsigned("term", 64 - BUCKET_BITS).cast("int")
+    wanted = [r[0] for r in asked.select(bucket).distinct().collect()]  # at most 2 ** BUCKET_BITS
+    if not wanted:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    wanted = [int(x) for x in np.unique(buckets(terms))]
-    shared = spark.sparkContext.broadcast(terms)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[int, int] = {}
-            for own, ends in zip(batch.column("terms").to_pylist(), batch.column("ends").to_pylist(), strict=True):
-                own, sizes = np.frombuffer(own, "<u8"), np.diff(np.concatenate([[0], np.frombuffer(ends, "<i8")]))
-                _, at, which = np.intersect1d(own, shared.value, assume_unique=True, return_indices=True)
-                for w, n in zip(which.tolist(), sizes[at].tolist(), strict=True):
-                    found[w] = found.get(w, 0) + n
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
-
-    asked_rows = index.filter(F.col("bucket").isin(wanted))
-    per_term = asked_rows.select("terms", "ends").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per word asked for
+            own = np.concatenate([np.frombuffer(x, "<u8") for x in batch.column("terms").to_pylist()] or [np.zeros(0, "<u8")])
+            sizes = [np.diff(np.frombuffer(x, "<i8"), prepend=0) for x in batch.column("ends").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.concatenate(sizes or [np.zeros(0, np.int64)]))], ["term", "n"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,31 +266,38 @@ def top_documents(index: DataFrame, queries: DataFrame, k: int = 10, k1: float =
 
     n_docs, total = index.filter("bucket = -1").select("lengths").mapInArrow(measure, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
     mean = max(1e-9, (total or 0) / max(1, n_docs or 0))
-    idf = {int(terms[r.term]): float(np.log(1 + (n_docs - r.n + 0.5) / (r.n + 0.5))) for r in per_term}
-    plan = spark.sparkContext.broadcast([(q, {t: c * idf[t] for t, c in own.items() if t in idf}) for q, own in asked])
+    per_term = index.filter(F.col("bucket").isin(wanted)).select("terms", "ends").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    weight = F.col("times") * F.log(1 + (F.lit(n_docs or 0) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weighted = asked.join(per_term, "term").select("block", "query", "query_id", "term", weight.alias("weight"))
+
+    def write_plan(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.select(["query", "query_id", "term", "weight"]).sort_by([("query", "ascending"), ("term", "ascending")]).combine_chunks()
+        with create(f"{folder}/plan-{key[0].as_py()}") as file, pa.ipc.new_stream(file, rows.schema) as out:
+            out.write_table(rows)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())})
+
+    written = stored(weighted.groupBy("block").applyInArrow(write_plan, "block long"), "query-blocks")
+    blocks = sorted(r.block for r in written.collect())  # a number per QUERY_BYTES of queries
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        lists, ids, lengths = {}, [], np.zeros(0)
-        for row in table.to_pylist():
-            if row["bucket"] == -1:
-                ids, lengths = row["ids"], np.frombuffer(row["lengths"], "<i4")
-                continue
-            own, ends = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["ends"], "<i8")
-            _, at, _ = np.intersect1d(own, shared.value, assume_unique=True, return_indices=True)
-            docs, counts, block_ends, block_counts, block_lengths = (np.frombuffer(row[c], t) for c, t in (("docs", "<i4"), ("counts", "<i4"), ("block_ends", "<i8"), ("block_counts", "<i4"), ("block_lengths", "<i4")))
-            for i in at.tolist():
-                low, high = (int(ends[i - 1]) if i else 0), int(ends[i])
-                p, q = np.searchsorted(block_ends, low, side="right"), np.searchsorted(block_ends, high)
-                lists[int(own[i])] = docs[low:high], counts[low:high], block_ends[p : q + 1] - low, block_counts[p : q + 1], block_lengths[p : q + 1]
-        out = []
-        for query, weights in plan.value:
-            cursors = [Postings(*lists[t], w, mean, k1, b) for t, w in weights.items() if t in lists]
-            out += [(query, None if d == -END else -d, s) for s, d in best_documents(cursors, k, lengths, ids, mean, k1, b)]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "doc_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+        shard, out = Shard(table), []
+        for block in blocks:
+            keys, ends, terms, weights = plan_of(f"{folder}/plan-{block}")
+            of_term = dict.fromkeys(terms.tolist())
+            for term, home in zip(np.unique(terms), buckets(np.unique(terms)).tolist(), strict=True):
+                of_term[int(term)] = shard.postings(term, home)
+            begin = 0
+            for (query, query_id), end in zip(keys, ends.tolist(), strict=True):
+                own = zip(terms[begin:end].tolist(), weights[begin:end].tolist(), strict=True)
+                cursors = [Postings(*of_term[t], w, mean, k1, b) for t, w in own if of_term[t] is not None]
+                out += [(query, query_id, None if d == -END else -d, s) for s, d in best_documents(cursors, k, shard.lengths, shard.ids, mean, k1, b)]
+                begin = end
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        kinds = {"query": pa.int64(), "query_id": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}
+        return pa.table({name: pa.array(c, t) for (name, t), c in zip(kinds.items(), columns, strict=True)})
 
     needed = index.filter(F.col("bucket").isin([-1, *wanted]))
-    found = needed.groupBy("shard").applyInArrow(search, result)
+    found = needed.groupBy("shard").applyInArrow(search, "query long, query_id long, doc_id long, score double")
     # the window is cut to k rows of each query in every task before they are dealt out
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

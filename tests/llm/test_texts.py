@@ -259,6 +259,32 @@ def test_search_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert {g[0] for g in got} == {1, 4}
     assert search.top_documents(search.build_index(no_docs), asked).count() == 0
     assert search.top_documents(index, asked.filter("query_id = 2")).count() == 0
+    # repeated rows and null ids are queries of their own
+    twice = search.top_documents(index, asked.union(asked).selectExpr("nullif(query_id, 4) as query_id", "text"), k=2).collect()
+    assert sorted((r.query_id or 0, r["rank"], r.doc_id) for r in twice) == sorted(2 * [(q % 4, n, d) for q, n, d in got])
+
+
+def test_search_of_many_queries_in_blocks(spark, folder, monkeypatch):
+    """Every twentieth document as a query against all documents, by blocks of queries, held against all scores."""
+    monkeypatch.setattr(search, "QUERY_BYTES", 2_000)
+    docs = read(spark, folder)
+    asked = docs.filter("doc_id % 20 = 0").selectExpr("doc_id as query_id", "text").coalesce(1)
+    blocks = search.query_terms(asked)
+    per_block = blocks.groupBy("block").agg(F.count_distinct("query").alias("n")).collect()
+    assert len(per_block) > 1 and blocks.groupBy("query").agg(F.count_distinct("block").alias("n")).filter("n > 1").isEmpty()
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in search.top_documents(search.build_index(docs), asked).collect()}
+    bags = {r.doc_id: Counter(WORDS.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or ""))) for r in docs.collect()}
+    n, mean = len(bags), sum(sum(x.values()) for x in bags.values()) / len(bags)
+    df = Counter(w for bag in bags.values() for w in bag)
+    for query in (r.query_id for r in asked.collect()):
+        scores = []
+        for doc, bag in bags.items():
+            norm = 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)
+            score = sum(c * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * 2.2 / (bag[w] + norm) for w, c in bags[query].items() if w in bag)
+            if any(w in bag for w in bags[query]):
+                scores.append((-round(score, 7), doc))
+        for rank, (score, _) in enumerate(sorted(scores)[:10], 1):
+            assert abs(got[query, rank][1] + score) < 1e-6
 
 
 @settings(max_examples=40, deadline=None)
