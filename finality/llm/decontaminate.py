@@ -115,7 +115,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
         "doc_id", "row_a", "row_b",
         F.explode(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_words"].alias("n_words"), p["k"].alias("k"), F.slice("words", p["start"] + 1, p["n_words"]).alias("words")))).alias("w"),
     ).select("doc_id", "row_a", "row_b", "w.*")
-    windows = stored(fingerprinted(cut), "windows")
+    # windows are few beside the texts they come from: dealt anew, they are written in files of full size, and not in one for each part of the texts
+    windows = stored(fingerprinted(cut).hint("rebalance"), "windows")
     left = windows.select("row_a", "row_b", "start", "n_words", "fingerprint", F.explode(blocks("fingerprint", radius)).alias("b")).select("*", "b.*").drop("b")
     right = items.select("item_id", "n_words", F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks("fingerprint", radius)).alias("b")).select("*", "b.*").drop("b")
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))
